@@ -52,18 +52,17 @@ class WarcSource(DataSource):
         return SCHEMA
 
     def reader(self, schema):
-        return WarcReader(dict(self.options), [f.name for f in schema.fields])
+        return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite):
         return WarcWriter(dict(self.options))
 
 
 class WarcReader(DataSourceReader):
-    def __init__(self, options: dict, columns: list[str]):
+    def __init__(self, options: dict):
         self.path = options["path"]
         self.split = int(options.get("split", SPLIT))
-        self.payload = str(options.get("payload", "true")).lower() != "false" and "payload" in columns
-        self.columns = columns
+        self.payload = str(options.get("payload", "true")).lower() != "false"
         self.wanted: dict[str, set] = {}
 
     def pushFilters(self, filters: list[Filter]):
@@ -107,14 +106,11 @@ class WarcReader(DataSourceReader):
         return out
 
     def read(self, part: Slice) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.types import _parse_datatype_string
-        from pyspark.sql.pandas.types import to_arrow_schema
-
         if not part.path:
             return
         fs, _ = filesystem(self.path)
-        full = to_arrow_schema(_parse_datatype_string(SCHEMA))
-        schema = pa.schema([full.field(c) for c in self.columns])
+        kinds = {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}
+        schema = pa.schema([(c, kinds[k]) for c, k in (x.split() for x in SCHEMA.split(", "))])
         rows: list[dict] = []
         size = 0
         with fs.open_input_file(part.path) as handle:
