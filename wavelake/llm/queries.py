@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelake.llm.textkit import arrow_limits, shared_dir
@@ -14,18 +14,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def held_out(mod: int, rest: int) -> Column:
+    """crc32 of the doc_id as text, modulo mod, is rest."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(mod)) == rest
+
+
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavelake.llm.jaccard_join import jaccard_classes
+
+    return jaccard_classes(table(spark, sf_dir, "documents"), k=4, share=(85, 100))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavelake.llm.toxicity import score
+
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out(5, 0))
+
+
 def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavelake.llm.mixing import mix
 
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavelake.llm.byte_dedup import remove_repeated_bytes
+
+    out = remove_repeated_bytes(table(spark, sf_dir, "documents"), width=200)
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return out.select("doc_id", "n_bytes", removed.cast("bigint").alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavelake.llm.language_id import identify
+
+    return identify(table(spark, sf_dir, "documents"), held_out(4, 2))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavelake.llm.line_dedup import remove_repeated_lines
+
+    out = remove_repeated_lines(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    return out.select("doc_id", "n_lines", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavelake.llm.exact_dedup import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavelake.llm.window_dedup import remove_repeated_windows
+
+    out = remove_repeated_windows(table(spark, sf_dir, "documents"), width=50)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    return out.select("doc_id", "n_words", removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavelake.llm.decontamination import contamination
+
+    out = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from wavelake.llm.warc import archive, register
 
@@ -45,7 +99,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.unionByName(revisits).select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mix_sources, op7_exact_dedup, op10_warc)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_jaccard_join, op2_toxicity, op3_mix_sources, op4_suffix_dedup, op5_language_id,
+        op6_line_dedup, op7_exact_dedup, op8_window_dedup, op9_decontaminate, op10_warc,
+    )
+}
 
 ORACLES = {
     "op7_exact_dedup": r"""
