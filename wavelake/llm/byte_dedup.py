@@ -32,20 +32,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wavelake.llm.blocks import BLOCK, VALUES, answers, blocks, delivered, exchanged, received
 from wavelake.llm.textkit import BYTE_A, BYTE_B, U64, Rolling, arrow_limits, gathered, mix, partitions, ragged, runs, utf8
-from wavelake.llm.window_dedup import by_document, packed_ids, unpacked_ids
 
 GRAM = 12
 #: One gram in so many is a trigger: the mean length of a phrase.
 RATE = 20
 FAR = U64(0xC2B2AE3D27D4EB4F)
 
-ENTRY = "part int, kind int, keys binary, docs binary, many binary"
-ENTRY_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("many", pa.binary())])
-REPLY = "doc_id bigint, kind int, keys binary"
-REPLY_ARROW = pa.schema([("doc_id", pa.int64()), ("kind", pa.int32()), ("keys", pa.binary())])
 SHARED, FULL, MIXED, STRING = 1, 2, 3, 4
-VALUES = 0
 OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 OUT = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
 
@@ -124,54 +119,11 @@ def grouped(first: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, n
     return order, at, np.diff(np.append(at, len(a)))
 
 
-def sent(n: int, keys: np.ndarray, docs: np.ndarray, many: np.ndarray, replies: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """Entries (rows of keys with a holder, and whether there are more) by part, and answers that are settled already."""
+def sent(n: int, keys: np.ndarray, docs: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+    """Values with a holder each, and whether there are more, by part."""
     lead = keys[:, 0] if keys.ndim == 2 else keys
     part = ((lead * U64(0xD1342543DE82EF95)) >> U64(32)) % U64(n)
-    order = np.lexsort((docs, part))
-    keys, docs, many, part = keys[order], docs[order], many[order], part[order].astype(np.int64)
-    bounds = np.searchsorted(part, np.arange(n + 1))
-    some = np.flatnonzero(np.diff(bounds)).tolist()
-    parts, kinds, key_blocks, doc_blocks, many_blocks = list(some), [VALUES] * len(some), [], [], []
-    for x in some:
-        a, b = bounds[x], bounds[x + 1]
-        key_blocks.append(keys[a:b].tobytes())
-        doc_blocks.append(packed_ids(docs[a:b]))
-        many_blocks.append(np.packbits(many[a:b]).tobytes())
-    for kind, ids, values in replies:
-        for d, block in zip(*by_document(ids, values), strict=True):
-            parts.append(int((d * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 33) % n)
-            kinds.append(kind)
-            key_blocks.append(block)
-            doc_blocks.append(np.int64(d).tobytes())
-            many_blocks.append(b"")
-    return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(kinds, pa.int32()), pa.array(key_blocks, pa.binary()), pa.array(doc_blocks, pa.binary()), pa.array(many_blocks, pa.binary())], schema=ENTRY_ARROW)
-
-
-def answers(kind: int, docs: np.ndarray, keys: np.ndarray) -> Iterator[pa.RecordBatch]:
-    who, what = by_document(docs, keys)
-    for i in range(0, len(who), 2000):
-        m = len(who[i : i + 2000])
-        yield pa.RecordBatch.from_arrays([pa.array(who[i : i + m], pa.int64()), pa.array([kind] * m, pa.int32()), pa.array(what[i : i + m], pa.binary())], schema=REPLY_ARROW)
-
-
-def received(batches: Iterator[pa.RecordBatch], wide: int, out: list) -> Iterator[pa.RecordBatch]:
-    """Pass settled answers on and gather the entries into out: keys, docs, many."""
-    keys_in, docs_in, many_in = [], [], []
-    for batch in batches:
-        kinds = batch["kind"].to_numpy()
-        settled = np.flatnonzero(kinds != VALUES)
-        if len(settled):
-            picked = batch.take(pa.array(settled))
-            ids = [int(np.frombuffer(x, dtype=np.int64)[0]) for x in picked["docs"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), picked["kind"], picked["keys"]], schema=REPLY_ARROW)
-        for i in np.flatnonzero(kinds == VALUES).tolist():
-            docs = unpacked_ids(batch["docs"][i].as_py())
-            keys_in.append(np.frombuffer(batch["keys"][i].as_py(), dtype=np.uint64).reshape(-1, wide))
-            docs_in.append(docs)
-            many_in.append(np.unpackbits(np.frombuffer(batch["many"][i].as_py(), dtype=np.uint8), count=len(docs)).astype(bool))
-    if keys_in:
-        out += [np.concatenate(keys_in), np.concatenate(docs_in), np.concatenate(many_in)]
+    return blocks(n, VALUES, part.astype(np.int64), docs, keys, many)
 
 
 def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
@@ -198,12 +150,13 @@ def _round1(n: int, width: int):
             docs = ids[p.row]
             order, at, size = grouped(p.right, None)
             shared = order[np.repeat(size > 1, size)]
-            yield sent(n, p.right[order[at]], docs[order[at]], size > 1, [(SHARED, docs[shared], p.right[shared])])
+            yield from answers(n, SHARED, docs[shared], p.right[shared])
+            yield sent(n, p.right[order[at]], docs[order[at]], size > 1)
 
     return run
 
 
-def _shared(kind: int, wide: int):
+def _shared(n: int, kind: int, wide: int):
     """Entries that others equal: an answer to each holder that doesn't know yet."""
 
     def run(batches):
@@ -211,10 +164,10 @@ def _shared(kind: int, wide: int):
         yield from received(batches, wide, got)
         if got:
             keys, docs, many = got
-            order, at, size = grouped(keys[:, 0], keys[:, 1] if wide == 2 else None)
+            order, at, size = grouped(keys, None) if wide == 1 else grouped(keys[:, 0], keys[:, 1])
             hit = order[np.repeat(size > 1, size)]
             hit = hit[~many[hit]]
-            yield from answers(kind, docs[hit], keys[hit, 0] if wide == 1 else union(keys[hit, 0], keys[hit, 1]))
+            yield from answers(n, kind, docs[hit], keys[hit] if wide == 1 else union(keys[hit, 0], keys[hit, 1]))
 
     return run
 
@@ -230,30 +183,35 @@ def _round2(n: int, width: int):
             order, at, size = grouped(right, context)
             full = order[np.repeat(size > 1, size)]
             lead = order[at]
-            yield sent(n, np.stack([right[lead], context[lead]], axis=1), docs[lead], size > 1, [(FULL, docs[full], union(right[full], context[full]))])
+            yield from answers(n, FULL, docs[full], union(right[full], context[full]))
+            yield sent(n, np.stack([right[lead], context[lead]], axis=1), docs[lead], size > 1)
 
     return run
 
 
-def _contexts(batches):
+def _contexts(n: int):
     """Which contexts occur more than once, and which right sides have several."""
-    got: list = []
-    yield from received(batches, 2, got)
-    if not got:
-        return
-    keys, docs, many = got
-    order, at, size = grouped(keys[:, 0], keys[:, 1])
-    both = union(keys[:, 0], keys[:, 1])
-    hit = order[np.repeat(size > 1, size)]
-    hit = hit[~many[hit]]
-    yield from answers(FULL, docs[hit], both[hit])
-    lead = order[at]
-    side = keys[lead, 0]
-    new = np.concatenate([[True], side[1:] != side[:-1]])
-    starts = np.flatnonzero(new)
-    n = np.diff(np.append(starts, len(side)))
-    mixed = lead[np.repeat(n > 1, n)]
-    yield from answers(MIXED, docs[mixed], both[mixed])
+
+    def run(batches):
+        got: list = []
+        yield from received(batches, 2, got)
+        if not got:
+            return
+        keys, docs, many = got
+        order, at, size = grouped(keys[:, 0], keys[:, 1])
+        both = union(keys[:, 0], keys[:, 1])
+        hit = order[np.repeat(size > 1, size)]
+        hit = hit[~many[hit]]
+        yield from answers(n, FULL, docs[hit], both[hit])
+        lead = order[at]
+        side = keys[lead, 0]
+        new = np.concatenate([[True], side[1:] != side[:-1]])
+        starts = np.flatnonzero(new)
+        several = np.diff(np.append(starts, len(side)))
+        mixed = lead[np.repeat(several > 1, several)]
+        yield from answers(n, MIXED, docs[mixed], both[mixed])
+
+    return run
 
 
 def _round3(n: int, width: int):
@@ -269,7 +227,8 @@ def _round3(n: int, width: int):
             order, at, size = grouped(first, second)
             shared = order[np.repeat(size > 1, size)]
             lead = order[at]
-            yield sent(n, np.stack([first[lead], second[lead]], axis=1), docs[lead], size > 1, [(STRING, docs[shared], union(first[shared], second[shared]))])
+            yield from answers(n, STRING, docs[shared], union(first[shared], second[shared]))
+            yield sent(n, np.stack([first[lead], second[lead]], axis=1), docs[lead], size > 1)
 
     return run
 
@@ -329,15 +288,9 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 200) -> DataFrame:
     # One shuffle of the texts by document, which the joins below share.
     docs = docs.repartition(n, "doc_id")
 
-    def exchange(entries: DataFrame, reduce) -> DataFrame:
-        return entries.repartitionById(n, F.col("part")).mapInArrow(reduce, REPLY)
-
-    def heard(replies: DataFrame) -> DataFrame:
-        return replies.groupBy("doc_id").agg(F.collect_list(F.struct("kind", "keys")).alias("told"))
-
-    first = heard(exchange(docs.mapInArrow(_round1(n, width), ENTRY), _shared(SHARED, 1)))
-    second = heard(exchange(docs.join(first, "doc_id").mapInArrow(_round2(n, width), ENTRY), _contexts))
-    third = heard(exchange(docs.join(second, "doc_id").mapInArrow(_round3(n, width), ENTRY), _shared(STRING, 2)))
+    first = delivered(exchanged(docs.mapInArrow(_round1(n, width), BLOCK), n, _shared(n, SHARED, 1)), n)
+    second = delivered(exchanged(docs.join(first, "doc_id").mapInArrow(_round2(n, width), BLOCK), n, _contexts(n)), n)
+    third = delivered(exchanged(docs.join(second, "doc_id").mapInArrow(_round3(n, width), BLOCK), n, _shared(n, STRING, 2)), n)
     both = docs.join(second, "doc_id", "left").join(third.withColumnRenamed("told", "more"), "doc_id", "left")
     nothing = F.array().cast("array<struct<kind:int,keys:binary>>")
     return both.select("doc_id", "text", F.concat(F.coalesce("told", nothing), F.coalesce("more", nothing)).alias("told")).mapInArrow(_removals(width), OUT)

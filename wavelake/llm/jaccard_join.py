@@ -35,8 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelake.llm.components import components
-from wavelake.llm.textkit import BYTE_A, LOWER, U64, Rolling, arrow_limits, gathered, partitions, ragged, shared_dir, stored, utf8, words
-from wavelake.llm.window_dedup import packed_ids, unpacked_ids
+from wavelake.llm.textkit import BYTE_A, LOWER, U64, Rolling, arrow_limits, gathered, partitions, ragged, stored, utf8, words
+from wavelake.llm.blocks import BLOCK as TOLD_BLOCK
+from wavelake.llm.blocks import answers, delivered, packed_ids, unpacked_ids
 
 #: Members of a group that are joined in one task, and of a chunk of a larger one.
 MOST = 200
@@ -47,8 +48,7 @@ FIRST = "doc_id bigint, n bigint, fp binary, part int, keys binary, docs binary,
 FIRST_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("part", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("probe", pa.binary())])
 BLOCK = "part int, keys binary, docs binary, sizes binary, probe binary"
 BLOCK_ARROW = pa.schema(list(FIRST_ARROW)[3:])
-REPLY = "doc_id bigint, n bigint, part int, keys binary, counts binary"
-REPLY_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
+SHARED = 1
 
 
 def shingles(table: pa.Table, k: int) -> list[np.ndarray]:
@@ -130,26 +130,21 @@ def _first(n_parts: int, k: int, share: tuple[int, int]):
     return run
 
 
-def _populations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each document's pivots that others have too, with their populations."""
-    for part, keys, docs, sizes, _ in unblocked(batches):
-        order = np.argsort(keys, kind="stable")
-        keys, docs, sizes = keys[order], docs[order], sizes[order]
-        at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-        n = np.diff(np.append(at, len(keys)))
-        shared = np.repeat(n > 1, n)
-        counts = np.repeat(n, n)[shared].astype(np.uint32)
-        keys, docs, sizes = keys[shared], docs[shared], sizes[shared]
-        order = np.argsort(docs, kind="stable")
-        keys, docs, sizes, counts = keys[order], docs[order], sizes[order], counts[order]
-        at = np.flatnonzero(np.concatenate([[True], docs[1:] != docs[:-1]])) if len(docs) else np.zeros(0, dtype=np.int64)
-        ends = np.append(at[1:], len(docs))
-        for i in range(0, len(at), 2000):
-            a, b = at[i : i + 2000].tolist(), ends[i : i + 2000].tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(docs[a]), pa.array(sizes[a].astype(np.int64)), pa.array([part] * len(a), pa.int32()), pa.array([keys[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary()), pa.array([counts[x:y].tobytes() for x, y in zip(a, b, strict=True)], pa.binary())],
-                schema=REPLY_ARROW,
-            )
+def _populations(n_parts: int):
+    """Each document's pivots that others have too, with their populations and the document's size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, keys, docs, sizes, _ in unblocked(batches):
+            order = np.argsort(keys, kind="stable")
+            keys, docs, sizes = keys[order], docs[order], sizes[order]
+            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            n = np.diff(np.append(at, len(keys)))
+            shared = np.repeat(n > 1, n)
+            counts = np.repeat(n, n)[shared].astype(np.uint64)
+            named = (U64(part) << U64(32)) | keys[shared].astype(np.uint64)
+            yield from answers(n_parts, SHARED, docs[shared], np.stack([named, (counts << U64(32)) | sizes[shared].astype(np.uint64)], axis=1))
+
+    return run
 
 
 def _searches(n_parts: int, share: tuple[int, int]):
@@ -158,10 +153,10 @@ def _searches(n_parts: int, share: tuple[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns: list[list] = [[], [], [], [], []]
-            for doc, n, told in zip(batch["doc_id"].to_pylist(), batch["n"].to_pylist(), batch["told"].to_pylist(), strict=True):
-                keys = np.concatenate([np.frombuffer(x["keys"], dtype=np.uint32) for x in told])
-                part = np.concatenate([np.full(len(x["keys"]) // 4, x["part"]) for x in told])
-                counts = np.concatenate([np.frombuffer(x["counts"], dtype=np.uint32) for x in told])
+            for doc, told in zip(batch["doc_id"].to_pylist(), batch["told"].to_pylist(), strict=True):
+                got = np.concatenate([np.frombuffer(x["keys"], dtype=np.uint64).reshape(-1, 2) for x in told])
+                keys, part = (got[:, 0] & U64(0xFFFFFFFF)).astype(np.uint32), (got[:, 0] >> U64(32)).astype(np.int64)
+                counts, n = (got[:, 1] >> U64(32)).astype(np.int64), int(got[0, 1] & U64(0xFFFFFFFF))
                 may = int(missing(n, share))
                 alone = min(n, 2 * (may + 1)) - len(keys)
                 probe = np.zeros(len(keys), dtype=bool)
@@ -336,8 +331,8 @@ def jaccard_classes(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5)
     each = first.filter("part is null").select("doc_id", "n", "fp")
     equal = each.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     # Documents that stand for their set within what a task read, but not among all.
-    told = first.filter("part is not null").select(*BLOCK_ARROW.names).repartitionById(n, F.col("part")).mapInArrow(_populations, REPLY)
-    told = told.groupBy("doc_id").agg(F.max("n").alias("n"), F.collect_list(F.struct("part", "keys", "counts")).alias("told"))
+    values = first.filter("part is not null").select(*BLOCK_ARROW.names).repartitionById(n, F.col("part"))
+    told = delivered(values.mapInArrow(_populations(n), TOLD_BLOCK), n, wide=2)
     reps = equal.select(F.col("rep").alias("doc_id")).distinct()
     members = told.join(reps, "doc_id", "left_semi").mapInArrow(_searches(n, share), BLOCK).repartitionById(n, F.col("part")).mapInArrow(_regions(share), "g bigint, x bigint, probe boolean")
     members = stored(members.groupBy("g", "x").agg(F.max("probe").alias("probe")), "jaccard-members")

@@ -31,7 +31,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Bytes of text that a task gathers before it hashes and flushes them.
-FLUSH_BYTES = 6 << 20
+FLUSH_BYTES = 3 << 20
 
 
 def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -21,40 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelake.llm.textkit import BYTE_A, U64, Rolling, arrow_limits, gathered, mix, partitions, ragged, runs, split_by, spread, utf8, words
+from wavelake.llm.blocks import BLOCK, VALUES, answers, blocks, delivered, exchanged, received
+from wavelake.llm.textkit import BYTE_A, U64, Rolling, arrow_limits, gathered, mix, partitions, ragged, runs, spread, utf8, words
 
-ENTRY = "part int, hit boolean, keys binary, docs binary"
-ENTRY_ARROW = pa.schema([("part", pa.int32()), ("hit", pa.bool_()), ("keys", pa.binary()), ("docs", pa.binary())])
-REPLY = "doc_id bigint, keys binary"
-REPLY_ARROW = pa.schema([("doc_id", pa.int64()), ("keys", pa.binary())])
+HIT = 1
 OUT = "doc_id bigint, n_words bigint, spans array<struct<start:bigint,end:bigint>>, kept string"
 OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.string())])
 
 
-def packed_ids(ids: np.ndarray) -> bytes:
-    """Ascending ids as the first one and differences of the least width."""
-    steps = np.diff(ids).astype(np.uint64)
-    most = int(steps.max()) if len(steps) else 0
-    kind = next(k for k in ("u1", "u2", "u4", "u8") if most < 1 << (8 * int(k[1])))
-    return kind[1].encode() + np.int64(ids[0]).tobytes() + steps.astype(kind).tobytes()
-
-
-def unpacked_ids(raw: bytes) -> np.ndarray:
-    steps = np.frombuffer(raw, dtype=f"u{raw[:1].decode()}", offset=9).astype(np.int64)
-    return np.cumsum(np.concatenate([np.frombuffer(raw[1:9], dtype=np.int64), steps]))
-
-
-def by_document(ids: np.ndarray, keys: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Keys in one block for each id."""
-    if not len(ids):
-        return [], []
-    order = np.argsort(ids, kind="stable")
-    ids, keys = ids[order], keys[order]
-    at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-    ends = np.append(at[1:], len(ids))
-    return ids[at].tolist(), [keys[a:b].tobytes() for a, b in zip(at, ends, strict=True)]
-
-
 def window_keys(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Row and word start of each window, its key, its bucket bits, and the first word of each row."""
     starts, ends, first = words(data, offsets)
@@ -82,61 +56,37 @@ def _entries(n: int, width: int):
             at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
             least = np.minimum.reduceat(docs, at)
             hit = docs > np.repeat(least, np.diff(np.append(at, len(keys))))
-            hit_docs, hit_keys = by_document(docs[hit], keys[hit])
-            # One value for each distinct window goes on, by bucket and document.
-            keys, part = keys[at], part[at].astype(np.int64)
-            order = np.lexsort((least, part))
-            keys, part, least = keys[order], part[order], least[order]
-            bounds = np.searchsorted(part, np.arange(n + 1))
-            some = np.flatnonzero(np.diff(bounds))
-            spans = [(bounds[p], bounds[p + 1]) for p in some]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(some.tolist() + [int(mix(np.array([d], dtype=np.int64).view(np.uint64))[0] % U64(n)) for d in hit_docs], pa.int32()),
-                    pa.array([False] * len(some) + [True] * len(hit_docs)),
-                    pa.array([keys[a:b].tobytes() for a, b in spans] + hit_keys, pa.binary()),
-                    pa.array([packed_ids(least[a:b]) for a, b in spans] + [np.int64(d).tobytes() for d in hit_docs], pa.binary()),
-                ],
-                schema=ENTRY_ARROW,
-            )
+            yield from answers(n, HIT, docs[hit], keys[hit])
+            # One value for each distinct window goes on.
+            yield blocks(n, VALUES, part[at].astype(np.int64), least, keys[at])
+
+    return run
+
+
+def _least(n: int):
+    """For one part: which documents hold a window that a smaller document holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list = []
+        yield from received(batches, 1, got)
+        if got:
+            keys, docs, _ = got
+            order = np.argsort(keys)
+            keys, docs = keys[order], docs[order]
+            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            least = np.minimum.reduceat(docs, at)
+            hit = docs > np.repeat(least, np.diff(np.append(at, len(keys))))
+            yield from answers(n, HIT, docs[hit], keys[hit])
 
     return run
 
 
-def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For one bucket: which documents hold a window that a smaller document holds."""
-    held_keys, held_docs = [], []
-    for batch in batches:
-        passed: tuple[list[int], list[bytes]] = ([], [])
-        for hit, keys, docs in zip(batch["hit"].to_pylist(), batch["keys"].to_pylist(), batch["docs"].to_pylist(), strict=True):
-            if hit:
-                passed[0].append(int(np.frombuffer(docs, dtype=np.int64)[0]))
-                passed[1].append(keys)
-            else:
-                held_keys.append(np.frombuffer(keys, dtype=np.uint64))
-                held_docs.append(unpacked_ids(docs))
-        if passed[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(passed[0], pa.int64()), pa.array(passed[1], pa.binary())], schema=REPLY_ARROW)
-    if not held_keys:
-        return
-    keys, docs = np.concatenate(held_keys), np.concatenate(held_docs)
-    del held_keys, held_docs
-    order = np.argsort(keys)
-    keys, docs = keys[order], docs[order]
-    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-    least = np.minimum.reduceat(docs, at)
-    hit = docs > np.repeat(least, np.diff(np.append(at, len(keys))))
-    who, what = by_document(docs[hit], keys[hit])
-    for i in range(0, len(who), 2000):
-        yield pa.RecordBatch.from_arrays([pa.array(who[i : i + 2000], pa.int64()), pa.array(what[i : i + 2000], pa.binary())], schema=REPLY_ARROW)
-
-
-def joined_blocks(column: pa.Array, rows: int) -> tuple[np.ndarray, np.ndarray]:
-    """The row and value of every uint64 in a column of lists of blocks."""
+def told_values(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The row and value of everything that the rows of a batch were told."""
     row, value = [], []
-    for i, blocks in enumerate(column.to_pylist()):
-        for block in blocks or ():
-            value.append(np.frombuffer(block, dtype=np.uint64))
+    for i, blocks_ in enumerate(column.to_pylist()):
+        for block in blocks_ or ():
+            value.append(np.frombuffer(block["keys"], dtype=np.uint64))
             row.append(np.full(len(value[-1]), i))
     if not row:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
@@ -147,7 +97,7 @@ def _removals(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches, "text"):
             data, offsets = utf8(table["text"])
-            hit_row, hit_key = joined_blocks(table["hits"], table.num_rows)
+            hit_row, hit_key = told_values(table["told"])
             spans: list[list[dict]] = [[] for _ in range(table.num_rows)]
             if len(hit_row):
                 row, at, keys, _, first = window_keys(data, offsets, width)
@@ -187,7 +137,6 @@ def remove_repeated_windows(docs: DataFrame, width: int = 50) -> DataFrame:
     arrow_limits(spark)
     n = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    entries = docs.mapInArrow(_entries(n, width), ENTRY)
-    replies = entries.repartitionById(n, F.col("part")).mapInArrow(_answers, REPLY)
-    hits = replies.groupBy("doc_id").agg(F.collect_list("keys").alias("hits"))
-    return docs.join(hits, "doc_id", "left").select("doc_id", "text", "hits").mapInArrow(_removals(width), OUT)
+    values = docs.mapInArrow(_entries(n, width), BLOCK)
+    told = delivered(exchanged(values, n, _least(n)), n)
+    return docs.join(told, "doc_id", "left").select("doc_id", "text", "told").mapInArrow(_removals(width), OUT)
