@@ -1,5 +1,76 @@
-"""Corpus pipeline."""
-STAGES = []
+"""Corpus pipeline: five stages from raw documents to a mixed corpus.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of documents;
+the last one adds how often a document is taken. run() writes each stage's
+rows to the shared folder and reads them again for the next.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from wavelake.llm.decontamination import contamination
+from wavelake.llm.jaccard_join import jaccard_classes
+from wavelake.llm.line_dedup import clean
+from wavelake.llm.mixing import mix
+from wavelake.llm.queries import held_out, table
+from wavelake.llm.textkit import stored
+from wavelake.llm.toxicity import with_score
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of score 0.5 or more go; the model is trained on the labels that are not held out."""
+    scored = with_score(docs, table(spark, sf_dir, "labels"), held_out(5, 0))
+    return scored.filter("_toxicity < 0.5").drop("_toxicity")
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of line runs go, and documents that consist of them."""
+    out = clean(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return out
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group at five-word shingles and 0.8 the document of smallest id stays. Documents without an id stay."""
+    classes = jaccard_classes(docs, k=5, share=(4, 5))
+    gone = classes.filter("component_id <> doc_id").select("doc_id").distinct()
+    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return out
+    return out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id is null"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a twentieth or more of the words stand in benchmark windows go."""
+    judged = contamination(docs, table(spark, sf_dir, "benchmark"))
+    gone = judged.filter("contaminated").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with `copies`, how often."""
+    taken = mix(docs).filter("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    taken = taken.groupBy("doc_id").agg(F.max("copies").alias("copies"))
+    return docs.join(taken, "doc_id").select(*docs.columns, "copies")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line dedup", drop_repeated_lines),
+    ("n-gram Jaccard join", drop_near_duplicates),
+    ("benchmark decontamination", drop_contaminated),
+    ("mixing sources", mix_sources),
+]
+
+#: SQL cannot express the classifier; the stages are tested against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wavelake.llm.language_id import letter_table
 from wavelake.llm.textkit import U64, arrow_limits, gathered, mix, stored
@@ -180,20 +181,47 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features:
     return chosen, w * r, bias
 
 
-def _score(chosen: np.ndarray, weights: np.ndarray, bias: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _weigh(chosen: np.ndarray, weights: np.ndarray, bias: float):
+    def run(texts: list[str | None]) -> np.ndarray:
         mask = np.zeros(SPACE, dtype=bool)
         mask[chosen] = True
         dense = np.zeros(SPACE)
         dense[chosen] = weights
+        row, feature = features(texts, mask)
+        z = np.bincount(row, weights=dense[feature], minlength=len(texts)) + bias
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+    return run
+
+
+def _score(chosen: np.ndarray, weights: np.ndarray, bias: float):
+    scorer = _weigh(chosen, weights, bias)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches, "text", 1 << 20):
-            row, feature = features(table["text"].to_pylist(), mask)
-            z = np.bincount(row, weights=dense[feature], minlength=table.num_rows) + bias
-            yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), table["held_out"].combine_chunks(), pa.array(1 / (1 + np.exp(-np.clip(z, -40, 40))))], schema=OUT_ARROW)
+            yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), table["held_out"].combine_chunks(), pa.array(scorer(table["text"].to_pylist()))], schema=OUT_ARROW)
 
     return run
 
 
+def _pass_through(chosen: np.ndarray, weights: np.ndarray, bias: float, text: str, out: str):
+    scorer = _weigh(chosen, weights, bias)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in gathered(batches, text, 1 << 20):
+            yield from table.append_column(out, pa.array(scorer(table[text].to_pylist()))).combine_chunks().to_batches()
+
+    return run
+
+
+def with_score(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMPLE, out: str = "_toxicity") -> DataFrame:
+    """All rows and columns of docs (doc_id, text, ...) and the score; no shuffle of the texts."""
+    arrow_limits(docs.sparkSession)
+    model = train(docs, labels.filter(~held_out), sample)
+    schema = T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())])
+    return docs.mapInArrow(_pass_through(*model, "text", out), schema)
+
+
 def score(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs (doc_id, text).
 
