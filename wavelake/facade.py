@@ -41,7 +41,9 @@ class Engine:
             done = plugins.apply(rows.select("path", "chunk_idx", "i", "q"), mode).withColumn("stem", iq.stem(F.col("path"))).join(mine, "stem")
             out = out.unionByName(judging.custom_verdicts(done, self.threshold).select(*out.columns[:5], F.lit("custom").alias("predicted_family"), F.col("mode_id").alias("predicted_order"), F.col("confidence").alias("family_confidence"), F.col("confidence").alias("order_confidence"), "family_pass", "order_pass", "hard_fail", "reason", F.lit(None).cast("string").alias("error")))
         none = {c: F.lit(None).cast(t) for c, t in out.dtypes}
-        failed = chunks.filter("error is not null").select("path", "error").unionByName(cars.filter("car_error is not null").select(F.col("stem").alias("path"), F.col("car_error").alias("error")))
+        # Spark lists no empty files: a sidecar without any window stands for one.
+        bare = good.join(chunks.select("stem").distinct(), "stem", "left_anti").select(F.col("stem").alias("path"), F.lit("no chunks").alias("error"))
+        failed = chunks.filter("error is not null").select("path", "error").unionByName(bare).unionByName(cars.filter("car_error is not null").select(F.col("stem").alias("path"), F.col("car_error").alias("error")))
         return out.unionByName(failed.select(*[F.col(c) if c in ("path", "error") else F.lit(True).alias(c) if c == "hard_fail" else none[c].alias(c) for c in out.columns]))
 
     def report(self, results: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wavelake import vocab
 from wavelake.operators.judging import argmax, softmax
@@ -41,7 +42,7 @@ def onnx(family_model: str, order_model: str, families: list[str], orders: list[
     """Two ONNX models on (batch, 2, 1024); a session is opened once in each Python worker."""
 
     def logits(model: str):
-        @F.pandas_udf("array<float>")
+        @F.pandas_udf(T.ArrayType(T.FloatType()))
         def run(i: pd.Series, q: pd.Series) -> pd.Series:
             import sys
 
@@ -63,7 +64,7 @@ def onnx(family_model: str, order_model: str, families: list[str], orders: list[
     return run
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _features(i: pd.Series, q: pd.Series) -> pd.Series:
     out = []
     for a, b in zip(i, q, strict=True):

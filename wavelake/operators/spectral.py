@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wavelake.functions import dsp
 from wavelake.functions.dsp import spectrum as _row_spectrum
@@ -22,7 +23,7 @@ def _rows(values: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in values]) if len(values) else np.zeros((0, 2))
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def fft_magnitudes(iq: pd.Series) -> pd.Series:
     """Magnitudes of the spectrum of interleaved I/Q, from the most negative frequency on. Windows of equal length go through one FFT."""
     out = pd.Series([None] * len(iq), dtype=object)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wavelake import vocab
 from wavelake.functions import dsp
@@ -156,11 +159,11 @@ def fir_convolve(spark, sf_dir):
 @query("""WITH t AS (SELECT i, (i - 16) / 8.0::DOUBLE AS t FROM range(33) r(i)),
     r AS (SELECT i, CASE WHEN t = 0 THEN 1 WHEN abs(abs(2 * 0.2::DOUBLE * t) - 1) < 1e-9 THEN pi() / 4 * sin(pi() / (2 * 0.2::DOUBLE)) / (pi() / (2 * 0.2::DOUBLE)) ELSE sin(pi() * t) / (pi() * t) * cos(pi() * 0.2::DOUBLE * t) / (1 - pow(2 * 0.2::DOUBLE * t, 2)) END AS rc,
         exp(-0.5::DOUBLE * 2 * pi() * pi() / ln(2) * pow(0.5::DOUBLE * t, 2)) AS g FROM t)
-    SELECT i::INT AS i, round(rc / sum(rc) OVER (), 6) AS rc, round(g / sum(g) OVER (), 6) AS gauss FROM r""")
+    SELECT i::INT AS i, round(rc / sum(rc) OVER (), 6) + 0.0::DOUBLE AS rc, round(g / sum(g) OVER (), 6) AS gauss FROM r""")
 def filter_taps(spark, sf_dir):
     # Taps depend on constants alone and are computed once, on the driver.
     rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(dsp.raised_cosine(8, 0.2, 4), dsp.gaussian(8, 0.5, 4), strict=True))]
-    return vocab.frame(spark, rows, "i int, rc double, gauss double").select("i", F.round("rc", 6).alias("rc"), F.round("gauss", 6).alias("gauss"))
+    return vocab.frame(spark, rows, "i int, rc double, gauss double").select("i", (F.round("rc", 6) + F.lit(0.0)).alias("rc"), F.round("gauss", 6).alias("gauss"))
 
 
 @query("SELECT vec_id, i::INT AS n, round(embedding[i // 4 + 1]::DOUBLE, 6) AS v FROM embeddings, range(64) t(i)")
@@ -176,11 +179,9 @@ def fft_resample(spark, sf_dir):
     return e.select("vec_id", F.posexplode(resampled("x")).alias("n", "y")).select("vec_id", "n", F.round("y", 6).alias("y"))
 
 
-@F.pandas_udf("array<double>")
-def resampled(x):
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
+def resampled(x: pd.Series) -> pd.Series:
     """Rows to twice their length, those of one length in one FFT."""
-    import numpy as np
-
     out = x.copy()
     lengths = x.map(len).to_numpy()
     for n in np.unique(lengths):
@@ -196,24 +197,22 @@ _fourier_resample = dsp.fourier_resample
 
 @query()
 def kmeans_balance(spark, sf_dir):
-    """Four seeded clusters of each label's samples: sizes and least distance of centres."""
-    long = spectral.samples(table(spark, sf_dir, "embeddings"), ["label"], "embedding").select("label", "n", "re", "im")
-    few = long.filter("n = 0")
-    return few.groupBy("label").applyInPandas(clustered, "label int, points bigint, balance double, separation double")
-
-
-def clustered(rows):
-    import numpy as np
-    import pandas as pd
-
-    p = rows.sort_values(["re", "im"])[["re", "im"]].to_numpy()
-    if len(p) < 4:
-        return pd.DataFrame([(int(rows["label"].iloc[0]), len(p), 0.0, 0.0)], columns=["label", "points", "balance", "separation"])
-    p = p / (np.percentile(np.abs(p), 95) + 1e-9)
-    centres, label = _two_means(p, 4, 8, 42)
-    n = np.bincount(label, minlength=4)
-    d = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2))
-    return pd.DataFrame([(int(rows["label"].iloc[0]), len(p), float(n.min() / n.max()), float(d[np.triu_indices(4, 1)].min()))], columns=["label", "points", "balance", "separation"])
+    """Four seeded clusters of each window's samples: balance of sizes and least distance of centres."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", clustered("embedding").alias("c"))
+    return e.select("vec_id", F.round("c.balance", 6).alias("balance"), F.round("c.separation", 6).alias("separation"))
+
+
+@F.pandas_udf(T.StructType([T.StructField("balance", T.DoubleType()), T.StructField("separation", T.DoubleType())]))
+def clustered(iq: pd.Series) -> pd.DataFrame:
+    out = []
+    for v in iq:
+        p = np.asarray(v, dtype=float).reshape(-1, 2)
+        p = p / (np.percentile(np.abs(p), 95) + 1e-9)
+        centres, label = _two_means(p, 4, 8, 42)
+        n = np.bincount(label, minlength=4)
+        d = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2))
+        out.append((n.min() / n.max(), d[np.triu_indices(4, 1)].min()))
+    return pd.DataFrame(out, columns=["balance", "separation"], dtype=float)
 
 
 _two_means = dsp.two_means

@@ -14,17 +14,24 @@ def _values(rows: list[str]) -> str:
     return ", ".join(quoted)
 
 
+def _mention_sql() -> str:
+    return "[" + ", ".join(f"'{m}'" for m in _MENTIONS) + f"][doc_id % {len(_MENTIONS)} + 1]"
+
+
 def _sql_pattern(name: str) -> str:
     return textmine.mode_pattern(name).replace("'", "''")
 
 
+_MENTIONS = ["supports NBFM, D Star and fx.25", "8 x carrier or BELL202 only", "dmr/P25, I am DSTAR", "none", "M17 and ldpc; SOQPSK", "GMSK-modem 8PSK qpsk"]
 _FOUND = ", ".join(f"CASE WHEN regexp_matches(text, '{_sql_pattern(n)}') THEN '{as_}' END" for n, as_ in textmine.SEARCHED)
 
 
-@query(f"""WITH d AS (SELECT doc_id, text FROM documents), f AS (SELECT doc_id, unnest([{_FOUND}, CASE WHEN regexp_matches(text, '{textmine.COMPOSITE}') THEN 'sleipnir_8qpsk' END]) AS mode FROM d)
+@query(f"""WITH d AS (SELECT doc_id, text || ' ' || {_mention_sql()} AS text FROM documents), f AS (SELECT doc_id, unnest([{_FOUND}, CASE WHEN regexp_matches(text, '{textmine.COMPOSITE}') THEN 'sleipnir_8qpsk' END]) AS mode FROM d)
     SELECT doc_id, string_agg(mode, ',' ORDER BY lower(mode)) AS modes FROM (SELECT DISTINCT * FROM f WHERE mode IS NOT NULL) GROUP BY 1""")
 def readme_modes(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.array_join(textmine.modes(F.col("text")), ",").alias("modes"))
+    mention = F.element_at(vocab.literal_list(_MENTIONS), (F.col("doc_id") % len(_MENTIONS) + 1).cast("int"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" "), mention).alias("text"))
+    d = d.select("doc_id", F.array_join(textmine.modes(F.col("text")), ",").alias("modes"))
     return d.filter("modes <> ''")
 
 

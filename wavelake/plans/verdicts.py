@@ -145,14 +145,14 @@ def supersede_resolve(spark, sf_dir):
     return audit.resolved(out, 10, "fixed").select("issue_id", "description", "resolved")
 
 
-@query("""WITH o AS (SELECT c_custkey AS id, c_name AS path, c_mktsegment AS name, c_acctbal AS version FROM customer WHERE c_custkey < 100),
-    n AS (SELECT c_name AS path, upper(c_mktsegment) AS name, c_acctbal + 1 AS version FROM customer WHERE c_custkey >= 90 AND c_custkey < 130), m AS (SELECT max(id) AS m FROM o)
+@query("""WITH o AS (SELECT c_custkey AS id, c_name AS path, c_mktsegment AS name, c_acctbal AS version FROM customer WHERE c_acctbal < 5000),
+    n AS (SELECT c_name AS path, upper(c_mktsegment) AS name, c_acctbal + 1 AS version FROM customer WHERE c_acctbal >= 3000), m AS (SELECT max(id) AS m FROM o)
     SELECT o.id, path, o.name, coalesce(n.version, o.version) AS version FROM o LEFT JOIN n USING (path)
     UNION ALL SELECT m + row_number() OVER (ORDER BY path), path, n.name, n.version FROM n, m WHERE path NOT IN (SELECT path FROM o)""")
 def upsert_projects(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
-    old = c.filter("c_custkey < 100").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("path"), F.col("c_mktsegment").alias("name"), F.col("c_acctbal").alias("version"))
-    new = c.filter("c_custkey >= 90 and c_custkey < 130").select(F.col("c_name").alias("path"), F.upper("c_mktsegment").alias("name"), (F.col("c_acctbal") + 1).alias("version"))
+    old = c.filter("c_acctbal < 5000").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("path"), F.col("c_mktsegment").alias("name"), F.col("c_acctbal").alias("version"))
+    new = c.filter("c_acctbal >= 3000").select(F.col("c_name").alias("path"), F.upper("c_mktsegment").alias("name"), (F.col("c_acctbal") + 1).alias("version"))
     return audit.upserted(old, new, ["path"], "id", ["name"])
 
 
