@@ -156,12 +156,12 @@ def upsert_projects(spark, sf_dir):
     return audit.upserted(old, new, ["path"], "id", ["name"])
 
 
-@query(f"""WITH {AUDIT} SELECT (SELECT count(*) FROM projects) AS projects, (SELECT max(last_scanned) FROM projects) AS last_scanned, (SELECT count(*) FROM validations) AS validations,
+@query(f"""WITH {AUDIT} SELECT (SELECT count(*) FROM projects) AS projects, strftime((SELECT max(last_scanned) FROM projects), '%Y-%m-%d %H:%M:%S') AS last_scanned, (SELECT count(*) FROM validations) AS validations,
     (SELECT count(*) FROM issues WHERE NOT resolved AND severity = 'hard_fail') AS open_hard_fail, (SELECT count(*) FROM issues WHERE NOT resolved AND severity = 'soft_fail') AS open_soft_fail,
     (SELECT count(*) FROM issues WHERE NOT resolved AND severity = 'warning') AS open_warning, (SELECT count(*) FROM issues WHERE NOT resolved AND severity = 'info') AS open_info""")
 def status_summary(spark, sf_dir):
     a = audit_frames(spark, sf_dir)
-    return audit.status(a["projects"], a["validations"], a["issues"])
+    return audit.status(a["projects"], a["validations"], a["issues"]).withColumn("last_scanned", F.date_format("last_scanned", "yyyy-MM-dd HH:mm:ss"))
 
 
 _STRATA = "e AS (SELECT event_id, event_type, value * 0.5 - 30 AS snr FROM events), b AS (SELECT *, (snr >= -20)::INT + (snr >= -10)::INT + (snr >= 0)::INT + (snr >= 10)::INT + (snr >= 20)::INT AS snr_bin FROM e)"
