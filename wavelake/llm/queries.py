@@ -122,4 +122,37 @@ ORACLES = {
                CASE WHEN f.first <> page_id THEN f.first END AS refers_to
         FROM p LEFT JOIN f ON p.h = f.h AND payload_bytes >= 100
     """,
+    "op8_window_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50)),
+        f AS (SELECT t, min(doc_id) AS first FROM win GROUP BY 1 HAVING min(doc_id) < max(doc_id)),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS p FROM win JOIN f USING (t) WHERE first < doc_id),
+        g AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY 1),
+        kept AS (SELECT d.doc_id, string_agg(d.w[i], ' ' ORDER BY i) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d) d LEFT JOIN gone ON gone.doc_id = d.doc_id AND gone.p = d.i WHERE gone.p IS NULL GROUP BY 1)
+        SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(g.n, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id) LEFT JOIN kept USING (doc_id)
+    """,
+    "op9_decontaminate": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+        b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        iw AS (SELECT DISTINCT item_id, array_to_string(w[i:i + least(len(w), 13) - 1], ' ') AS t, least(len(w), 13) AS n FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+        dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS t FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+        h AS (SELECT doc_id, i, dw.n, item_id FROM dw JOIN iw USING (t, n)),
+        p AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + n)) AS p FROM h) GROUP BY 1),
+        x AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+               coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+        FROM d LEFT JOIN p USING (doc_id) LEFT JOIN x USING (doc_id)
+    """,
+    "op1_jaccard_join": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 4) - 1], ' ') AS t FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        k AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS c FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        e AS (SELECT u, v FROM k JOIN n x ON x.doc_id = u JOIN n y ON y.doc_id = v WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        both_ways AS (SELECT u, v FROM e UNION ALL SELECT v, u FROM e),
+        r AS (SELECT DISTINCT u AS doc_id, u AS c FROM both_ways UNION SELECT r.doc_id, g.v FROM r JOIN both_ways g ON g.u = r.c),
+        m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY 1)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+    """,
 }
