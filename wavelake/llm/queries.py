@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavelake.llm.textkit import arrow_limits, shared_dir
+from wavelake.llm.textkit import arrow_limits, expire, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     register(spark)
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     archive(table(spark, sf_dir, "pages"), path)
+    expire(spark, path)
     read = spark.read.format("warc").load(path)
     page = lambda c: F.regexp_extract(c, "^<urn:page:(.*)>$", 1)
     responses = read.filter("record_type = 'response'").select(

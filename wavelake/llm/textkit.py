@@ -196,11 +196,16 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+def expire(spark: SparkSession, path: str) -> None:
+    """Delete a path when the application ends."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read back: its lineage ends here."""
     spark = frame.sparkSession
     path = f"{shared_dir(spark)}/wavelake-{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+    expire(spark, path)
     return spark.read.schema(frame.schema).parquet(path)
