@@ -102,6 +102,8 @@ def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     key = ["need", "r", "r2"]
     place = F.struct(*PLACE)
     first = runs_.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    # Written, so that the join below deals out its sides anew and Spark can split a frequent run.
+    first = stored(first, "line-firsts")
     later = runs_.join(first, key).filter(place != F.col("first"))
     return later.groupBy("did", "th").agg(F.collect_list(F.struct("pos", "need")).alias("cuts"))
 
