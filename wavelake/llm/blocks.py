@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelake.llm.textkit import U64, mix
+from wavelake.llm.textkit import U64, mix, trim
 
 BLOCK = "part int, kind int, keys binary, docs binary, many binary"
 BLOCK_ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("many", pa.binary())])
@@ -65,7 +65,7 @@ def answers(n: int, kind: int, docs: np.ndarray, keys: np.ndarray) -> Iterator[p
         yield blocks(n, kind, home(docs, n), docs, keys)
 
 
-def received(batches: Iterator[pa.RecordBatch], wide: int, out: list) -> Iterator[pa.RecordBatch]:
+def received(batches: Iterator[pa.RecordBatch], wide: int, out: list, kind=np.uint64) -> Iterator[pa.RecordBatch]:
     """Pass answers on and gather the values of a part into out: keys, docs, flags."""
     keys, docs, many = [], [], []
     for batch in batches:
@@ -75,12 +75,13 @@ def received(batches: Iterator[pa.RecordBatch], wide: int, out: list) -> Iterato
             yield batch.take(pa.array(rest))
         for i in np.flatnonzero(kinds == VALUES).tolist():
             d = unpacked_ids(batch["docs"][i].as_py())
-            k = np.frombuffer(batch["keys"][i].as_py(), dtype=np.uint64)
+            k = np.frombuffer(batch["keys"][i].as_py(), dtype=kind)
             docs.append(d)
             keys.append(k.reshape(-1, wide) if wide > 1 else k)
             flags = batch["many"][i].as_py()
             many.append(np.unpackbits(np.frombuffer(flags, dtype=np.uint8), count=len(d)).astype(bool) if flags else np.zeros(len(d), dtype=bool))
     if keys:
+        trim()
         out += [np.concatenate(keys), np.concatenate(docs), np.concatenate(many)]
 
 

@@ -9,17 +9,18 @@ corpus order to that depth only, so both suffix orders are kept to it: the
 suffixes of the parse as classes by hash, those of the dictionary as the
 strings before a trigger.
 
-1. Parse. The class of each trigger's right side (`width / 2` bytes) is
-   counted. Where it stands alone no string around the trigger can repeat.
-2. Dictionary. For the triggers left, the class of phrase and full right side
-   together. Where two agree, all strings that start in the phrase repeat.
-3. Combination. Where one right side has different contexts, one holder of
-   each context names the classes of the strings that start in its phrase, and
-   equal classes meet.
+1. Each trigger names the class of its right side (the parse suffix, to
+   `width / 2` bytes) and the class of its phrase with the full right side (the
+   dictionary word in its context). A right side that stands alone rules out
+   repeats around the trigger. Where two contexts agree, all strings that
+   start in the phrase repeat.
+2. Where one right side has different contexts, one holder of each context
+   names the classes of the strings that start in its phrase, and equal classes
+   meet.
 
 Strings whose next trigger is further than `width / 2` away (long phrases)
-are classed one by one beside the triggers. All classes that decide are 128
-bits wide.
+are classed one by one beside the triggers. A context is told by 64 bits and
+by 32 and its part of the right side, a string by 128 bits.
 """
 
 from __future__ import annotations
@@ -33,14 +34,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelake.llm.blocks import BLOCK, VALUES, answers, blocks, delivered, exchanged, received
-from wavelake.llm.textkit import BYTE_A, BYTE_B, U64, Rolling, arrow_limits, gathered, mix, partitions, ragged, runs, utf8
+from wavelake.llm.textkit import BYTE_A, BYTE_B, U64, Rolling, arrow_limits, gathered, mix, partitions, ragged, runs, stored, utf8
 
 GRAM = 12
 #: One gram in so many is a trigger: the mean length of a phrase.
 RATE = 20
 FAR = U64(0xC2B2AE3D27D4EB4F)
 
-SHARED, FULL, MIXED, STRING = 1, 2, 3, 4
+FULL, MIXED, STRING = 1, 2, 3
 OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 OUT = "doc_id bigint, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary"
 
@@ -119,11 +120,13 @@ def grouped(first: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, n
     return order, at, np.diff(np.append(at, len(a)))
 
 
-def sent(n: int, keys: np.ndarray, docs: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
-    """Values with a holder each, and whether there are more, by part."""
-    lead = keys[:, 0] if keys.ndim == 2 else keys
-    part = ((lead * U64(0xD1342543DE82EF95)) >> U64(32)) % U64(n)
-    return blocks(n, VALUES, part.astype(np.int64), docs, keys, many)
+def part_of(lead: np.ndarray, n: int) -> np.ndarray:
+    return (((lead * U64(0xD1342543DE82EF95)) >> U64(32)) % U64(n)).astype(np.int64)
+
+
+def short(right: np.ndarray) -> np.ndarray:
+    """32 bits of a right side's class; the part that it goes to tells more."""
+    return right & U64(0xFFFFFFFF)
 
 
 def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
@@ -147,44 +150,15 @@ def _round1(n: int, width: int):
             p = parse(data, offsets, width)
             if not len(p.at):
                 continue
-            docs = ids[p.row]
-            order, at, size = grouped(p.right, None)
-            shared = order[np.repeat(size > 1, size)]
-            yield from answers(n, SHARED, docs[shared], p.right[shared])
-            yield sent(n, p.right[order[at]], docs[order[at]], size > 1)
-
-    return run
-
-
-def _shared(n: int, kind: int, wide: int):
-    """Entries that others equal: an answer to each holder that doesn't know yet."""
-
-    def run(batches):
-        got: list = []
-        yield from received(batches, wide, got)
-        if got:
-            keys, docs, many = got
-            order, at, size = grouped(keys, None) if wide == 1 else grouped(keys[:, 0], keys[:, 1])
-            hit = order[np.repeat(size > 1, size)]
-            hit = hit[~many[hit]]
-            yield from answers(n, kind, docs[hit], keys[hit] if wide == 1 else union(keys[hit, 0], keys[hit, 1]))
-
-    return run
-
-
-def _round2(n: int, width: int):
-    def run(batches):
-        for table, ids, data, offsets in texts(batches):
-            p = parse(data, offsets, width)
-            which = np.flatnonzero(np.isin(p.right, told(table, SHARED)))
-            if not len(which):
-                continue
-            right, context, docs = p.right[which], contexts(p, which, Rolling(BYTE_B[data], 1)), ids[p.row[which]]
-            order, at, size = grouped(right, context)
+            docs, context = ids[p.row], contexts(p, np.arange(len(p.at)), Rolling(BYTE_B[data], 1))
+            order, at, size = grouped(p.right, context)
             full = order[np.repeat(size > 1, size)]
+            yield from answers(n, FULL, docs[full], union(short(p.right[full]), context[full]))
             lead = order[at]
-            yield from answers(n, FULL, docs[full], union(right[full], context[full]))
-            yield sent(n, np.stack([right[lead], context[lead]], axis=1), docs[lead], size > 1)
+            keys = np.empty((len(lead), 3), dtype=np.uint32)
+            keys[:, 0] = short(p.right[lead])
+            keys[:, 1:] = context[lead].view(np.uint32).reshape(-1, 2)
+            yield blocks(n, VALUES, part_of(p.right[lead], n), docs[lead], keys, size > 1)
 
     return run
 
@@ -194,32 +168,47 @@ def _contexts(n: int):
 
     def run(batches):
         got: list = []
-        yield from received(batches, 2, got)
+        yield from received(batches, 3, got, np.uint32)
         if not got:
             return
         keys, docs, many = got
-        order, at, size = grouped(keys[:, 0], keys[:, 1])
-        both = union(keys[:, 0], keys[:, 1])
+        right, context = keys[:, 0].astype(np.uint64), np.ascontiguousarray(keys[:, 1:]).view(np.uint64).ravel()
+        order, at, size = grouped(right, context)
         hit = order[np.repeat(size > 1, size)]
         hit = hit[~many[hit]]
-        yield from answers(n, FULL, docs[hit], both[hit])
+        yield from answers(n, FULL, docs[hit], union(right[hit], context[hit]))
         lead = order[at]
-        side = keys[lead, 0]
-        new = np.concatenate([[True], side[1:] != side[:-1]])
-        starts = np.flatnonzero(new)
+        side = right[lead]
+        starts = np.flatnonzero(np.concatenate([[True], side[1:] != side[:-1]]))
         several = np.diff(np.append(starts, len(side)))
         mixed = lead[np.repeat(several > 1, several)]
-        yield from answers(n, MIXED, docs[mixed], both[mixed])
+        yield from answers(n, MIXED, docs[mixed], union(right[mixed], context[mixed]))
 
     return run
 
 
-def _round3(n: int, width: int):
+def _strings(n: int):
+    """Strings that occur more than once: an answer to each holder that doesn't know yet."""
+
+    def run(batches):
+        got: list = []
+        yield from received(batches, 2, got)
+        if got:
+            keys, docs, many = got
+            order, at, size = grouped(keys[:, 0], keys[:, 1])
+            hit = order[np.repeat(size > 1, size)]
+            hit = hit[~many[hit]]
+            yield from answers(n, STRING, docs[hit], union(keys[hit, 0], keys[hit, 1]))
+
+    return run
+
+
+def _round2(n: int, width: int):
     def run(batches):
         for table, ids, data, offsets in texts(batches):
             p, other = parse(data, offsets, width), Rolling(BYTE_B[data], 1)
             which = np.arange(len(p.at))
-            which = which[np.isin(union(p.right, contexts(p, which, other)), told(table, MIXED))]
+            which = which[np.isin(union(short(p.right), contexts(p, which, other)), told(table, MIXED))]
             if not len(which):
                 continue
             starts, index, second = strings(p, which, other, width)
@@ -228,7 +217,7 @@ def _round3(n: int, width: int):
             shared = order[np.repeat(size > 1, size)]
             lead = order[at]
             yield from answers(n, STRING, docs[shared], union(first[shared], second[shared]))
-            yield sent(n, np.stack([first[lead], second[lead]], axis=1), docs[lead], size > 1)
+            yield blocks(n, VALUES, part_of(first[lead], n), docs[lead], np.stack([first[lead], second[lead]], axis=1), size > 1)
 
     return run
 
@@ -245,7 +234,7 @@ def _removals(width: int):
             if len(full) or len(one):
                 p, other = parse(data, offsets, width), Rolling(BYTE_B[data], 1)
                 which = np.arange(len(p.at))
-                both = union(p.right, contexts(p, which, other))
+                both = union(short(p.right), contexts(p, which, other))
                 whole = np.isin(both, full)
                 a = p.at[whole]
                 delta = np.zeros(len(data) + 1, dtype=np.int32)
@@ -285,12 +274,11 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 200) -> DataFrame:
     arrow_limits(spark)
     n = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # One shuffle of the texts by document, which the joins below share.
+    first = stored(delivered(exchanged(docs.mapInArrow(_round1(n, width), BLOCK), n, _contexts(n)), n), "byte-contexts")
+    # One shuffle of the texts by document, which both joins below use.
     docs = docs.repartition(n, "doc_id")
-
-    first = delivered(exchanged(docs.mapInArrow(_round1(n, width), BLOCK), n, _shared(n, SHARED, 1)), n)
-    second = delivered(exchanged(docs.join(first, "doc_id").mapInArrow(_round2(n, width), BLOCK), n, _contexts(n)), n)
-    third = delivered(exchanged(docs.join(second, "doc_id").mapInArrow(_round3(n, width), BLOCK), n, _shared(n, STRING, 2)), n)
-    both = docs.join(second, "doc_id", "left").join(third.withColumnRenamed("told", "more"), "doc_id", "left")
+    open_ = first.filter(F.exists("told", lambda t: t["kind"] == MIXED))
+    second = delivered(exchanged(docs.join(open_, "doc_id").mapInArrow(_round2(n, width), BLOCK), n, _strings(n)), n)
+    both = docs.join(first, "doc_id", "left").join(second.withColumnRenamed("told", "more"), "doc_id", "left")
     nothing = F.array().cast("array<struct<kind:int,keys:binary>>")
     return both.select("doc_id", "text", F.concat(F.coalesce("told", nothing), F.coalesce("more", nothing)).alias("told")).mapInArrow(_removals(width), OUT)
