@@ -13,8 +13,9 @@ look. (Of x and y the one whose window ends first in hash order finds the
 other, since all of the other's pivots up to there are in its window too.)
 
 Recursion. The regions with a searching member are gathered under their least
-document. Groups of up to `MOST` are joined in memory. In larger ones a
-document becomes pivot, all members are compared to it in chunks, and what it
+document. Groups of up to `MOST` are joined in memory. From larger ones the
+members go that lie too far from all others: those with more than a shingles
+that no one else in the group has. Of the rest a document becomes pivot, all members are compared to it in chunks, and what it
 links is one component from then on. Members of other components become the
 next pivots, and two members are compared only where their distances to the
 first pivot differ by no more than the threshold (the triangle inequality
@@ -35,13 +36,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wavelake.llm.components import components
-from wavelake.llm.textkit import BYTE_A, LOWER, U64, Rolling, arrow_limits, gathered, partitions, ragged, stored, utf8, words
+from wavelake.llm.textkit import BYTE_A, LOWER, U64, Rolling, arrow_limits, gathered, mix, partitions, ragged, stored, trim, utf8, words
 from wavelake.llm.blocks import BLOCK as TOLD_BLOCK
-from wavelake.llm.blocks import answers, delivered, packed_ids, unpacked_ids
+from wavelake.llm.blocks import VALUES, answers, delivered, packed_ids, received, unpacked_ids
+from wavelake.llm.blocks import blocks as packed_blocks
 
 #: Members of a group that are joined in one task, and of a chunk of a larger one.
 MOST = 200
-#: Pivots of a large group in one round.
+#: Pivots of a large group in one round, about (they are drawn by hash from four times as many slots).
 PIVOTS = 256
 
 FIRST = "doc_id bigint, n bigint, fp binary, part int, keys binary, docs binary, sizes binary, probe binary"
@@ -218,10 +220,56 @@ def _sets(k: int):
     return run
 
 
+def _group_shingles(n_parts: int):
+    """Every shingle of a group's members, named by group and shingle; the holder is the row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in gathered(batches, "s"):
+            data, offsets = utf8(table["s"])
+            size = np.diff(offsets) // 8
+            g = mix(table["g"].to_numpy().astype(np.int64).view(np.uint64))
+            keys = mix(np.frombuffer(data.tobytes(), dtype=np.uint64) ^ np.repeat(g, size))
+            part = ((keys >> U64(32)) % U64(n_parts)).astype(np.int64)
+            yield packed_blocks(n_parts, VALUES, part, np.repeat(table["row"].to_numpy(), size), (keys & U64(0xFFFFFFFF)).astype(np.uint32))
+
+    return run
+
+
+def _shared_counts(n_parts: int):
+    """How many of a row's shingles in this part another member of its group has, addressed to the row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got: list = []
+        yield from received(batches, 1, got, np.uint32)
+        if got:
+            order = np.argsort(got[0], kind="stable")
+            keys, rows = got[0][order], got[1][order]
+            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            n = np.diff(np.append(at, len(keys)))
+            who, count = np.unique(rows[np.repeat(n > 1, n)], return_counts=True)
+            yield from answers(n_parts, SHARED, who, count.astype(np.uint64))
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each row that counts are addressed to, with their sum."""
+    counts, rows = [], []
+    for batch in batches:
+        for k, d in zip(batch["keys"].to_pylist(), batch["docs"].to_pylist(), strict=True):
+            counts.append(np.frombuffer(k, dtype=np.uint64))
+            rows.append(unpacked_ids(d))
+    if rows:
+        who, at = np.unique(np.concatenate(rows), return_inverse=True)
+        total = np.bincount(at, weights=np.concatenate(counts).astype(float)).astype(np.int64)
+        yield from pa.Table.from_arrays([pa.array(who), pa.array(total)], names=["row", "k"]).to_batches(max_chunksize=5000)
+
+
 def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
     """Runs of rows of equal (g, chunk) from sorted batches."""
     held: list[dict] = []
     for batch in batches:
+        trim()
         for row in batch.to_pylist():
             if held and (held[0]["g"] != row["g"] or held[0]["chunk"] != row["chunk"]):
                 yield held
@@ -340,16 +388,30 @@ def jaccard_classes(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5)
     grouped = stored(members.join(sizes, "g"), "jaccard-groups")
 
     active = members.select(F.col("x").alias("doc_id")).distinct()
-    sets = stored(docs.join(active, "doc_id").mapInArrow(_sets(k), "x bigint, s binary"), "jaccard-active")
+    sets = stored(docs.join(active.hint("merge"), "doc_id").mapInArrow(_sets(k), "x bigint, s binary"), "jaccard-active")
 
     def compared(rows: DataFrame, name: str) -> DataFrame:
-        rows = rows.join(sets, "x").select("g", "chunk", "x", "s", "role", "c", "d", "tell")
+        rows = rows.join(sets.hint("merge"), "x").select("g", "chunk", "x", "s", "role", "c", "d", "tell")
         rows = rows.repartition(4 * n, "g", "chunk").sortWithinPartitions("g", "chunk", "x")
         return stored(rows.mapInArrow(_compare(share), EDGE), name)
 
     none_c, none_d = F.lit(None).cast("bigint").alias("c"), F.lit(None).cast("double").alias("d")
-    small = grouped.filter(F.col("m") <= most).select("g", F.lit(0).alias("chunk"), "x", F.when(F.col("probe"), F.lit(2)).otherwise(F.lit(1)).alias("role"), none_c, none_d, F.lit(False).alias("tell"))
-    large = grouped.filter(F.col("m") > most).withColumn("chunks", F.ceil(F.col("m") / most).cast("int"))
+    small = grouped.filter(F.col("m") <= most)
+    large = stored(grouped.filter(F.col("m") > most).select("g", "x", "probe", F.monotonically_increasing_id().alias("row")), "jaccard-large")
+    if not large.isEmpty():
+        named = large.join(sets.hint("merge"), "x").select("g", "row", "s").mapInArrow(_group_shingles(n), TOLD_BLOCK)
+        counts = named.repartitionById(n, F.col("part")).mapInArrow(_shared_counts(n), TOLD_BLOCK)
+        near = counts.repartitionById(n, F.col("part")).mapInArrow(_summed, "row bigint, k bigint")
+        held = large.join(near, "row").join(sets.select("x", (F.octet_length("s") / 8).cast("bigint").alias("n")), "x")
+        may = F.col("n") + F.floor(-F.col("n") * share[0] / share[1])
+        held = stored(held.filter(F.col("n") - F.col("k") <= may).select("g", "x", "probe"), "jaccard-held")
+        sizes = held.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min(F.when(F.col("probe"), F.col("x"))).alias("p"))
+        large = stored(held.join(sizes, "g").filter("m > 1 and p is not null"), "jaccard-large")
+        small = small.unionByName(large.filter(F.col("m") <= most).select(*small.columns))
+    else:
+        large = grouped.filter("false")
+    small = small.select("g", F.lit(0).alias("chunk"), "x", F.when(F.col("probe"), F.lit(2)).otherwise(F.lit(1)).alias("role"), none_c, none_d, F.lit(False).alias("tell"))
+    large = large.filter(F.col("m") > most).withColumn("chunks", F.ceil(F.col("m") / most).cast("int"))
     chunk = F.pmod(F.xxhash64("x"), F.col("chunks")).cast("int").alias("chunk")
     lone = large.filter("x = p").select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "x", F.lit(0).alias("role"), none_c, none_d, F.lit(True).alias("tell"))
     rest = large.filter("x <> p").select("g", chunk, "x", F.lit(1).alias("role"), none_c, none_d, F.lit(True).alias("tell"))
@@ -372,7 +434,7 @@ def jaccard_classes(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5)
             cover = fresh.groupBy("g").agg(F.count_if("probe").alias("searchers"), F.count_if(F.col("c") != F.col("main")).alias("outside"))
             cover = cover.join(now.groupBy("g").agg(F.count_if("probe").alias("all_searchers")), "g").filter("all_searchers > 0")
             wanted = fresh.join(cover, "g").filter(F.when(F.col("searchers") <= F.col("outside"), F.col("probe")).otherwise(F.col("c") != F.col("main")))
-            chosen = stored(wanted.groupBy("g", F.pmod(F.xxhash64("x", F.lit(1)), F.lit(pivots)).alias("slot")).agg(F.min("x").alias("x")).select("g", "x"), "jaccard-pivots")
+            chosen = stored(wanted.groupBy("g", F.pmod(F.xxhash64("x", F.lit(1)), F.lit(4 * pivots)).alias("slot")).agg(F.min("x").alias("x")).select("g", "x"), "jaccard-pivots")
             if chosen.isEmpty():
                 break
             heads = now.join(chosen, ["g", "x"])
