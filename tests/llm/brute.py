@@ -98,6 +98,20 @@ def lines(rows, min_words):
     return sorted(out)
 
 
+def maximal_line_runs(rows, min_words):
+    """Lines of the runs, of any length from min_words words on, that also stand earlier; ids are distinct."""
+    docs = [(d, text.split("\n")) for d, text in sorted(rows, key=lambda r: r[0]) if text is not None]
+    first, gone = {}, {d: [False] * len(x) for d, x in docs}
+    for d, x in docs:
+        for i in range(len(x)):
+            n = 0
+            for j in range(i, len(x)):
+                n += len(WORD.findall(x[j]))
+                if n >= min_words and first.setdefault(tuple(x[i : j + 1]), (d, i)) != (d, i):
+                    gone[d][i : j + 1] = [True] * (j + 1 - i)
+    return {d: "\n".join(a for a, b in zip(x, gone[d]) if not b) for d, x in docs}
+
+
 def contamination(rows, items, width=13):
     split = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     by = defaultdict(set)

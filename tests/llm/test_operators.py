@@ -99,6 +99,17 @@ def test_lines(spark, seed, least):
     assert got == brute.lines(rows, least)
 
 
+@pytest.mark.parametrize("seed,least", [(4, 6), (5, 20)])
+def test_maximal_line_runs(spark, seed, least):
+    r = random.Random(seed)
+    lines = [" ".join(f"w{r.randrange(50)}" for _ in range(r.randint(0, 5))) for _ in range(40)]
+    rows = [(d, "\n".join(r.choice(lines) for _ in range(r.randint(1, 25)))) for d in range(20)]
+    rows += [(20 + d, "\n".join([f"own{d}", *t.split("\n")[r.randint(0, 3) :], r.choice(lines)])) for d, t in rows]
+    rows += [(50, None), (51, "a b c d e f g\nthe end"), (52, "a b c d e f g\nthe end"), (53, "new\na b c d e f g\nthe end\n\nnew")]
+    got = {x.doc_id: x.kept for x in line_dedup.remove_repeated_lines(frame(spark, rows).repartition(3), least).collect() if x.doc_id != 50}
+    assert got == brute.maximal_line_runs(rows, least) and (least > 6 or (got[52], got[53]) == ("", "new\n\nnew"))
+
+
 def test_cleaned_documents_keep_their_columns(spark):
     rows = [(1, "a b c d e f g\nx"), (2, "a b c d e f g\ny"), (3, "a b c d e f g"), (4, None), (5, "")]
     out = {r.doc_id: r for r in line_dedup.clean(frame(spark, rows).withColumn("did", F.lit(9))).collect()}

@@ -7,11 +7,14 @@ range partitions. Suffixes that share h lines form an interval of the suffix
 array, which is one rank of that round; those alone in their interval drop
 out, and rounds end when none is left or the runs are long enough.
 
-A repeated run counts from `min_words` words on. How many lines that takes at a
-place is known from the document alone, and two ranks of a power of two that
-overlap name the interval of runs of just that length. All runs of an
-interval but the first in corpus order are later copies. Their union gives the
-maximal repeated runs, whose lines are deleted.
+A repeated run counts from `min_words` words on. How many lines that takes from
+a place onwards, and up to a place back, is known from the document alone, and
+two ranks of a power of two that overlap name the interval of runs of just that
+length. All runs of an interval but the first in corpus order are later copies.
+A line of a longer repeated run lies in the shortest window that starts at it
+or, where the rest of the run is too short, in the shortest one that ends with
+the run; so the union of both kinds gives the maximal repeated runs, whose lines
+are deleted.
 
 Every rank is given to distinct keys and joined back, so a line that a third
 of all documents hold costs one key; the join's other side can be split.
@@ -75,7 +78,7 @@ def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     lines = stored(lines.select(*PLACE, F.unhex(F.md5("line")).alias("id"), words.alias("nw")).dropDuplicates(PLACE), "lines")
     level = stored(ranked(lines.select(*PLACE, "id", "nw"), ["id"], "line-ids").select(*PLACE, "nw", F.col("rank").alias("r")), "line-ranks")
 
-    # Lines needed from each place: the least run of repeated lines with enough words.
+    # Lines needed from and up to each place: the least runs of repeated lines with enough words.
     island = F.expr("pos - row_number() over (partition by did, th order by pos)")
     by_doc = level.withColumn("g", island).groupBy("did", "th", "g").agg(F.array_sort(F.collect_list(F.struct("pos", "nw"))).alias("a"))
     needs = stored(by_doc.mapInArrow(_needs(min_words), "did bigint, th bigint, pos int, need int"), "line-needs")
@@ -118,11 +121,15 @@ def _needs(min_words: int):
                 pos, nw = a.values.field("pos").to_numpy(), a.values.field("nw").to_numpy()
                 sums = np.concatenate([[0], np.cumsum(nw.astype(np.int64))])
                 end = np.searchsorted(sums, sums[:-1] + min_words)
-                ok = np.flatnonzero(end < len(sums))
-                out[0] += [did] * len(ok)
-                out[1] += [th] * len(ok)
-                out[2] += pos[ok].tolist()
-                out[3] += (end[ok] - ok).tolist()
+                onwards = np.flatnonzero(end < len(sums))
+                start = np.searchsorted(sums, sums[1:] - min_words, side="right") - 1
+                back = np.flatnonzero(start >= 0)
+                # Windows of both kinds, each once.
+                first, last = np.divmod(np.unique(np.concatenate([onwards * len(sums) + end[onwards], start[back] * len(sums) + back + 1])), len(sums))
+                out[0] += [did] * len(first)
+                out[1] += [th] * len(first)
+                out[2] += pos[first].tolist()
+                out[3] += (last - first).tolist()
             yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, schema, strict=True)], schema=schema)
 
     return run
