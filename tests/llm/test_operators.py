@@ -110,6 +110,18 @@ def test_maximal_line_runs(spark, seed, least):
     assert got == brute.maximal_line_runs(rows, least) and (least > 6 or (got[52], got[53]) == ("", "new\n\nnew"))
 
 
+def test_lines_of_few_words(spark, tmp_path):
+    thai, footer = "ภาษาไทยไม่มีช่องว่างระหว่างคำ", "All rights reserved"
+    rows = [(d, "\n".join([f"own{d}", thai, f"mine{d}", footer, f"last{d}", "short"])) for d in range(4)] + [(4, "half of it\nand all"), (5, "half of it\nand all\nx")]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = {r.doc_id: r.n_removed for r in queries.op6_line_dedup(spark, str(tmp_path)).collect()}
+    assert out == {0: 0, 1: 2, 2: 2, 3: 2, 4: 0, 5: 0}
+    kept = {r.doc_id: r.text for r in line_dedup.clean(frame(spark, rows)).collect()}
+    assert kept[3] == "own3\nmine3\nlast3\nshort"
+    by_chars = {r.doc_id: r.kept for r in line_dedup.remove_repeated_lines(frame(spark, rows), min_chars=14).collect()}
+    assert by_chars[5] == "x"
+
+
 def test_cleaned_documents_keep_their_columns(spark):
     rows = [(1, "a b c d e f g\nx"), (2, "a b c d e f g\ny"), (3, "a b c d e f g"), (4, None), (5, "")]
     out = {r.doc_id: r for r in line_dedup.clean(frame(spark, rows).withColumn("did", F.lit(9))).collect()}

@@ -7,7 +7,7 @@ range partitions. Suffixes that share h lines form an interval of the suffix
 array, which is one rank of that round; those alone in their interval drop
 out, and rounds end when none is left or the runs are long enough.
 
-A repeated run counts from `min_words` words on. How many lines that takes from
+A repeated run counts from `min_words` words or `min_chars` characters on. How many lines that takes from
 a place onwards, and up to a place back, is known from the document alone, and
 two ranks of a power of two that overlap name the interval of runs of just that
 length. All runs of an interval but the first in corpus order are later copies.
@@ -33,6 +33,10 @@ from wavelake.llm.textkit import arrow_limits, gathered, partitions, runs, store
 
 #: Words that make a repeated run worth deleting.
 MIN_WORDS = 6
+#: Characters other than white space that do so as well, however few words they are.
+MIN_CHARS = 16
+#: White space, as between words.
+SPACE = " \t\n\v\f\r"
 PLACE = ["did", "th", "pos"]
 OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n_lines", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.string())])
 OUT = "doc_id bigint, th bigint, n_lines bigint, spans array<struct<start:bigint,end:bigint>>, kept string"
@@ -70,18 +74,21 @@ def with_identity(docs: DataFrame) -> DataFrame:
     return docs.withColumn("did", F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))).withColumn("th", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
 
 
-def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def copies(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int | None = None) -> DataFrame:
     """(did, th, cuts): for each document with later copies of line runs, their (pos, need) windows."""
     one = with_identity(docs).filter("text is not null")
     lines = one.select("did", "th", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     words = F.regexp_count("line", F.lit("[^\\x20\\x09-\\x0D]+")).cast("int")
-    lines = stored(lines.select(*PLACE, F.unhex(F.md5("line")).alias("id"), words.alias("nw")).dropDuplicates(PLACE), "lines")
-    level = stored(ranked(lines.select(*PLACE, "id", "nw"), ["id"], "line-ids").select(*PLACE, "nw", F.col("rank").alias("r")), "line-ranks")
+    # A line with enough words makes any run long enough, so its characters need no count.
+    chars = F.lit(0) if min_chars is None else F.when(F.col("nw") < min_words, F.char_length(F.translate("line", SPACE, ""))).otherwise(0)
+    lines = lines.select(*PLACE, "line", words.alias("nw")).select(*PLACE, F.unhex(F.md5("line")).alias("id"), "nw", chars.alias("nc"))
+    lines = stored(lines.dropDuplicates(PLACE), "lines")
+    level = stored(ranked(lines.select(*PLACE, "id", "nw", "nc"), ["id"], "line-ids").select(*PLACE, "nw", "nc", F.col("rank").alias("r")), "line-ranks")
 
-    # Lines needed from and up to each place: the least runs of repeated lines with enough words.
+    # Lines needed from and up to each place: the least runs of repeated lines with enough words or characters.
     island = F.expr("pos - row_number() over (partition by did, th order by pos)")
-    by_doc = level.withColumn("g", island).groupBy("did", "th", "g").agg(F.array_sort(F.collect_list(F.struct("pos", "nw"))).alias("a"))
-    needs = stored(by_doc.mapInArrow(_needs(min_words), "did bigint, th bigint, pos int, need int"), "line-needs")
+    by_doc = level.withColumn("g", island).groupBy("did", "th", "g").agg(F.array_sort(F.collect_list(F.struct("pos", "nw", "nc"))).alias("a"))
+    needs = stored(by_doc.mapInArrow(_needs(min_words, min_chars), "did bigint, th bigint, pos int, need int"), "line-needs")
     longest = needs.agg(F.max("need")).first()[0] or 0
 
     levels, h = [level.select(*PLACE, "r")], 1
@@ -111,21 +118,23 @@ def copies(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return later.groupBy("did", "th").agg(F.collect_list(F.struct("pos", "need")).alias("cuts"))
 
 
-def _needs(min_words: int):
+def _needs(min_words: int, min_chars: int | None):
     schema = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("pos", pa.int32()), ("need", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for did, th, a in zip(batch["did"].to_pylist(), batch["th"].to_pylist(), batch["a"], strict=True):
-                pos, nw = a.values.field("pos").to_numpy(), a.values.field("nw").to_numpy()
-                sums = np.concatenate([[0], np.cumsum(nw.astype(np.int64))])
-                end = np.searchsorted(sums, sums[:-1] + min_words)
-                onwards = np.flatnonzero(end < len(sums))
-                start = np.searchsorted(sums, sums[1:] - min_words, side="right") - 1
-                back = np.flatnonzero(start >= 0)
+                pos, n = a.values.field("pos").to_numpy(), len(a)
+                end, start = np.full(n, n + 1), np.full(n, -1)
+                for name, least in (("nw", min_words), ("nc", min_chars)):
+                    if least is not None:
+                        sums = np.concatenate([[0], np.cumsum(a.values.field(name).to_numpy().astype(np.int64))])
+                        end = np.minimum(end, np.searchsorted(sums, sums[:-1] + least))
+                        start = np.maximum(start, np.searchsorted(sums, sums[1:] - least, side="right") - 1)
+                onwards, back = np.flatnonzero(end <= n), np.flatnonzero(start >= 0)
                 # Windows of both kinds, each once.
-                first, last = np.divmod(np.unique(np.concatenate([onwards * len(sums) + end[onwards], start[back] * len(sums) + back + 1])), len(sums))
+                first, last = np.divmod(np.unique(np.concatenate([onwards * (n + 1) + end[onwards], start[back] * (n + 1) + back + 1])), n + 1)
                 out[0] += [did] * len(first)
                 out[1] += [th] * len(first)
                 out[2] += pos[first].tolist()
@@ -156,11 +165,12 @@ def _rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), table["th"].combine_chunks(), pa.array(counts, pa.int64()), pa.array(spans, OUT_ARROW.field("spans").type), pa.array(kept, pa.string())], schema=OUT_ARROW)
 
 
-def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int | None = None) -> DataFrame:
     """(doc_id, th, n_lines, spans, kept) for each row of docs (doc_id, text).
 
     A line is deleted where it lies in a run of lines of `min_words` words or
-    more, none of them empty of copies, that also stands earlier: in a
+    more, or of `min_chars` characters other than white space (None: words
+    alone count), none of them empty of copies, that also stands earlier: in a
     document of smaller id (null ids last, then by a hash of the text), or
     further up in the same one. Lines end at line feeds alone. `spans` are the
     maximal deleted runs; `kept` the other lines (null for a null text, empty
@@ -169,7 +179,7 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFr
     """
     arrow_limits(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    cuts = copies(docs, min_words)
+    cuts = copies(docs, min_words, min_chars)
     return with_identity(docs).join(cuts, ["did", "th"], "left").select("doc_id", "th", "text", "cuts").mapInArrow(_rebuilt, OUT)
 
 
@@ -191,13 +201,13 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from table.filter(pa.array(stays)).combine_chunks().to_batches()
 
 
-def clean(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def clean(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int | None = MIN_CHARS) -> DataFrame:
     """All columns of docs (doc_id, text, ...), the texts without later copies of line runs.
 
     A document whose lines are all later copies is one itself and goes.
     """
     arrow_limits(docs.sparkSession)
-    cuts = copies(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), min_words)
+    cuts = copies(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), min_words, min_chars)
     mine = docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))).withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     joined = mine.join(cuts.toDF("_did", "_th", "_cuts"), ["_did", "_th"], "left").select(*docs.columns, "_cuts")
     return joined.mapInArrow(_cleaned, docs.schema)

@@ -52,9 +52,9 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from wavelake.llm.line_dedup import remove_repeated_lines
+    from wavelake.llm.line_dedup import MIN_CHARS, remove_repeated_lines
 
-    out = remove_repeated_lines(table(spark, sf_dir, "documents"))
+    out = remove_repeated_lines(table(spark, sf_dir, "documents"), min_chars=MIN_CHARS)
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
     return out.select("doc_id", "n_lines", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
