@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import brute
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -211,6 +212,17 @@ def test_language_on_held_out_documents(spark):
     assert sum(lang[r.doc_id] == r.lang_pred for r in held) / len(held) > 0.95 and all(0 <= r.score <= 1 for r in out)
 
 
+def test_language_profiles_of_many_copies(spark):
+    few = [f"kolo tiro {chr(97 + i)}nabe suna" for i in range(10)]
+    texts = [(few[i % 10], "xx") for i in range(6000)] + [(f"wug bliv {i} prax dont", "yy") for i in range(500)] + [("wug " * 30, "yy")] * 5000
+    got = language_id.learn(spark.createDataFrame(texts, "text string, lang string").repartition(3), per_language=40)
+    want = language_id.learn(spark.createDataFrame(sorted(set(texts)), "text string, lang string"), per_language=40)
+    assert set(got) == {"xx", "yy"} and all(got[x].tolist() == want[x].tolist() for x in got)
+    counts = [language_id.gram_counts(t, language_id.letter_table()) for t in few]
+    grams, at = np.unique(np.concatenate([g for g, _ in counts]), return_inverse=True)
+    assert got["xx"].tolist() == language_id.ranked(grams, np.bincount(at, weights=np.concatenate([c for _, c in counts])).astype(np.int64), language_id.TOP).tolist()
+
+
 def test_language_without_anything_to_learn(spark):
     out = language_id.identify(frame(spark, [(1, "abc")]).withColumn("lang", F.lit(None).cast("string")), queries.held_out(4, 2)).collect()
     assert [(r.lang_pred, r.score) for r in out] == [("und", 0.0)]

@@ -5,8 +5,8 @@ characters of a word padded with blanks), by rank. A document's own profile is
 compared to each language's by the out-of-place distance: the sum over its
 n-grams of how far the ranks lie apart, or `TOP` where the language lacks one.
 
-The profiles are learned from a bounded sample (about `PER_LANGUAGE` documents
-of each language, whole texts, chosen by a hash of the text). Predictions run
+The profiles are learned from a bounded sample (`PER_LANGUAGE` distinct texts of
+each language, or all it has, chosen by a hash of the text). Predictions run
 over all documents in one pass without a shuffle.
 """
 
@@ -20,14 +20,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavelake.llm.textkit import arrow_limits, gathered
+from wavelake.llm.textkit import arrow_limits, gathered, stored
 
 #: N-grams in a profile.
 TOP = 300
-#: Documents a language's profile is learned from, at most.
+#: Distinct texts a language's profile is learned from, at most.
 PER_LANGUAGE = 400
 #: Languages that are learned, the most frequent first.
 LANGUAGES = 200
+#: Rows of a table of languages or of sampled hashes that is broadcast, at most.
+MOST_BROADCAST = 200_000
 
 GRAMS = "lang string, gram bigint, n bigint"
 OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
@@ -80,19 +82,35 @@ def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * m, pa.string()), pa.array(grams[i : i + m]), pa.array(n[i : i + m])], names=["lang", "gram", "n"])
 
 
+def sample_texts(docs: DataFrame, sizes: DataFrame, keys: DataFrame, per_language: int, languages: int) -> DataFrame:
+    """(lang, text): of each language in sizes (lang, c) the per_language distinct texts of least hash, or all c."""
+    sizes = F.broadcast(sizes) if languages <= MOST_BROADCAST else sizes
+    # The place in hash order is found among those of small hash, never over a whole language.
+    wide = 1.3
+    while True:
+        share = F.least(F.lit(1.0), F.lit(wide * (per_language + 50)) / F.col("c"))
+        few = keys.join(sizes, "lang").filter(F.pmod("h", F.lit(1 << 40)) < share * F.lit(float(1 << 40)))
+        held = few.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+        if sizes.join(held, "lang", "left").filter(F.coalesce("n", F.lit(0)) < F.least(F.lit(per_language), F.col("c"))).isEmpty():
+            break
+        wide *= 4
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "h"))
+    drawn = few.withColumn("r", place).filter(F.col("r") <= per_language).select("lang", "h")
+    drawn = F.broadcast(drawn) if languages * per_language <= MOST_BROADCAST else drawn
+    # Copies of a text are one: each task sends one of them at most.
+    texts = docs.withColumn("h", F.xxhash64("text")).join(drawn, ["lang", "h"], "left_semi")
+    return texts.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
+
+
 def learn(docs: DataFrame, top: int = TOP, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> dict[str, np.ndarray]:
-    """Profiles from docs (text, lang), learned from at most per_language rows of each of the most frequent languages."""
+    """Profiles from docs (text, lang), learned from at most per_language distinct texts of each of the most frequent languages."""
     docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "lang").limit(languages)
-    held = sizes.collect()
-    if not held:
+    keys = stored(docs.select("lang", F.xxhash64("text").alias("h")).distinct(), "language-texts")
+    sizes = stored(keys.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "lang").limit(languages), "languages")
+    n = sizes.count()
+    if not n:
         return {}
-    # The place in hash order is found among those of small hash, never over a whole language.
-    share = F.create_map(*[x for r in held for x in (F.lit(r["lang"]), F.lit(min(1.0, 1.3 * (per_language + 50) / r["c"])))])
-    mark = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
-    few = docs.select("text", "lang", mark.alias("m")).filter(F.col("m") < F.try_element_at(share, F.col("lang")) * F.lit(float(1 << 40)))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy("m", "text"))
-    sample = few.withColumn("r", place).filter(F.col("r") <= per_language).select("lang", "text")
+    sample = sample_texts(docs, sizes, keys, per_language, n)
     counts = sample.mapInArrow(_sample_counts, GRAMS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= top)
     # At most top x languages rows.
