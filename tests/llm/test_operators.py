@@ -223,6 +223,19 @@ def test_language_profiles_of_many_copies(spark):
     assert got["xx"].tolist() == language_id.ranked(grams, np.bincount(at, weights=np.concatenate([c for _, c in counts])).astype(np.int64), language_id.TOP).tolist()
 
 
+def test_every_language_is_learned(spark):
+    r = random.Random(11)
+    words = {f"l{i:03}": ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for i in range(230)}
+    rows = [(10 * i + k, " ".join(r.choice(w) for _ in range(30)), x) for i, (x, w) in enumerate(words.items()) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.identify(docs, F.col("doc_id") % 10 == 2).filter("held_out").collect()
+    assert len(got) == 230 and all(x.lang_pred == f"l{x.doc_id // 10:03}" for x in got)
+    profiles = language_id.learn(docs.filter("doc_id % 10 <> 2"))
+    blocks = language_id.predicted(docs.select("doc_id", (F.col("doc_id") % 10 == 2).alias("held_out"), "text"), profiles, block=60).filter("held_out").collect()
+    assert sorted(blocks) == sorted(got)
+    assert language_id.learn(spark.createDataFrame([("12 3", "xx")], "text string, lang string")) == {}
+
+
 def test_language_without_anything_to_learn(spark):
     out = language_id.identify(frame(spark, [(1, "abc")]).withColumn("lang", F.lit(None).cast("string")), queries.held_out(4, 2)).collect()
     assert [(r.lang_pred, r.score) for r in out] == [("und", 0.0)]

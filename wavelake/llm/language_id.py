@@ -20,20 +20,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavelake.llm.textkit import arrow_limits, gathered, stored
+from wavelake.llm.textkit import arrow_limits, gathered, ragged, stored
 
 #: N-grams in a profile.
 TOP = 300
 #: Distinct texts a language's profile is learned from, at most.
 PER_LANGUAGE = 400
-#: Languages that are learned, the most frequent first.
-LANGUAGES = 200
+#: Languages whose profiles travel together; documents are compared with more of them in blocks.
+BLOCK = 5000
 #: Rows of a table of languages or of sampled hashes that is broadcast, at most.
 MOST_BROADCAST = 200_000
 
 GRAMS = "lang string, gram bigint, n bigint"
-OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
-OUT = "doc_id bigint, held_out boolean, lang_pred string, score double"
+STATE_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.string()), ("near", pa.string()), ("far", pa.int64()), ("total", pa.int64())])
+STATE = "doc_id bigint, held_out boolean, text string, near string, far bigint, total bigint"
 
 
 def letter_table() -> np.ndarray:
@@ -102,53 +102,78 @@ def sample_texts(docs: DataFrame, sizes: DataFrame, keys: DataFrame, per_languag
     return texts.groupBy("lang", "h").agg(F.first("text").alias("text")).select("lang", "text")
 
 
-def learn(docs: DataFrame, top: int = TOP, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES) -> dict[str, np.ndarray]:
-    """Profiles from docs (text, lang), learned from at most per_language distinct texts of each of the most frequent languages."""
+def learn(docs: DataFrame, top: int = TOP, per_language: int = PER_LANGUAGE) -> dict[str, np.ndarray]:
+    """Profiles from docs (text, lang), one for each value of lang, learned from at most per_language distinct texts."""
     docs = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     keys = stored(docs.select("lang", F.xxhash64("text").alias("h")).distinct(), "language-texts")
-    sizes = stored(keys.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "lang").limit(languages), "languages")
+    sizes = stored(keys.groupBy("lang").agg(F.count(F.lit(1)).alias("c")), "languages")
     n = sizes.count()
     if not n:
         return {}
     sample = sample_texts(docs, sizes, keys, per_language, n)
     counts = sample.mapInArrow(_sample_counts, GRAMS).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     best = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).filter(F.col("r") <= top)
-    # At most top x languages rows.
-    out: dict[str, list] = {}
-    for row in best.select("lang", "gram", "r").orderBy("lang", "r").collect():
-        out.setdefault(row["lang"], []).append(row["gram"])
-    return {lang: np.array(grams, dtype=np.int64) for lang, grams in out.items()}
-
-
-def _predict(profiles: dict[str, np.ndarray], top: int):
+    best = stored(best.select("lang", "gram", "r"), "language-profiles")
+    langs = sorted(r[0] for r in sizes.select("lang").collect())
+    out: dict[str, np.ndarray] = {}
+    # At most top x BLOCK rows at once.
+    for i in range(0, n, BLOCK):
+        few = best.filter(F.col("lang").between(langs[i], langs[min(i + BLOCK, n) - 1]))
+        table = few.toArrow().combine_chunks().sort_by([("lang", "ascending"), ("r", "ascending")])
+        names, grams = table["lang"].to_pylist(), table["gram"].to_numpy()
+        at = [k for k in range(len(names)) if not k or names[k] != names[k - 1]] + [len(names)]
+        out |= {names[a]: grams[a:b].copy() for a, b in zip(at, at[1:], strict=False) if a < b}
+    return out
+
+
+def _compare(profiles: dict[str, np.ndarray], top: int, last: bool):
+    """Keeps the nearest language of the rows' own and these: `near`, and its distance `far` (-1 where there is none yet). The last block drops the text."""
     langs = sorted(profiles)
-    known = np.unique(np.concatenate([profiles[x] for x in langs])) if langs else np.zeros(0, dtype=np.int64)
-    ranks = np.full((len(langs), len(known)), -1, dtype=np.int64)
-    for i, lang in enumerate(langs):
-        ranks[i, np.searchsorted(known, profiles[lang])] = np.arange(len(profiles[lang]))
+    size = [len(profiles[x]) for x in langs]
+    grams = np.concatenate([profiles[x] for x in langs])
+    order = np.argsort(grams, kind="stable")
+    # The languages that have an n-gram, and its ranks in them, lie together.
+    known, starts = np.unique(grams[order], return_index=True)
+    starts = np.append(starts, len(grams))
+    who = np.repeat(np.arange(len(langs), dtype=np.int32), size)[order]
+    ranks = np.concatenate([np.arange(n, dtype=np.int32) for n in size])[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = letter_table()
         for batch in batches:
-            preds, scores = [], []
-            for text in batch["text"].to_pylist():
+            near, far, total = batch["near"].to_pylist(), batch["far"].to_pylist(), batch["total"].to_pylist()
+            for k, text in enumerate(batch["text"].to_pylist()):
                 own = ranked(*gram_counts(text or "", letters), top)
-                if not len(own) or not langs:
-                    preds.append("und")
-                    scores.append(0.0)
+                if not len(own):
                     continue
                 at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                there = ranks[:, at]
-                there = np.where((known[at] == own) & (there >= 0), np.abs(there - np.arange(len(own))), top)
-                distance = there.sum(axis=1)
+                mine = np.flatnonzero(known[at] == own)
+                at = at[mine]
+                n = starts[at + 1] - starts[at]
+                found = ragged(starts[at], n)
+                # An n-gram that the language lacks lies `top` apart.
+                gain = top - np.abs(ranks[found] - np.repeat(mine, n))
+                distance = top * len(own) - np.bincount(who[found], weights=gain, minlength=len(langs)).astype(np.int64)
                 i = int(np.argmin(distance))
-                preds.append(langs[i])
-                scores.append(1.0 - float(distance[i]) / (top * len(own)))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], pa.array(preds, pa.string()), pa.array(scores, pa.float64())], schema=OUT_ARROW)
+                total[k] = top * len(own)
+                if far[k] < 0 or distance[i] < far[k]:
+                    near[k], far[k] = langs[i], int(distance[i])
+            texts = pa.nulls(batch.num_rows, pa.string()) if last else batch["text"]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], texts, pa.array(near, pa.string()), pa.array(far, pa.int64()), pa.array(total, pa.int64())], schema=STATE_ARROW)
 
     return run
 
 
+def predicted(rows: DataFrame, profiles: dict[str, np.ndarray], top: int = TOP, block: int = BLOCK) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of rows (doc_id, held_out, text); the profiles are gone through in blocks of languages, in order."""
+    langs = sorted(profiles)
+    rows = rows.select("doc_id", "held_out", "text", F.lit(None).cast("string").alias("near"), F.lit(-1).cast("bigint").alias("far"), F.lit(1).cast("bigint").alias("total"))
+    for i in range(0, len(langs), block):
+        rows = rows.mapInArrow(_compare({x: profiles[x] for x in langs[i : i + block]}, top, i + block >= len(langs)), STATE)
+    score = F.when(F.col("far") < 0, 0.0).otherwise(1.0 - F.col("far").cast("double") / F.col("total"))
+    return rows.select("doc_id", "held_out", F.coalesce("near", F.lit("und")).alias("lang_pred"), score.alias("score"))
+
+
 def identify(docs: DataFrame, held_out: Column, top: int = TOP, per_language: int = PER_LANGUAGE) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of docs (doc_id, text, lang).
 
@@ -161,4 +186,4 @@ def identify(docs: DataFrame, held_out: Column, top: int = TOP, per_language: in
     arrow_limits(docs.sparkSession)
     profiles = learn(docs.filter(~held_out).select("text", "lang"), top, per_language)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predict(profiles, top), OUT)
+    return predicted(rows, profiles, top)
