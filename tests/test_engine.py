@@ -195,3 +195,16 @@ def test_plugin_registry():
 
 def test_vocabulary_sizes():
     assert len(vocab.ORDERS) == 50 and len(vocab.MODES) == 35 and len(vocab.HISARMOD_ORDER) == 26
+
+
+def test_roundtrip_of_labels_above_the_file_limit(spark, tmp_path, monkeypatch):
+    from functools import partial
+
+    from wavelake.plans import extra
+
+    rows = [(i, [1.0] * 64, i % 5 // 4) for i in range(500)] + [(-1, [1.0] * 64, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(extra, "CAPTURE_VECS", 64, raising=False)
+    monkeypatch.setattr(extra.iq, "read_captures", partial(extra.iq.read_captures, max_bytes=64 * 256))
+    got = {tuple(r) for r in extra.iq_file_roundtrip(spark, str(tmp_path)).collect()}
+    assert got == {("label0", 400, 1.0, None), ("label1", 100, 1.0, None), ("None", 1, 1.0, None)}
