@@ -43,18 +43,28 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id is null"))
 
 
+def with_row(docs: DataFrame) -> DataFrame:
+    """docs with _row, a key of the row: the doc_id where none is null or repeated."""
+    odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
+    if odd.isEmpty():
+        return docs.withColumn("_row", F.col("doc_id").cast("bigint"))
+    # Written, so that a row has the same key each time it is read; the mix draws by it.
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more of the words stand in benchmark windows go."""
-    judged = contamination(docs, table(spark, sf_dir, "benchmark"))
-    gone = judged.filter("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Documents of which a twentieth or more of the words stand in benchmark windows go, each row by its own text."""
+    rows = with_row(docs)
+    judged = contamination(rows, table(spark, sf_dir, "benchmark"), id_col="_row")
+    gone = judged.filter("contaminated").select("_row").distinct()
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with `copies`, how often."""
-    taken = mix(docs).filter("taken > 0").select("doc_id", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    taken = taken.groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    return docs.join(taken, "doc_id").select(*docs.columns, "copies")
+    """Documents that the mix takes, with `copies`, how often; rows without a doc_id too."""
+    rows = with_row(docs)
+    taken = mix(rows, id_col="_row").filter("taken > 0").select("_row", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    return rows.join(taken, "_row").select(*docs.columns, "copies")
 
 
 STAGES = [

@@ -27,3 +27,14 @@ def test_stages_and_run(spark):
             docs = spark.createDataFrame(out.collect(), out.schema)
     assert out.filter("copies < 1 or copies > 3").count() == 0
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_rows_without_a_single_id(spark):
+    passage = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    texts = [(None, passage), (None, "null one " * 9), (None, "null one " * 9), (7, passage), (7, "clean own words")]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.drop_contaminated(spark, docs, SF)
+    assert sorted(r.text for r in out.collect()) == ["clean own words", "null one " * 9, "null one " * 9]
+    mixed = corpus_pipeline.mix_sources(spark, out, SF)
+    taken = corpus_pipeline.mix(out).agg({"taken": "sum"}).first()[0]
+    assert mixed.filter("doc_id is null").count() == 2 and mixed.selectExpr("sum(copies * size(split(trim(text), ' ')))").first()[0] == taken
