@@ -1,28 +1,37 @@
 """Exact Jaccard join of documents by their word n-grams, as a metric-space join.
 
-Regions. Documents that share nothing all lie at distance 1 from each other,
-so documents make poor pivots at first: nearly all would be boundary documents
-of every region. The first pivots are therefore the shingles themselves, as
-sets of one; a document lies nearest to those that it has. Let a document of n
-shingles miss at most a = n - ceil(t n) of a partner's. By the triangle
-inequality of the symmetric difference, if x and y link, then of any a + 1
-pivots that x has, y has one. So each document is replicated to the regions
-of its first m = 2 (a + 1) pivots in hash order (the window), and it looks for
-partners in a + 1 of them, the least populated. Pivots with one member need no
-look. (Of x and y the one whose window ends first in hash order finds the
-other, since all of the other's pivots up to there are in its window too.)
-
-Recursion. The regions with a searching member are gathered under their least
-document. Groups of up to `MOST` are joined in memory. From larger ones the
-members go that lie too far from all others: those with more than a shingles
-that no one else in the group has. Of the rest a document becomes pivot, all members are compared to it in chunks, and what it
-links is one component from then on. Members of other components become the
-next pivots, and two members are compared only where their distances to the
-first pivot differ by no more than the threshold (the triangle inequality
-again). Rounds go on until no pair of different components is open.
+First level. Documents that share nothing all lie at distance 1 from each
+other, so with documents as pivots nearly all would be boundary documents of
+every region. The first pivots are therefore shingles, as sets of one. A
+document of n shingles may lack a = n - ceil(t n) of a linked partner's, so of
+the a + 1 shingles that come first in one fixed order each of the two has one
+that the other has among its own first ones. Every document is replicated to
+the regions of those (its window). The order is by how often shingles occur,
+rare ones first, as counted over all documents in a table of `BUCKETS` counts;
+a common shingle is thus rarely a pivot, and any counts give a right result.
+
+Recursion. The regions with more than one set are gathered under their least
+member. Groups of up to `MOST` sets are joined in memory. In a larger one
+
+1. pivot documents are drawn, and every member learns its distance to each of
+   them; those within the threshold of a pivot link with it. What the pivots
+   link makes classes, and members of the largest class need not search: a
+   link between two of them joins nothing,
+2. each member goes to the Voronoi cell of its nearest pivot. The others, who
+   search, are replicated to every cell that may hold a partner: by the
+   triangle inequality the distance to the cell's pivot is within the threshold
+   of the distances that its members have, and at most two thresholds more than
+   to the own pivot,
+3. cells that are still too large, of members and searchers, are divided again
+   by fresh pivots; the others are joined, the members in memory and searchers
+   passing by one at a time. Below `LEVELS` divisions a cell is dealt to chunks
+   by hash and its searchers meet every chunk, so the join ends and is exact
+   for sets that no pivot tells apart too.
 
 All links are found that join different components; of links inside a known
-component not all are looked at, as the classes do not need them.
+component not all are looked at, as the classes do not need them. Shingles are
+64-bit hashes and sets are told apart by 128 bits; a link is judged on a pair's
+own shingles, so a wrong one needs two of them to collide (about 10^-12 a pair).
 """
 
 from __future__ import annotations
@@ -32,29 +41,35 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wavelake.llm.components import components
-from wavelake.llm.textkit import BYTE_A, LOWER, U64, Rolling, arrow_limits, gathered, mix, partitions, ragged, stored, trim, utf8, words
-from wavelake.llm.blocks import BLOCK as TOLD_BLOCK
-from wavelake.llm.blocks import VALUES, answers, delivered, packed_ids, received, unpacked_ids
-from wavelake.llm.blocks import blocks as packed_blocks
-
-#: Members of a group that are joined in one task, and of a chunk of a larger one.
-MOST = 200
-#: Pivots of a large group in one round, about (they are drawn by hash from four times as many slots).
-PIVOTS = 256
-
-FIRST = "doc_id bigint, n bigint, fp binary, part int, keys binary, docs binary, sizes binary, probe binary"
-FIRST_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("part", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary()), ("probe", pa.binary())])
-BLOCK = "part int, keys binary, docs binary, sizes binary, probe binary"
-BLOCK_ARROW = pa.schema(list(FIRST_ARROW)[3:])
-SHARED = 1
-
-
-def shingles(table: pa.Table, k: int) -> list[np.ndarray]:
-    """The distinct k-word shingle hashes of each row, sorted; fewer words make one shingle."""
+from wavelake.llm.blocks import packed_ids, unpacked_ids
+from wavelake.llm.components import components, united
+from wavelake.llm.textkit import BYTE_A, LOWER, U64, Rolling, arrow_limits, discard, gathered, partitions, ragged, stored, trim, utf8, words
+
+#: Sets that are joined in one task's memory at once, and shingles that they may have together.
+MOST = 256
+MOST_SHINGLES = 2_000_000
+#: Pivots of a large group, and members of it that one task measures.
+PIVOTS = 32
+CHUNK = 2048
+#: Divisions of a group by pivots; what is larger then is dealt to chunks by hash.
+LEVELS = 4
+#: Counts that order the shingles (1 MB), and slices that tasks send them in.
+BUCKETS = 1 << 18
+SLICES = 64
+#: A shingle counted more often than this makes rows of its own, which Spark can split; others travel in packed blocks.
+FREQUENT = 2_000
+#: Packed entries that one task takes, about.
+PART_ENTRIES = 1_000_000
+
+FIRST = "doc_id bigint, n bigint, fp binary, g bigint, x bigint, part int, keys binary, docs binary, sizes binary"
+FIRST_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("g", pa.int64()), ("x", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary())])
+
+
+def shingle_hashes(table: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct k-word shingle hashes of each row, sorted, joined; and where each row begins. Fewer words make one shingle."""
     data, offsets = utf8(table["text"])
     data = LOWER[data]
     starts, ends, first = words(data, offsets)
@@ -64,7 +79,8 @@ def shingles(table: pa.Table, k: int) -> list[np.ndarray]:
     at = ragged(first[:-1], n)
     all_ = Rolling(hashes, 1).of(at, at + np.repeat(np.minimum(count, k), n))
     bounds = np.concatenate([[0], np.cumsum(n)])
-    return [np.unique(all_[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    sets = [np.unique(all_[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    return (np.concatenate(sets) if sets else all_), np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int64)
 
 
 def missing(n: np.ndarray | int, share: tuple[int, int]) -> np.ndarray | int:
@@ -72,378 +88,478 @@ def missing(n: np.ndarray | int, share: tuple[int, int]) -> np.ndarray | int:
     return n + (-n * share[0] // share[1])
 
 
-def blocks(n_parts: int, keys: np.ndarray, part: np.ndarray, docs: np.ndarray, sizes: np.ndarray, probe: np.ndarray | None) -> list[list]:
-    """Columns part, keys, docs, sizes, probe of packed blocks, by part."""
-    order = np.lexsort((docs, part))
-    keys, part, docs, sizes = keys[order], part[order], docs[order], sizes[order]
-    probe = np.zeros(len(keys), dtype=bool) if probe is None else probe[order]
+def print_of(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
+def bucket(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> U64(64 - 18)).astype(np.int64)
+
+
+def _counted(k: int):
+    """How often shingles occur in what a task reads, by bucket, in slices."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, dtype=np.int64)
+        for table in gathered(batches, "text"):
+            total += np.bincount(bucket(shingle_hashes(table, k)[0]), minlength=BUCKETS)
+        yield from _slices(total)
+
+    return run
+
+
+def _slices(total: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for i, part in enumerate(total.reshape(SLICES, -1)):
+        if part.any():
+            kind = next(t for t in ("u1", "u2", "u4", "u8") if int(part.max()) < 1 << (8 * int(t[1])))
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([kind]), pa.array([part.astype(kind).tobytes()], pa.binary())], names=["slice", "kind", "counts"])
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((SLICES, BUCKETS // SLICES), dtype=np.int64)
+    for batch in batches:
+        for i, kind, counts in zip(*(batch[c].to_pylist() for c in ("slice", "kind", "counts")), strict=True):
+            total[i] += np.frombuffer(counts, dtype=kind)
+    yield from _slices(total.ravel())
+
+
+def shingle_counts(docs: DataFrame, k: int) -> np.ndarray:
+    """Counts of shingles over all docs, by bucket: BUCKETS numbers, whatever the input."""
+    schema = "slice int, kind string, counts binary"
+    sums = docs.select("text").mapInArrow(_counted(k), schema).repartition(SLICES, "slice").mapInArrow(_added, schema).toArrow().to_pylist()
+    out = np.zeros((SLICES, BUCKETS // SLICES), dtype=np.int64)
+    for r in sums:
+        out[r["slice"]] += np.frombuffer(r["counts"], dtype=r["kind"]).astype(np.int64)
+    return out.ravel()
+
+
+def blocks(n_parts: int, keys: np.ndarray, part: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> list[list]:
+    """Columns part, keys, docs, sizes of packed blocks, by part."""
+    order = np.lexsort((nodes, part))
+    keys, part, nodes, sizes = keys[order], part[order], nodes[order], sizes[order]
     bounds = np.searchsorted(part, np.arange(n_parts + 1))
-    out: list[list] = [[], [], [], [], []]
+    out: list[list] = [[], [], [], []]
     for p in np.flatnonzero(np.diff(bounds)).tolist():
         a, b = bounds[p], bounds[p + 1]
         out[0].append(p)
         out[1].append(keys[a:b].astype(np.uint32).tobytes())
-        out[2].append(packed_ids(docs[a:b]))
+        out[2].append(packed_ids(nodes[a:b]))
         out[3].append(sizes[a:b].astype(np.uint32).tobytes())
-        out[4].append(np.packbits(probe[a:b]).tobytes())
     return out
 
 
-def unblocked(batches: Iterator[pa.RecordBatch]):
-    """Blocks of a part joined: part, keys, docs, sizes, probe; each part of the partition in its turn."""
-    held: dict[int, list] = {}
-    for batch in batches:
-        for part, k, d, s, p in zip(*(batch[c].to_pylist() for c in ("part", "keys", "docs", "sizes", "probe")), strict=True):
-            docs = unpacked_ids(d)
-            held.setdefault(part, []).append((np.frombuffer(k, dtype=np.uint32), docs, np.frombuffer(s, dtype=np.uint32), np.unpackbits(np.frombuffer(p, dtype=np.uint8), count=len(docs)).astype(bool)))
-    for part, each in held.items():
-        yield part, *(np.concatenate(x) for x in zip(*each, strict=True))
-
-
-def _first(n_parts: int, k: int, share: tuple[int, int]):
-    """A row for each document, and the windows of those that are the least with their set in what the task has read."""
+def _first(n_parts: int, k: int, share: tuple[int, int], counts: np.ndarray):
+    """A row for each document; the windows of the sets that a task has read, each set once; rows of their own for frequent shingles."""
+    places = np.minimum(counts, (1 << 24) - 1).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches, "text"):
-            sets = shingles(table, k)
+            shingles, bounds = shingle_hashes(table, k)
+            m, size = table.num_rows, np.diff(bounds)
             ids = table["doc_id"].to_pylist()
-            prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            best: dict[bytes, int] = {}
-            for at, (i, f) in enumerate(zip(ids, prints, strict=True)):
-                if f is not None and i is not None and (f not in best or i < ids[best[f]]):
-                    best[f] = at
-            chosen = sorted(best.values())
-            windows = [sets[at][: 2 * (int(missing(len(sets[at]), share)) + 1)] for at in chosen]
-            docs, sizes = [ids[at] for at in chosen], [len(sets[at]) for at in chosen]
-            m = table.num_rows
-            none = [None] * m
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), *(pa.array(none, f.type) for f in BLOCK_ARROW)], schema=FIRST_ARROW)
-            if windows:
-                lengths = [len(w) for w in windows]
-                keys = np.concatenate(windows)
-                # The smallest hashes have no high bits to tell them apart; spread them.
-                keys = keys * U64(0x9E3779B97F4A7C15)
-                part = ((keys >> U64(32)) % U64(n_parts)).astype(np.int64)
-                keys = keys ^ (keys >> U64(29))
-                packed = blocks(n_parts, keys & U64(0xFFFFFFFF), part, np.repeat(docs, lengths), np.repeat(sizes, lengths), None)
-                none = [None] * len(packed[0])
-                yield pa.RecordBatch.from_arrays([pa.array(none, pa.int64()), pa.array(none, pa.int64()), pa.array(none, pa.binary()), *(pa.array(c, f.type) for c, f in zip(packed, BLOCK_ARROW, strict=True))], schema=FIRST_ARROW)
+            prints = [print_of(shingles[a:b]) if a < b else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            nodes = [int.from_bytes(f[:8], "little", signed=True) if f is not None else None for f in prints]
+            none = pa.nulls
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size), pa.array(prints, pa.binary()), none(m, pa.int64()), pa.array(nodes, pa.int64()), *(none(m, f.type) for f in list(FIRST_ARROW)[5:])], schema=FIRST_ARROW)
+            at = list({f: i for i, f in enumerate(prints) if f is not None and ids[i] is not None}.values())
+            if not at:
+                continue
+            chosen = np.zeros(m, dtype=bool)
+            chosen[at] = True
+            row = np.repeat(np.arange(m), size)
+            mine = chosen[row]
+            s, row = shingles[mine], row[mine]
+            common = places[bucket(s)]
+            # Rows stay together; within a row rare shingles come first, ties by hash.
+            order = np.lexsort((s, common, row))
+            s, row, common = s[order], row[order], common[order]
+            begin = np.searchsorted(row, np.arange(m))
+            window = np.arange(len(s)) - begin[row] <= missing(size, share)[row]
+            s, row, common = s[window], row[window], common[window]
+            node = np.array([x or 0 for x in nodes], dtype=np.int64)[row]
+            # The top bits name the bucket; spread the others.
+            s = s * U64(0x9E3779B97F4A7C15)
+            s = s ^ (s >> U64(29))
+            often = common > FREQUENT
+            if often.any():
+                g, x = s[often].view(np.int64), node[often]
+                yield pa.RecordBatch.from_arrays([*(none(len(g), f.type) for f in list(FIRST_ARROW)[:3]), pa.array(g), pa.array(x), *(none(len(g), f.type) for f in list(FIRST_ARROW)[5:])], schema=FIRST_ARROW)
+            if not often.all():
+                s, x, n = s[~often], node[~often], size[row[~often]]
+                packed = blocks(n_parts, s & U64(0xFFFFFFFF), ((s >> U64(32)) % U64(n_parts)).astype(np.int64), x, n)
+                m = len(packed[0])
+                yield pa.RecordBatch.from_arrays([*(none(m, f.type) for f in list(FIRST_ARROW)[:5]), *(pa.array(c, f.type) for c, f in zip(packed, list(FIRST_ARROW)[5:], strict=True))], schema=FIRST_ARROW)
 
     return run
 
 
-def _populations(n_parts: int):
-    """Each document's pivots that others have too, with their populations and the document's size."""
+MEMBER_ARROW = pa.schema([("g", pa.int64()), ("x", pa.int64())])
+
+
+def _regions(share: tuple[int, int]):
+    """Members of the regions that hold more than one set, where their sizes allow a link to another; named by the least member."""
+
+    def joined(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys, nodes, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+        # Only keys that occur twice need more work.
+        order = np.argsort(keys, kind="stable")
+        keys, nodes, sizes = keys[order], nodes[order], sizes[order].astype(np.int64)
+        same = keys[1:] == keys[:-1]
+        twice = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+        if not twice.any():
+            return
+        keys, nodes, sizes = keys[twice], nodes[twice], sizes[twice]
+        order = np.lexsort((nodes, sizes, keys))
+        keys, nodes, sizes = keys[order], nodes[order], sizes[order]
+        new = np.ones(len(keys), dtype=bool)
+        new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
+        keys, nodes, sizes = keys[new], nodes[new], sizes[new]
+        # In order of size a partner is next to a member, if there is one at all.
+        near = (keys[1:] == keys[:-1]) & (sizes[:-1] * share[1] >= sizes[1:] * share[0])
+        linked = np.concatenate([near, [False]]) | np.concatenate([[False], near])
+        # A gap in size parts a region into two.
+        start = np.concatenate([[True], ~near])[: len(keys)]
+        keys, nodes, start = keys[linked], nodes[linked], np.cumsum(start)[linked]
+        if not len(keys):
+            return
+        at = np.flatnonzero(np.concatenate([[True], start[1:] != start[:-1]]))
+        g = np.repeat(np.minimum.reduceat(nodes, at), np.diff(np.append(at, len(nodes))))
+        order = np.lexsort((nodes, g))
+        g, nodes = g[order], nodes[order]
+        new = np.concatenate([[True], (g[1:] != g[:-1]) | (nodes[1:] != nodes[:-1])])
+        yield from pa.Table.from_arrays([pa.array(g[new]), pa.array(nodes[new])], schema=MEMBER_ARROW).to_batches(max_chunksize=5000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, keys, docs, sizes, _ in unblocked(batches):
-            order = np.argsort(keys, kind="stable")
-            keys, docs, sizes = keys[order], docs[order], sizes[order]
-            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            n = np.diff(np.append(at, len(keys)))
-            shared = np.repeat(n > 1, n)
-            counts = np.repeat(n, n)[shared].astype(np.uint64)
-            named = (U64(part) << U64(32)) | keys[shared].astype(np.uint64)
-            yield from answers(n_parts, SHARED, docs[shared], np.stack([named, (counts << U64(32)) | sizes[shared].astype(np.uint64)], axis=1))
+        held: dict[int, list] = {}
+        for batch in batches:
+            for part, k, d, s in zip(*(batch[c].to_pylist() for c in ("part", "keys", "docs", "sizes")), strict=True):
+                held.setdefault(part, []).append((np.frombuffer(k, dtype=np.uint32), unpacked_ids(d), np.frombuffer(s, dtype=np.uint32)))
+        for part in list(held):
+            yield from joined(held.pop(part))
+        trim()
 
     return run
 
 
-def _searches(n_parts: int, share: tuple[int, int]):
-    """Choose the regions that each document searches; it stays a member of all it shares."""
+SET_ARROW = pa.schema([("x", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("s", pa.binary())])
+
+
+def _sets(k: int):
+    """The sets of the documents whose text has the fingerprint asked for; a task gives each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns: list[list] = [[], [], [], [], []]
-            for doc, told in zip(batch["doc_id"].to_pylist(), batch["told"].to_pylist(), strict=True):
-                got = np.concatenate([np.frombuffer(x["keys"], dtype=np.uint64).reshape(-1, 2) for x in told])
-                keys, part = (got[:, 0] & U64(0xFFFFFFFF)).astype(np.uint32), (got[:, 0] >> U64(32)).astype(np.int64)
-                counts, n = (got[:, 1] >> U64(32)).astype(np.int64), int(got[0, 1] & U64(0xFFFFFFFF))
-                may = int(missing(n, share))
-                alone = min(n, 2 * (may + 1)) - len(keys)
-                probe = np.zeros(len(keys), dtype=bool)
-                if may + 1 > alone:
-                    probe[np.lexsort((keys, part, counts))[: may + 1 - alone]] = True
-                for c, v in zip(columns, (keys, part, np.full(len(keys), doc), np.full(len(keys), n), probe), strict=True):
-                    c.append(v)
-            if columns[0]:
-                keys, part, docs, sizes, probe = (np.concatenate(c) for c in columns)
-                packed = blocks(n_parts, keys, part, docs, sizes, probe)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(packed, BLOCK_ARROW, strict=True)], schema=BLOCK_ARROW)
+        seen: set[bytes] = set()
+        for table in gathered(batches, "text"):
+            shingles, bounds = shingle_hashes(table, k)
+            out: list[list] = [[], [], [], []]
+            for i, (x, rep, fp) in enumerate(zip(*(table[c].to_pylist() for c in ("x", "rep", "fp")), strict=True)):
+                s = shingles[bounds[i] : bounds[i + 1]]
+                if fp not in seen and print_of(s) == fp:
+                    seen.add(fp)
+                    for c, v in zip(out, (x, rep, len(s), s.tobytes()), strict=True):
+                        c.append(v)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, SET_ARROW, strict=True)], schema=SET_ARROW)
 
     return run
 
 
-MEMBER_ARROW = pa.schema([("g", pa.int64()), ("x", pa.int64()), ("probe", pa.bool_())])
+class Coded:
+    """Some sets over one alphabet: how much of each another set has, in one pass."""
 
+    def __init__(self, sets: list[np.ndarray]):
+        self.size = np.array([len(s) for s in sets], dtype=np.int64)
+        self.alphabet, code = np.unique(np.concatenate(sets), return_inverse=True)
+        who = np.repeat(np.arange(len(sets)), self.size)
+        order = np.argsort(code, kind="stable")
+        # The sets that have a shingle lie together.
+        self.who, self.starts = who[order], np.searchsorted(code[order], np.arange(len(self.alphabet) + 1))
 
-def _regions(share: tuple[int, int]):
-    """Members of the regions that someone searches, where their sizes allow a link to a searcher."""
+    def shared(self, s: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.alphabet, s)
+        at[at == len(self.alphabet)] = 0
+        at = at[self.alphabet[at] == s]
+        return np.bincount(self.who[ragged(self.starts[at], self.starts[at + 1] - self.starts[at])], minlength=len(self.size))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, keys, docs, sizes, probe in unblocked(batches):
-            order = np.lexsort((docs, keys))
-            keys, docs, sizes, probe = keys[order], docs[order], sizes[order].astype(np.int64), probe[order]
-            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            ends = np.append(at[1:], len(keys))
-            wanted = (np.add.reduceat(probe, at) > 0) & (ends - at > 1)
-            leaders, members, probes = [], [], []
-            for a, b in zip(at[wanted].tolist(), ends[wanted].tolist(), strict=True):
-                s, p, d = sizes[a:b], probe[a:b], docs[a:b]
-                searching = np.sort(s[p])
-                low = -(-s * share[0] // share[1])
-                near = np.searchsorted(searching, low)
-                ok = near < len(searching)
-                ok[ok] = searching[near[ok]] * share[0] <= s[ok] * share[1]
-                if ok.sum() > 1:
-                    d = d[ok]
-                    leaders.append(np.full(len(d), d[0]))
-                    members.append(d)
-                    probes.append(p[ok])
-            if leaders:
-                g, x, p = np.concatenate(leaders), np.concatenate(members), np.concatenate(probes)
-                order = np.lexsort((~p, x, g))
-                g, x, p = g[order], x[order], p[order]
-                new = np.concatenate([[True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])])
-                yield from pa.Table.from_arrays([pa.array(g[new]), pa.array(x[new]), pa.array(p[new])], schema=MEMBER_ARROW).to_batches(max_chunksize=5000)
 
-    return run
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        yield from batch.to_pylist()
+        trim()
 
 
-def _sets(k: int):
-    schema = pa.schema([("x", pa.int64()), ("s", pa.binary())])
+def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[Iterator[dict]]:
+    """Rows of equal (g, chunk), one group after the other, each to be read to its end before the next."""
+    import itertools
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in gathered(batches, "text", 2 << 20):
-            yield pa.RecordBatch.from_arrays([table["doc_id"].combine_chunks(), pa.array([s.tobytes() for s in shingles(table, k)], pa.binary())], schema=schema)
+    for _, rows in itertools.groupby(rows_of(batches), key=lambda r: (r["g"], r["chunk"])):
+        yield rows
 
-    return run
 
+LINK_ARROW = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+MEMBER, BOTH, SEARCHER = 1, 2, 3
 
-def _group_shingles(n_parts: int):
-    """Every shingle of a group's members, named by group and shingle; the holder is the row."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in gathered(batches, "s"):
-            data, offsets = utf8(table["s"])
-            size = np.diff(offsets) // 8
-            g = mix(table["g"].to_numpy().astype(np.int64).view(np.uint64))
-            keys = mix(np.frombuffer(data.tobytes(), dtype=np.uint64) ^ np.repeat(g, size))
-            part = ((keys >> U64(32)) % U64(n_parts)).astype(np.int64)
-            yield packed_blocks(n_parts, VALUES, part, np.repeat(table["row"].to_numpy(), size), (keys & U64(0xFFFFFFFF)).astype(np.uint32))
+def flushed(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """Links as stars around least nodes; the list is empty afterwards."""
+    some = [(x, c) for x, c in united(iter(found)).items() if x != c]
+    found.clear()
+    if some:
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in some], pa.int64()), pa.array([c for _, c in some], pa.int64())], schema=LINK_ARROW)
 
-    return run
 
+def _compared(share: tuple[int, int]):
+    """Links between the members of a chunk, held in memory, and those who search, one at a time. Rows: g, chunk, role, rep, s, by role."""
 
-def _shared_counts(n_parts: int):
-    """How many of a row's shingles in this part another member of its group has, addressed to the row."""
+    class Chunk:
+        def __init__(self):
+            self.sets: list[np.ndarray] = []
+            self.reps: list[int] = []
+            self.roles: list[int] = []
+            self.known: set[tuple[int, int]] = set()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got: list = []
-        yield from received(batches, 1, got, np.uint32)
-        if got:
-            order = np.argsort(got[0], kind="stable")
-            keys, rows = got[0][order], got[1][order]
-            at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            n = np.diff(np.append(at, len(keys)))
-            who, count = np.unique(rows[np.repeat(n > 1, n)], return_counts=True)
-            yield from answers(n_parts, SHARED, who, count.astype(np.uint64))
+        def add(self, r: dict) -> None:
+            # A set that was sent twice is one member.
+            if (r["x"], r["rep"]) not in self.known:
+                self.known.add((r["x"], r["rep"]))
+                self.sets.append(np.frombuffer(r["s"], dtype=np.uint64))
+                self.reps.append(r["rep"])
+                self.roles.append(r["role"])
 
-    return run
+        def near(self, s: np.ndarray) -> np.ndarray:
+            both = self.coded.shared(s)
+            return share[1] * both >= share[0] * (self.coded.size + len(s) - both)
 
+        def among(self, found: list) -> None:
+            """Links of the members that search to the others; those of one component need no more."""
+            self.coded, self.root = Coded(self.sets), np.arange(len(self.sets))
+            for i, s in enumerate(self.sets):
+                if self.roles[i] == BOTH and (self.root != self.root[i]).any():
+                    for j in np.flatnonzero(self.near(s) & (self.root != self.root[i])).tolist():
+                        if self.root[j] != self.root[i]:
+                            found.append((self.reps[i], self.reps[j]))
+                            self.root[self.root == self.root[j]] = self.root[i]
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each row that counts are addressed to, with their sum."""
-    counts, rows = [], []
-    for batch in batches:
-        for k, d in zip(batch["keys"].to_pylist(), batch["docs"].to_pylist(), strict=True):
-            counts.append(np.frombuffer(k, dtype=np.uint64))
-            rows.append(unpacked_ids(d))
-    if rows:
-        who, at = np.unique(np.concatenate(rows), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate(counts).astype(float)).astype(np.int64)
-        yield from pa.Table.from_arrays([pa.array(who), pa.array(total)], names=["row", "k"]).to_batches(max_chunksize=5000)
-
-
-def groups_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, list]]:
-    """Runs of rows of equal (g, chunk) from sorted batches."""
-    held: list[dict] = []
-    for batch in batches:
-        trim()
-        for row in batch.to_pylist():
-            if held and (held[0]["g"] != row["g"] or held[0]["chunk"] != row["chunk"]):
-                yield held
-                held = []
-            held.append(row)
-    if held:
-        yield held
+        def search(self, r: dict, found: list) -> None:
+            at = np.flatnonzero(self.near(np.frombuffer(r["s"], dtype=np.uint64)))
+            for j in at[np.unique(self.root[at], return_index=True)[1]].tolist():
+                found.append((r["rep"], self.reps[j]))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[int, int]] = []
+        for rows in groups_of(batches):
+            chunk, ready = Chunk(), False
+            for r in rows:
+                if r["role"] != SEARCHER:
+                    chunk.add(r)
+                    continue
+                if not chunk.sets:
+                    break
+                if not ready:
+                    chunk.among(found)
+                    ready = True
+                chunk.search(r, found)
+                if len(found) > 20_000:
+                    yield from flushed(found)
+            if chunk.sets and not ready:
+                chunk.among(found)
+            if len(found) > 20_000:
+                yield from flushed(found)
+        yield from flushed(found)
+
+    return run
 
-EDGE = "kind int, g bigint, u bigint, v bigint, d double"
-EDGE_ARROW = pa.schema([("kind", pa.int32()), ("g", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("d", pa.float64())])
-LINK, DISTANCE = 0, 1
 
+MEASURE = "kind int, g bigint, x bigint, n bigint, role int, p int, d float, far array<float>, u bigint, v bigint, c int"
+MEASURE_ARROW = pa.schema([("kind", pa.int32()), ("g", pa.int64()), ("x", pa.int64()), ("n", pa.int64()), ("role", pa.int32()), ("p", pa.int32()), ("d", pa.float32()), ("far", pa.list_(pa.float32())), ("u", pa.int64()), ("v", pa.int64()), ("c", pa.int32())])
+HOME, LINK, TIE = 0, 1, 2
 
-def _compare(share: tuple[int, int]):
-    """Links between pivots and members of a chunk, and for large groups the distances to a lone pivot.
 
-    Rows: g, chunk, x, s, role (pivot 0, member 1, both 2), c (known
-    component or null), d (distance to the group's first pivot or null), tell.
+def _measured(share: tuple[int, int]):
+    """Distances of the members of a chunk, and of those who search there, to the group's pivots, which come first.
+
+    Gives for each row its nearest pivot `p` (ties by hash), all distances and
+    a pivot `c` that it links with (-1: none); links; and which pivots a member
+    ties together.
     """
-    slack = 1 - share[0] / share[1] + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[list] = [[], [], [], [], []]
+        out: list[tuple] = []
         for rows in groups_of(batches):
-            pivots = [i for i, r in enumerate(rows) if r["role"] != 1]
-            members = np.array([i for i, r in enumerate(rows) if r["role"] != 0])
-            if not pivots or not len(members):
-                continue
-            sets = [np.frombuffer(r["s"], dtype=np.uint64) for r in rows]
-            size = np.array([len(s) for s in sets])
-            ids = np.array([r["x"] for r in rows])
-            code = np.unique(np.concatenate(sets), return_inverse=True)[1]
-            bounds = np.concatenate([[0], np.cumsum(size)])
-            mark = np.zeros(int(code.max()) + 1 if len(code) else 1, dtype=bool)
-            # Components known so far, as the least row that stands for each.
-            first: dict[int, int] = {}
-            root = np.array([first.setdefault(r["c"] if r["c"] is not None else r["x"], i) for i, r in enumerate(rows)])
-            depth = np.array([np.nan if r["d"] is None else r["d"] for r in rows])
-            tell = rows[0]["tell"]
-            for i in pivots:
-                a = members if tell else members[root[members] != root[i]]
-                if not tell:
-                    a = a[(size[a] * share[1] >= size[i] * share[0]) & (size[i] * share[1] >= size[a] * share[0])]
-                    if not np.isnan(depth[i]):
-                        a = a[~(np.abs(depth[a] - depth[i]) > slack)]
-                a = a[ids[a] != ids[i]]
-                if not len(a):
+            pivots: list[dict] = []
+            coded, ties = None, {}
+            for r in rows:
+                if r["role"] == 0:
+                    pivots.append(r)
                     continue
-                mark[code[bounds[i] : bounds[i + 1]]] = True
-                n = size[a]
-                at = ragged(bounds[a], n)
-                starts = np.concatenate([[0], np.cumsum(n)[:-1]])
-                both = np.add.reduceat(mark[code[at]].astype(np.int64), starts)
-                mark[code[bounds[i] : bounds[i + 1]]] = False
-                union = n + size[i] - both
-                linked = share[1] * both >= share[0] * union
-                for j in a[linked].tolist():
-                    if root[j] != root[i]:
-                        out[0].append(LINK)
-                        out[1].append(rows[0]["g"])
-                        out[2].append(int(ids[i]))
-                        out[3].append(int(ids[j]))
-                        out[4].append(None)
-                        root[root == root[j]] = root[i]
-                if tell:
-                    out[0] += [DISTANCE] * len(a)
-                    out[1] += [rows[0]["g"]] * len(a)
-                    out[2] += ids[a].tolist()
-                    out[3] += [int(ids[i])] * len(a)
-                    out[4] += (1 - both / union).tolist()
-            if len(out[0]) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, EDGE_ARROW, strict=True)], schema=EDGE_ARROW)
-                out = [[], [], [], [], []]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, EDGE_ARROW, strict=True)], schema=EDGE_ARROW)
+                if coded is None:
+                    pivots.sort(key=lambda r: (r["x"], r["rep"]))
+                    coded = Coded([np.frombuffer(p["s"], dtype=np.uint64) for p in pivots])
+                s = np.frombuffer(r["s"], dtype=np.uint64)
+                both = coded.shared(s)
+                union = coded.size + len(s) - both
+                near = np.flatnonzero(share[1] * both >= share[0] * union)
+                d = (1 - both / union).astype(np.float32)
+                ties_at = np.flatnonzero(d == d.min())
+                p = int(ties_at[r["x"] % len(ties_at)])
+                c = int(near[0]) if len(near) else -1
+                out.append((HOME, r["g"], r["x"], len(s), r["role"], p, float(d[p]), d.tolist(), None, None, c))
+                for j in near.tolist():
+                    if pivots[j]["rep"] != r["rep"] and (j == c or (c, j) not in ties):
+                        out.append((LINK, None, None, None, None, None, None, None, r["rep"], pivots[j]["rep"], None))
+                    ties[c, j] = ties.get((c, j), 0) + 1
+                if len(out) > 4000:
+                    yield measures(out)
+            out += [(TIE, rows_g, None, n, None, j, None, None, None, None, c) for rows_g in ([pivots[0]["g"]] if pivots else []) for (c, j), n in ties.items()]
+        if out:
+            yield measures(out)
+
+    def measures(out: list[tuple]) -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), MEASURE_ARROW, strict=True)], schema=MEASURE_ARROW)
+        out.clear()
+        return batch
 
     return run
 
 
+def _main_class(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pivots of each group's largest class, from rows (g, c, p, n): n members tie c and p. Sorted by g."""
+    import itertools
+
+    gs, mains = [], []
+    for g, each in itertools.groupby(rows_of(rows), key=lambda r: r["g"]):
+        each = list(each)
+        of = united((r["c"], r["p"]) for r in each)
+        weight: dict[int, int] = {}
+        for r in each:
+            if r["c"] == r["p"]:
+                weight[of[r["c"]]] = weight.get(of[r["c"]], 0) + r["n"]
+        best = max(weight, key=lambda c: (weight[c], -c))
+        gs.append(g)
+        mains.append([p for p, c in of.items() if c == best])
+    if gs:
+        yield pa.RecordBatch.from_arrays([pa.array(gs, pa.int64()), pa.array(mains, pa.list_(pa.int32()))], names=["g", "main"])
+
+
+def divided(groups: DataFrame, share: tuple[int, int], pivots: int, n: int, with_sets, first: bool) -> tuple[DataFrame, DataFrame]:
+    """One division of groups (g, x, role, m, sn): links (u, v), and rows (g, x, role, n) of the cells."""
+    tau = 1 - share[0] / share[1]
+    # No more pivots than fit a task's memory.
+    room = F.greatest(F.lit(2), F.least(F.lit(pivots), F.floor(F.lit(2 * MOST_SHINGLES) * F.col("m") / F.greatest(F.col("sn"), F.lit(1)))))
+    slot = F.pmod(F.xxhash64("x", "g"), room).alias("slot")
+    drawn = groups.filter(F.col("role") != SEARCHER).groupBy("g", slot).agg(F.min_by("x", F.xxhash64("g", "x")).alias("x"), F.max("all").alias("all"))
+    chunks = F.ceil(F.col("all") / CHUNK).cast("int")
+    drawn = stored(drawn.select("g", "x", chunks.alias("chunks")), "jaccard-pivots")
+    heads = drawn.select("g", "x", F.lit(0).alias("role"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    rest = groups.select("g", "x", "role", F.pmod(F.xxhash64("x"), chunks).cast("int").alias("chunk"))
+    rows = with_sets(heads.unionByName(rest)).repartition(n, "g", "chunk").sortWithinPartitions("g", "chunk", "role")
+    got = stored(rows.mapInArrow(_measured(share), MEASURE), "jaccard-distances")
+    links = got.filter(F.col("kind") == LINK).select("u", "v")
+    homes = got.filter(F.col("kind") == HOME).select("g", "x", "n", "role", "p", "d", "far", "c")
+    if first:
+        # Members of the largest class need not search any more.
+        ties = got.filter(F.col("kind") == TIE).groupBy("g", "c", "p").agg(F.sum("n").alias("n"))
+        main = stored(ties.repartition(n, "g").sortWithinPartitions("g").mapInArrow(_main_class, "g bigint, main array<int>"), "jaccard-main")
+        homes = homes.join(main, "g", "left").withColumn("role", F.when(F.array_contains("main", F.col("c")), F.lit(MEMBER)).otherwise(F.lit(BOTH))).drop("main")
+    homes = stored(homes, "jaccard-homes")
+    own = homes.filter(F.col("role") != SEARCHER)
+    cells = own.groupBy("g", "p").agg(F.min("d").alias("lo"), F.max("d").alias("hi"))
+    cells = stored(cells.groupBy("g").agg(F.collect_list(F.struct("p", "lo", "hi")).alias("cells")), "jaccard-cells")
+    slack = F.lit(tau + 1e-5)
+    away = F.get("far", F.col("cell.p"))
+    searching = homes.filter(F.col("role") != MEMBER).join(cells, "g").select("g", "x", "n", "role", "p", "far", F.explode("cells").alias("cell"))
+    # A member that searches lies in its own cell already.
+    searching = searching.filter(~((F.col("role") == BOTH) & (F.col("cell.p") == F.col("p"))))
+    # No member of the cell is nearer to its pivot than lo or further than hi, and none is nearer to the searcher's nearest pivot than to its own.
+    searching = searching.filter((away <= F.col("cell.hi") + slack) & (away >= F.col("cell.lo") - slack) & (away <= F.array_min("far") + 2 * slack))
+    cell = lambda p: F.xxhash64("g", p).alias("g")
+    moved = searching.select(cell(F.col("cell.p").cast("int")), "x", F.lit(SEARCHER).alias("role"), "n")
+    rows = stored(own.select(cell(F.col("p")), "x", "role", "n").unionByName(moved), "jaccard-cells-rows")
+    return links, rows
+
+
 def jaccard_classes(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), most: int = MOST, pivots: int = PIVOTS) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
 
     Two documents link when share[1] * intersection >= share[0] * union of
     their sets of k-word shingles (A-Z in lower case; words are
     `[^\\x20\\x09-\\x0D]+`; fewer than k words make one shingle). Null and empty
-    texts have no shingle and link with nothing. component_id is the least
-    doc_id that links reach. Rows that repeat a doc_id are one node that has
-    the links of each. Rows without a doc_id link with nothing and have no
-    component (and n_shingles 0 where other rows repeat an id).
+    texts have no shingle and link with nothing; texts of any length are read
+    to their end. component_id is the least doc_id that links reach. Rows that
+    repeat a doc_id are one document that has the links of each of its texts.
+    Rows without a doc_id have their own n_shingles, link with nothing and have
+    no component. doc_id must be a bigint or castable to it. Other columns of
+    docs, whatever their names, are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
     n = partitions(spark)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    if not docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        # Texts get ids of their own, and ids that several rows have join the classes of their texts.
-        keyed = docs.withColumn("key", F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit("")))))
-        inner = stored(jaccard_classes(keyed.select(F.col("key").alias("doc_id"), "text").dropDuplicates(["doc_id"]), k, share, most, pivots), "jaccard-inner")
-        names = stored(keyed.select("doc_id", "key"), "jaccard-keys").join(inner.withColumnRenamed("doc_id", "key"), "key")
-        least = names.groupBy("component_id").agg(F.min("doc_id").alias("c"))
-        named = stored(names.join(least, "component_id").select("doc_id", F.col("n_shingles").alias("n"), "c"), "jaccard-names")
-        joined = components(named.select(F.col("doc_id").alias("u"), F.col("c").alias("v"))).withColumnsRenamed({"v": "doc_id", "c": "j"})
-        lost = docs.filter("doc_id is null").select("doc_id", F.lit(0).cast("bigint").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-        return named.join(joined, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("j", "c").alias("component_id")).unionByName(lost)
-    first = stored(docs.mapInArrow(_first(n, k, share), FIRST), "jaccard-sets")
-    each = first.filter("part is null").select("doc_id", "n", "fp")
-    equal = each.filter("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    # Documents that stand for their set within what a task read, but not among all.
-    values = first.filter("part is not null").select(*BLOCK_ARROW.names).repartitionById(n, F.col("part"))
-    told = delivered(values.mapInArrow(_populations(n), TOLD_BLOCK), n, wide=2)
-    reps = equal.select(F.col("rep").alias("doc_id")).distinct()
-    members = told.join(reps, "doc_id", "left_semi").mapInArrow(_searches(n, share), BLOCK).repartitionById(n, F.col("part")).mapInArrow(_regions(share), "g bigint, x bigint, probe boolean")
-    members = stored(members.groupBy("g", "x").agg(F.max("probe").alias("probe")), "jaccard-members")
-    sizes = members.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min(F.when(F.col("probe"), F.col("x"))).alias("p"))
-    grouped = stored(members.join(sizes, "g"), "jaccard-groups")
-
-    active = members.select(F.col("x").alias("doc_id")).distinct()
-    sets = stored(docs.join(active.hint("merge"), "doc_id").mapInArrow(_sets(k), "x bigint, s binary"), "jaccard-active")
-
-    def compared(rows: DataFrame, name: str) -> DataFrame:
-        rows = rows.join(sets.hint("merge"), "x").select("g", "chunk", "x", "s", "role", "c", "d", "tell")
-        rows = rows.repartition(4 * n, "g", "chunk").sortWithinPartitions("g", "chunk", "x")
-        return stored(rows.mapInArrow(_compare(share), EDGE), name)
-
-    none_c, none_d = F.lit(None).cast("bigint").alias("c"), F.lit(None).cast("double").alias("d")
-    small = grouped.filter(F.col("m") <= most)
-    large = stored(grouped.filter(F.col("m") > most).select("g", "x", "probe", F.monotonically_increasing_id().alias("row")), "jaccard-large")
-    if not large.isEmpty():
-        named = large.join(sets.hint("merge"), "x").select("g", "row", "s").mapInArrow(_group_shingles(n), TOLD_BLOCK)
-        counts = named.repartitionById(n, F.col("part")).mapInArrow(_shared_counts(n), TOLD_BLOCK)
-        near = counts.repartitionById(n, F.col("part")).mapInArrow(_summed, "row bigint, k bigint")
-        held = large.join(near, "row").join(sets.select("x", (F.octet_length("s") / 8).cast("bigint").alias("n")), "x")
-        may = F.col("n") + F.floor(-F.col("n") * share[0] / share[1])
-        held = stored(held.filter(F.col("n") - F.col("k") <= may).select("g", "x", "probe"), "jaccard-held")
-        sizes = held.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min(F.when(F.col("probe"), F.col("x"))).alias("p"))
-        large = stored(held.join(sizes, "g").filter("m > 1 and p is not null"), "jaccard-large")
-        small = small.unionByName(large.filter(F.col("m") <= most).select(*small.columns))
-    else:
-        large = grouped.filter("false")
-    small = small.select("g", F.lit(0).alias("chunk"), "x", F.when(F.col("probe"), F.lit(2)).otherwise(F.lit(1)).alias("role"), none_c, none_d, F.lit(False).alias("tell"))
-    large = large.filter(F.col("m") > most).withColumn("chunks", F.ceil(F.col("m") / most).cast("int"))
-    chunk = F.pmod(F.xxhash64("x"), F.col("chunks")).cast("int").alias("chunk")
-    lone = large.filter("x = p").select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "x", F.lit(0).alias("role"), none_c, none_d, F.lit(True).alias("tell"))
-    rest = large.filter("x <> p").select("g", chunk, "x", F.lit(1).alias("role"), none_c, none_d, F.lit(True).alias("tell"))
-    found = compared(small.unionByName(lone).unionByName(rest), "jaccard-links")
-    links = found.filter(F.col("kind") == LINK).select("u", "v")
-    classes = stored(components(links), "jaccard-classes")
-
-    if not large.isEmpty():
-        distance = found.filter(F.col("kind") == DISTANCE).select("g", F.col("u").alias("x"), "d")
-        # The first pivots are done with: each was compared to its whole group.
-        open_ = stored(large.filter("x <> p").select("g", "x", "probe", "chunks").join(distance, ["g", "x"], "left"), "jaccard-open")
-        used = None
-        while True:
-            now = open_.join(classes.withColumnRenamed("v", "x"), "x", "left").withColumn("c", F.coalesce("c", "x"))
-            by_class = now.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k"))
-            main = by_class.groupBy("g").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count(F.lit(1)).alias("classes")).filter("classes > 1").drop("classes")
-            now = stored(now.join(main, "g"), "jaccard-now")
-            fresh = now if used is None else now.join(used, ["g", "x"], "left_anti")
-            # Either the searchers or all outside the main class meet every open pair.
-            cover = fresh.groupBy("g").agg(F.count_if("probe").alias("searchers"), F.count_if(F.col("c") != F.col("main")).alias("outside"))
-            cover = cover.join(now.groupBy("g").agg(F.count_if("probe").alias("all_searchers")), "g").filter("all_searchers > 0")
-            wanted = fresh.join(cover, "g").filter(F.when(F.col("searchers") <= F.col("outside"), F.col("probe")).otherwise(F.col("c") != F.col("main")))
-            chosen = stored(wanted.groupBy("g", F.pmod(F.xxhash64("x", F.lit(1)), F.lit(4 * pivots)).alias("slot")).agg(F.min("x").alias("x")).select("g", "x"), "jaccard-pivots")
-            if chosen.isEmpty():
-                break
-            heads = now.join(chosen, ["g", "x"])
-            heads = heads.select("g", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "x", F.lit(0).alias("role"), "c", "d", F.lit(False).alias("tell"))
-            rows = heads.unionByName(now.join(chosen.select("g").distinct(), "g", "left_semi").select("g", chunk, "x", F.lit(1).alias("role"), "c", "d", F.lit(False).alias("tell")))
-            more = compared(rows, "jaccard-more").select("u", "v")
-            used = chosen if used is None else stored(used.unionByName(chosen), "jaccard-used")
-            links = stored(classes.filter("v <> c").select(F.col("v").alias("u"), F.col("c").alias("v")).unionByName(more), "jaccard-links")
-            classes = stored(components(links), "jaccard-classes")
-
-    of = each.join(equal, "fp", "left").join(classes.select(F.col("v").alias("rep"), "c"), "rep", "left")
-    return of.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "rep", "doc_id")).alias("component_id"))
+    counts = shingle_counts(docs, k)
+    window = 1 - share[0] / share[1]
+    n_parts = max(n, int(counts.sum() * window / PART_ENTRIES) + 1)
+    first = stored(docs.mapInArrow(_first(n_parts, k, share, counts), FIRST), "jaccard-sets")
+    each = stored(first.filter("part is null and g is null").select("doc_id", "n", "fp", "x"), "jaccard-documents")
+    reps = stored(each.filter("fp is not null and doc_id is not null").groupBy("fp", "x").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
+
+    packed = first.filter("part is not null").select("part", "keys", "docs", "sizes").repartitionById(n_parts, F.col("part"))
+    members = packed.mapInArrow(_regions(share), "g bigint, x bigint").unionByName(first.filter("g is not null").select("g", "x"))
+    members = stored(members.distinct(), "jaccard-members")
+    discard(first)
+    several = stored(members.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "jaccard-groups")
+    active = members.join(several, "g", "left_semi").select("x").distinct()
+    wanted = reps.join(active, "x", "left_semi")
+    sets = docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["rep"]).select("x", "rep", "fp", "text").mapInArrow(_sets(k), "x bigint, rep bigint, n bigint, s binary")
+    sets = stored(sets, "jaccard-active")
+    grouped = stored(members.join(several, "g").select("g", "x").join(sets.select("x", "n"), "x"), "jaccard-rows")
+
+    def with_sets(rows: DataFrame) -> DataFrame:
+        return rows.join(sets.hint("merge"), "x").select("g", "chunk", "role", "x", "rep", "s")
+
+    def compared(rows: DataFrame) -> DataFrame:
+        rows = with_sets(rows).repartition(n, "g", "chunk").sortWithinPartitions("g", "chunk", "role")
+        return stored(rows.mapInArrow(_compared(share), "u bigint, v bigint"), "jaccard-links")
+
+    def measure(rows: DataFrame) -> DataFrame:
+        """Rows with the members and shingles of their group."""
+        own = F.col("role") != SEARCHER
+        sizes = rows.groupBy("g").agg(F.count_if(own).alias("m"), F.sum(F.when(own, F.col("n"))).alias("sn"), F.count(F.lit(1)).alias("all"), F.count_if(F.col("role") != MEMBER).alias("searchers"))
+        sizes = stored(sizes.filter("m > 0 and searchers > 0"), "jaccard-sizes")
+        return stored(rows.join(sizes, "g"), "jaccard-sized")
+
+    def leaves(rows: DataFrame) -> DataFrame:
+        """Cells dealt to chunks that fit a task, each of which all their searchers meet."""
+        chunks = F.greatest(F.ceil(F.col("m") / most), F.ceil(F.col("sn") / MOST_SHINGLES)).cast("int")
+        rows = rows.withColumn("chunks", chunks).withColumn("own", F.pmod(F.xxhash64("x"), F.col("chunks")).cast("int"))
+        home = rows.filter(F.col("role") != SEARCHER).select("g", "x", "role", F.col("own").alias("chunk"))
+        away = rows.filter(F.col("role") != MEMBER).select("g", "x", "role", "own", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+        away = away.filter((F.col("role") == SEARCHER) | (F.col("chunk") != F.col("own"))).select("g", "x", F.lit(SEARCHER).alias("role"), "chunk")
+        return home.unionByName(away)
+
+    fits = (F.col("m") <= most) & (F.col("sn") <= MOST_SHINGLES)
+    rows = measure(grouped.select("g", "x", F.lit(BOTH).alias("role"), "n"))
+    links = [compared(leaves(rows.filter(fits)))]
+    level = 0
+    while not (large := rows.filter(~fits)).isEmpty():
+        if level == LEVELS:
+            links.append(compared(leaves(large)))
+            break
+        tied, cells = divided(large, share, pivots, n, with_sets, level == 0)
+        rows = measure(cells)
+        links += [tied, compared(leaves(rows.filter(fits)))]
+        level += 1
+    edges = links[0]
+    for x in links[1:]:
+        edges = edges.unionByName(x)
+
+    repeated = each.filter("doc_id is not null and fp is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).filter("a <> b").select("doc_id")
+    repeated = stored(repeated, "jaccard-repeated")
+    own = None
+    if not repeated.isEmpty():
+        # Ids that several texts have join the classes of their texts.
+        named = each.join(repeated, "doc_id", "left_semi").join(reps, "fp").select("doc_id", "rep")
+        edges = edges.unionByName(named.select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+    classes = stored(components(edges), "jaccard-classes")
+    named = stored(reps.join(classes.withColumnRenamed("v", "rep"), "rep", "left").select("fp", F.coalesce("c", "rep").alias("c")), "jaccard-named")
+    out = each.join(named, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("c", "doc_id")).alias("component_id"))
+    return out

@@ -219,4 +219,14 @@ def stored(frame: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/wavelake-{name}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     expire(spark, path)
-    return spark.read.schema(frame.schema).parquet(path)
+    out = spark.read.schema(frame.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for frame in frames:
+        spark = frame.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
