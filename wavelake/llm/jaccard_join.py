@@ -10,8 +10,13 @@ the regions of those (its window). The order is by how often shingles occur,
 rare ones first, as counted over all documents in a table of `BUCKETS` counts;
 a common shingle is thus rarely a pivot, and any counts give a right result.
 
-Recursion. The regions with more than one set are gathered under their least
-member. Groups of up to `MOST` sets are joined in memory. In a larger one
+Signatures. In a region sets are first compared by their signatures, a bit for
+each shingle at least, of which a shingle flips one. Signatures differ in no
+more bits than sets in shingles, so pairs that differ in more bits than a link
+allows are no links. What is left makes candidate clusters, each set being in
+one; only their sets are read and compared.
+
+Recursion. Clusters of up to `MOST` sets are joined in memory. In a larger one
 
 1. pivot documents are drawn, and every member learns its distance to each of
    them; those within the threshold of a pivot link with it. What the pivots
@@ -46,10 +51,13 @@ from pyspark.sql import functions as F
 
 from wavelake.llm.blocks import packed_ids, unpacked_ids
 from wavelake.llm.components import components, united
-from wavelake.llm.textkit import BYTE_A, LOWER, U64, Rolling, arrow_limits, discard, gathered, partitions, ragged, stored, trim, utf8, words
+from wavelake.llm.textkit import BYTE_A, LOWER, U64, Rolling, arrow_limits, discard, gathered, mix, partitions, ragged, stored, trim, utf8, words
 
+#: Signatures of a region that one task compares, and shingles that they stand for.
+SIGNED = 8192
+SIGNED_SHINGLES = 200_000_000
 #: Sets that are joined in one task's memory at once, and shingles that they may have together.
-MOST = 256
+MOST = 1024
 MOST_SHINGLES = 2_000_000
 #: Pivots of a large group, and members of it that one task measures.
 PIVOTS = 32
@@ -64,8 +72,8 @@ FREQUENT = 2_000
 #: Packed entries that one task takes, about.
 PART_ENTRIES = 1_000_000
 
-FIRST = "doc_id bigint, n bigint, fp binary, g bigint, x bigint, part int, keys binary, docs binary, sizes binary"
-FIRST_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("g", pa.int64()), ("x", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary())])
+FIRST = "doc_id bigint, n bigint, fp binary, sig binary, g bigint, x bigint, part int, keys binary, docs binary, sizes binary"
+FIRST_ARROW = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()), ("sig", pa.binary()), ("g", pa.int64()), ("x", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("docs", pa.binary()), ("sizes", pa.binary())])
 
 
 def shingle_hashes(table: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -92,6 +100,17 @@ def print_of(shingles: np.ndarray) -> bytes:
     return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """A power of two of bits, as many as shingles or more, flipped by each shingle at its own place."""
+    bits = 1 << max(6, int(len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((mix(shingles) & U64(bits - 1)).astype(np.int64), minlength=bits).astype(np.uint8) & 1).tobytes()
+
+
+def size_code(n: np.ndarray) -> np.ndarray:
+    """Sizes to an eighth of their natural logarithm, one byte."""
+    return np.floor(np.log(np.maximum(n, 1)) * 8).astype(np.uint8)
+
+
 def bucket(shingles: np.ndarray) -> np.ndarray:
     return (shingles >> U64(64 - 18)).astype(np.int64)
 
@@ -144,7 +163,7 @@ def blocks(n_parts: int, keys: np.ndarray, part: np.ndarray, nodes: np.ndarray,
         out[0].append(p)
         out[1].append(keys[a:b].astype(np.uint32).tobytes())
         out[2].append(packed_ids(nodes[a:b]))
-        out[3].append(sizes[a:b].astype(np.uint32).tobytes())
+        out[3].append(sizes[a:b].tobytes())
     return out
 
 
@@ -160,8 +179,11 @@ def _first(n_parts: int, k: int, share: tuple[int, int], counts: np.ndarray):
             prints = [print_of(shingles[a:b]) if a < b else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
             nodes = [int.from_bytes(f[:8], "little", signed=True) if f is not None else None for f in prints]
             none = pa.nulls
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size), pa.array(prints, pa.binary()), none(m, pa.int64()), pa.array(nodes, pa.int64()), *(none(m, f.type) for f in list(FIRST_ARROW)[5:])], schema=FIRST_ARROW)
             at = list({f: i for i, f in enumerate(prints) if f is not None and ids[i] is not None}.values())
+            signed: list[bytes | None] = [None] * m
+            for i in at:
+                signed[i] = signature(shingles[bounds[i] : bounds[i + 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(size), pa.array(prints, pa.binary()), pa.array(signed, pa.binary()), none(m, pa.int64()), pa.array(nodes, pa.int64()), *(none(m, f.type) for f in list(FIRST_ARROW)[6:])], schema=FIRST_ARROW)
             if not at:
                 continue
             chosen = np.zeros(m, dtype=bool)
@@ -183,12 +205,12 @@ def _first(n_parts: int, k: int, share: tuple[int, int], counts: np.ndarray):
             often = common > FREQUENT
             if often.any():
                 g, x = s[often].view(np.int64), node[often]
-                yield pa.RecordBatch.from_arrays([*(none(len(g), f.type) for f in list(FIRST_ARROW)[:3]), pa.array(g), pa.array(x), *(none(len(g), f.type) for f in list(FIRST_ARROW)[5:])], schema=FIRST_ARROW)
+                yield pa.RecordBatch.from_arrays([*(none(len(g), f.type) for f in list(FIRST_ARROW)[:4]), pa.array(g), pa.array(x), *(none(len(g), f.type) for f in list(FIRST_ARROW)[6:])], schema=FIRST_ARROW)
             if not often.all():
                 s, x, n = s[~often], node[~often], size[row[~often]]
-                packed = blocks(n_parts, s & U64(0xFFFFFFFF), ((s >> U64(32)) % U64(n_parts)).astype(np.int64), x, n)
+                packed = blocks(n_parts, s & U64(0xFFFFFFFF), ((s >> U64(32)) % U64(n_parts)).astype(np.int64), x, size_code(n))
                 m = len(packed[0])
-                yield pa.RecordBatch.from_arrays([*(none(m, f.type) for f in list(FIRST_ARROW)[:5]), *(pa.array(c, f.type) for c, f in zip(packed, list(FIRST_ARROW)[5:], strict=True))], schema=FIRST_ARROW)
+                yield pa.RecordBatch.from_arrays([*(none(m, f.type) for f in list(FIRST_ARROW)[:6]), *(pa.array(c, f.type) for c, f in zip(packed, list(FIRST_ARROW)[6:], strict=True))], schema=FIRST_ARROW)
 
     return run
 
@@ -199,6 +221,9 @@ MEMBER_ARROW = pa.schema([("g", pa.int64()), ("x", pa.int64())])
 def _regions(share: tuple[int, int]):
     """Members of the regions that hold more than one set, where their sizes allow a link to another; named by the least member."""
 
+    # Codes of linked sizes differ by no more.
+    apart = int(8 * np.log(share[1] / share[0]) + 1)
+
     def joined(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         keys, nodes, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
         # Only keys that occur twice need more work.
@@ -215,7 +240,7 @@ def _regions(share: tuple[int, int]):
         new[1:] = (keys[1:] != keys[:-1]) | (nodes[1:] != nodes[:-1])
         keys, nodes, sizes = keys[new], nodes[new], sizes[new]
         # In order of size a partner is next to a member, if there is one at all.
-        near = (keys[1:] == keys[:-1]) & (sizes[:-1] * share[1] >= sizes[1:] * share[0])
+        near = (keys[1:] == keys[:-1]) & (sizes[1:] - sizes[:-1] <= apart)
         linked = np.concatenate([near, [False]]) | np.concatenate([[False], near])
         # A gap in size parts a region into two.
         start = np.concatenate([[True], ~near])[: len(keys)]
@@ -233,7 +258,7 @@ def _regions(share: tuple[int, int]):
         held: dict[int, list] = {}
         for batch in batches:
             for part, k, d, s in zip(*(batch[c].to_pylist() for c in ("part", "keys", "docs", "sizes")), strict=True):
-                held.setdefault(part, []).append((np.frombuffer(k, dtype=np.uint32), unpacked_ids(d), np.frombuffer(s, dtype=np.uint32)))
+                held.setdefault(part, []).append((np.frombuffer(k, dtype=np.uint32), unpacked_ids(d), np.frombuffer(s, dtype=np.uint8)))
         for part in list(held):
             yield from joined(held.pop(part))
         trim()
@@ -241,6 +266,50 @@ def _regions(share: tuple[int, int]):
     return run
 
 
+def _near(share: tuple[int, int]):
+    """Stars (u, v) of the sets of a region whose signatures allow links. Rows: g, x, n, sig, by g."""
+
+    def stars(rows: list[dict]) -> Iterator[tuple[int, int]]:
+        n = np.array([r["n"] for r in rows])
+        width = np.array([len(r["sig"]) for r in rows])
+        root = np.arange(len(rows))
+        for w in np.unique(width).tolist():
+            at = np.flatnonzero((width == w) | (width == 2 * w))
+            # Signatures of twice the width are folded.
+            sigs = np.zeros((len(at), w), dtype=np.uint8)
+            for i, j in enumerate(at.tolist()):
+                s = np.frombuffer(rows[j]["sig"], dtype=np.uint8)
+                sigs[i] = s if len(s) == w else s[:w] ^ s[w:]
+            sigs = sigs.view(np.uint64)
+            own = np.flatnonzero(width[at] == w)
+            for i in own.tolist():
+                far = root[at] != root[at[i]]
+                if not far.any():
+                    continue
+                other = np.flatnonzero(far)
+                flips = np.bitwise_count(sigs[other] ^ sigs[i]).sum(axis=1, dtype=np.int64)
+                both = n[at[other]] + n[at[i]]
+                for j in at[other[flips * (share[0] + share[1]) <= both * (share[1] - share[0])]].tolist():
+                    if root[j] != root[at[i]]:
+                        root[root == root[j]] = root[at[i]]
+        least: dict[int, int] = {}
+        for r, c in zip(rows, root.tolist(), strict=True):
+            least[c] = min(least.get(c, r["x"]), r["x"])
+        return ((r["x"], least[c]) for r, c in zip(rows, root.tolist(), strict=True) if r["x"] != least[c])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import itertools
+
+        found: list[tuple[int, int]] = []
+        for _, rows in itertools.groupby(rows_of(batches), key=lambda r: r["g"]):
+            found += stars(list(rows))
+            if len(found) > 20_000:
+                yield from flushed(found)
+        yield from flushed(found)
+
+    return run
+
+
 SET_ARROW = pa.schema([("x", pa.int64()), ("rep", pa.int64()), ("n", pa.int64()), ("s", pa.binary())])
 
 
@@ -478,7 +547,7 @@ def divided(groups: DataFrame, share: tuple[int, int], pivots: int, n: int, with
     return links, rows
 
 
-def jaccard_classes(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), most: int = MOST, pivots: int = PIVOTS) -> DataFrame:
+def jaccard_classes(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5), most: int = MOST, pivots: int = PIVOTS, signed: int = SIGNED) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text).
 
     Two documents link when share[1] * intersection >= share[0] * union of
@@ -499,19 +568,30 @@ def jaccard_classes(docs: DataFrame, k: int = 5, share: tuple[int, int] = (4, 5)
     window = 1 - share[0] / share[1]
     n_parts = max(n, int(counts.sum() * window / PART_ENTRIES) + 1)
     first = stored(docs.mapInArrow(_first(n_parts, k, share, counts), FIRST), "jaccard-sets")
-    each = stored(first.filter("part is null and g is null").select("doc_id", "n", "fp", "x"), "jaccard-documents")
-    reps = stored(each.filter("fp is not null and doc_id is not null").groupBy("fp", "x").agg(F.min("doc_id").alias("rep")), "jaccard-reps")
+    each = stored(first.filter("part is null and g is null").select("doc_id", "n", "fp", "sig", "x"), "jaccard-documents")
+    # Equal sets are one from here on.
+    reps = stored(each.filter("fp is not null and doc_id is not null").groupBy("fp", "x").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sig").alias("sig")), "jaccard-reps")
 
     packed = first.filter("part is not null").select("part", "keys", "docs", "sizes").repartitionById(n_parts, F.col("part"))
     members = packed.mapInArrow(_regions(share), "g bigint, x bigint").unionByName(first.filter("g is not null").select("g", "x"))
     members = stored(members.distinct(), "jaccard-members")
     discard(first)
-    several = stored(members.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1"), "jaccard-groups")
-    active = members.join(several, "g", "left_semi").select("x").distinct()
-    wanted = reps.join(active, "x", "left_semi")
+    several = stored(members.groupBy("g").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").drop("m"), "jaccard-groups")
+    grouped = stored(members.join(several, "g").join(reps.select("x", "n", "sig").hint("merge"), "x"), "jaccard-signed")
+    sizes = grouped.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("sn"), F.min("x").alias("least"))
+    huge = stored(sizes.filter((F.col("m") > signed) | (F.col("sn") > SIGNED_SHINGLES)).select("g", "least"), "jaccard-huge")
+    stars, rest = None, grouped
+    if not huge.isEmpty():
+        # Too large for one task: a candidate cluster as it is.
+        stars = grouped.join(huge, "g").select(F.col("x").alias("u"), F.col("least").alias("v"))
+        rest = grouped.join(huge, "g", "left_anti")
+    near = rest.select("g", "x", "n", "sig").repartition(n, "g").sortWithinPartitions("g").mapInArrow(_near(share), "u bigint, v bigint")
+    clusters = stored(components(near if stars is None else near.unionByName(stars)), "jaccard-clusters")
+    discard(members, grouped)
+    wanted = reps.select("x", "fp", "rep").join(clusters.select(F.col("v").alias("x")), "x", "left_semi")
     sets = docs.join(wanted.hint("merge"), docs["doc_id"] == wanted["rep"]).select("x", "rep", "fp", "text").mapInArrow(_sets(k), "x bigint, rep bigint, n bigint, s binary")
     sets = stored(sets, "jaccard-active")
-    grouped = stored(members.join(several, "g").select("g", "x").join(sets.select("x", "n"), "x"), "jaccard-rows")
+    grouped = clusters.select(F.col("c").alias("g"), F.col("v").alias("x")).join(sets.select("x", "n"), "x")
 
     def with_sets(rows: DataFrame) -> DataFrame:
         return rows.join(sets.hint("merge"), "x").select("g", "chunk", "role", "x", "rep", "s")
