@@ -2,12 +2,11 @@
 
 An item window is a set of shingles at fixed places, and it occurs in a text
 only if all of them do. So its necessary prefix, in order of rarity, is one
-shingle long: the one that is rarest in the corpus. The texts are read once.
-Their shingles meet the shingles of all item windows in a broadcast hash join
-that runs inside the scan's stage, and what matches is written with the words
-around it. From that table come the corpus counts that rank the shingles, and
-the matches of the rarest ones. Length and positional bounds, and then the
-words themselves, decide whether the window stands there.
+shingle long: the one that the fewest item windows have. These are chosen
+before anything is joined. The texts are read once; their shingles meet the
+chosen ones in a broadcast hash join that runs inside the scan's stage, and
+what matches is written with the words around it. Length and positional bounds,
+and then the words themselves, decide whether the window stands there.
 
 The broadcast side is counted first. Where it has more than `SHINGLES` rows
 it is taken in blocks, each of them against all rows.
@@ -65,10 +64,16 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         ],
     ) if sizes else distinct.select("win", "words", "len", F.lit(0).alias("off"), F.lit(0).cast("long").alias("h")).limit(0)
     tokens = stored(tokens, "decon-tokens")
-    keys = tokens.select("h").distinct()
+    common = tokens.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    rarest = tokens.join(common, "h").groupBy("win").agg(F.min(F.struct("n", "h", "off", "len", "words")).alias("t")).select("win", "t.h", "t.off", "t.len", "t.words")
+    rarest = stored(rarest, "decon-prefixes")
+    keys = rarest.select("h").distinct()
     blocks = max(1, math.ceil(keys.count() / most))
 
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), word_list(F.col(text_col)).alias("w")).withColumn("n_words", F.size("w"))
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # Read once for each block: numbers that are written are the same each time.
+    numbered = numbered if blocks == 1 else stored(numbered, "decon-rows")
+    base = numbered.select("row", "id", word_list(F.col("text")).alias("w")).withColumn("n_words", F.size("w"))
     # Place 0 stands for the document itself, so one pass gives every row and its size.
     marks = F.concat(F.array(F.lit(0).cast("long")), *[_shingles(F.col("w"), x) for x in sizes])
     parts = []
@@ -82,13 +87,6 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         parts.append(found if b == 0 else found.filter("pos >= 0"))
     matches = stored(functools.reduce(DataFrame.unionByName, parts), "decon-matches")
 
-    counts = matches.filter("pos >= 0").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    rarest = (
-        tokens.join(counts, "h", "left")
-        .groupBy("win")
-        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "off", "h", "len", "words")).alias("t"))
-        .select("win", "t.h", "t.off", "t.len", "t.words")
-    )
     start = F.col("pos") - F.col("off")
     occurs = (
         matches.filter("pos >= 0").join(rarest, "h")
@@ -107,7 +105,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ids, as strings in order, of the items that have an occurring window.
     Null and empty texts have no words and null item texts no windows. Rows
     that repeat an id are judged each on its own; repeated item ids count
-    once and a null item id is hit without being listed.
+    once and a null item id is hit without being listed. No documents give no
+    rows, no items no hits. Texts of any length are read whole; other columns
+    of docs, whatever their names, are not read.
     """
     rows, occurs, items = hits(docs, benchmark, id_col, text_col, width)
     occurs = stored(occurs, "decon-hits")
