@@ -62,7 +62,9 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return levels.select("source", "source_size", "n", F.when(F.col("_at").isNull(), F.col("_cap")).otherwise(F.least(F.col("_at") * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
-_ITEM = "struct<id:bigint,size:bigint,p:double,u:double>"
+_ITEM = "struct<id:bigint,size:bigint,k:bigint,p:double,u:double>"
+#: Equal rows that one array numbers.
+PLACES = 10_000
 
 
 def _pair_off(items: Column) -> Column:
@@ -84,7 +86,7 @@ def _pair_off(items: Column) -> Column:
         moved = F.when(take_up, up).otherwise(-down)
         new_i, new_j = i["p"] + moved / si, x["p"] - moved / sj
         def item(a: Column, p: Column) -> Column:
-            return F.struct(a["id"].alias("id"), a["size"].alias("size"), F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)).alias("p"), a["u"].alias("u"))
+            return F.struct(a["id"].alias("id"), a["size"].alias("size"), a["k"].alias("k"), F.least(F.greatest(p, F.lit(0.0)), F.lit(1.0)).alias("p"), a["u"].alias("u"))
         i_done = i_full | i_empty
         done = F.when(i_done, item(i, F.when(i_full, F.lit(1.0)).otherwise(F.lit(0.0)))).otherwise(item(x, F.when(j_empty, F.lit(0.0)).otherwise(F.lit(1.0))))
         carry = F.when(i_done, item(x, new_j)).otherwise(item(i, new_i))
@@ -96,6 +98,18 @@ def _pair_off(items: Column) -> Column:
     return F.aggregate(items, start, step)
 
 
+def placed(sized: DataFrame) -> DataFrame:
+    """Each row with `k`, its place among the rows of equal source, id and size: they are counted, and numbered from the counts.
+
+    Equal rows are alike, so no row needs to know which of them it was; and a
+    hot id is spread over the blocks as other rows are.
+    """
+    counted = sized.groupBy("source", "id", "size").agg(F.count(F.lit(1)).alias("c"))
+    runs = counted.select("source", "id", "size", "c", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("c") - 1) / PLACES))).alias("run"))
+    start = F.col("run") * PLACES
+    return runs.select("source", "id", "size", F.explode(F.sequence(start, F.least(start + PLACES, F.col("c")) - 1)).alias("k"))
+
+
 def _uniform(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
@@ -104,9 +118,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", weights: tuple[int, ...] = WEIG
     """(id, size, source_size, target, taken) for each row of docs (id, text, source).
 
     Null texts have size 0. Rows without words take nothing. Null is a source
-    of its own. Rows that repeat an id are rounded each on its own. With no
-    words at all every target is 0. Draws are hashes of the id, the size, the
-    seed and the level, so reruns agree whatever the partitioning.
+    of its own. Rows that repeat an id, or have none, are rounded each on its
+    own. With no words at all every target is 0; an empty table gives no rows.
+    Texts of any length are counted whole. Ids are castable to bigint; other
+    columns of docs are not read. Draws are hashes of the id, the size, the
+    place among equal rows, the seed and the level, so reruns agree whatever
+    the partitioning.
     """
     sized = docs.select(F.col(id_col).cast("long").alias("id"), F.col("source").alias("source"), word_count(F.col("text")).alias("size"))
     sized = stored(sized, "mix-sizes")
@@ -114,21 +131,21 @@ def mix(docs: DataFrame, id_col: str = "doc_id", weights: tuple[int, ...] = WEIG
     most_rows = targets.agg(F.max("n")).first()[0] or 0
     # A row of its own for each source, of any number: Spark chooses the join by the table's size.
     parts = (
-        sized.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
+        placed(sized).join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
         .drop("_s")
         .withColumn("_ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
         .withColumn("_whole", F.least(F.floor("_ratio"), F.lit(most)))
         .withColumn("_p", F.when((F.col("size") > 0) & (F.col("_whole") < most), F.col("_ratio") - F.col("_whole")).otherwise(F.lit(0.0)))
     )
     settled = parts.filter(F.col("_p") <= 0).select("id", "source", "size", F.lit(0.0).alias("p"))
-    rest = parts.filter(F.col("_p") > 0).select("source", F.struct("id", "size", F.col("_p").alias("p"), _uniform(F.col("id"), F.col("size"), F.lit(seed), F.lit(0)).alias("u")).alias("item"))
+    rest = parts.filter(F.col("_p") > 0).select("source", F.struct("id", "size", "k", F.col("_p").alias("p"), _uniform(F.col("id"), F.col("size"), F.col("k"), F.lit(seed), F.lit(0)).alias("u")).alias("item"))
     rounded = [settled]
     left, level = most_rows, 0
     while left > 0:
         blocks = max(1, math.ceil(left / block))
         level += 1
-        key = F.pmod(F.xxhash64(F.col("item.id"), F.col("item.size"), F.lit(seed), F.lit(level)), F.lit(blocks))
-        arrays = rest.groupBy("source", key.alias("_block")).agg(F.array_sort(F.collect_list(F.struct((-F.col("item.size")).alias("o"), F.col("item.u").alias("u"), F.col("item.id").alias("i"), "item"))).alias("_list"))
+        key = F.pmod(F.xxhash64(F.col("item.id"), F.col("item.size"), F.col("item.k"), F.lit(seed), F.lit(level)), F.lit(blocks))
+        arrays = rest.groupBy("source", key.alias("_block")).agg(F.array_sort(F.collect_list(F.struct((-F.col("item.size")).alias("o"), F.col("item.u").alias("u"), F.col("item.id").alias("i"), F.col("item.k").alias("k"), "item"))).alias("_list"))
         folded = stored(arrays.select("source", _pair_off(F.transform("_list", lambda x: x["item"])).alias("r")), f"mix-{level}")
         done = folded.select("source", F.explode("r.done").alias("d"))
         rounded.append(done.select("d.id", "source", "d.size", "d.p"))
@@ -137,7 +154,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", weights: tuple[int, ...] = WEIG
             # The last residual of a source goes to the nearer side, at most half a document from the target.
             rounded.append(rest.select("c.id", "source", "c.size", F.when(F.col("c.p") >= 0.5, F.lit(1.0)).otherwise(F.lit(0.0)).alias("p")))
             break
-        rest = rest.select("source", F.struct("c.id", "c.size", "c.p", _uniform(F.col("c.id"), F.col("c.size"), F.lit(seed), F.lit(level)).alias("u")).alias("item"))
+        rest = rest.select("source", F.struct("c.id", "c.size", "c.k", "c.p", _uniform(F.col("c.id"), F.col("c.size"), F.col("c.k"), F.lit(seed), F.lit(level)).alias("u")).alias("item"))
         left = blocks
     out = rounded[0]
     for frame in rounded[1:]:
