@@ -8,8 +8,10 @@ its digest alone:
    so that a content held by a third of all rows meets in many groups,
 3. the winners of the salts are merged to one winner for each content.
 
-Every row then learns its winner by a join on digests. That join has one row
-for each content on one side, so Spark can split a hot digest on the other.
+Every row then learns its winner by a join on SHA-256 and 64 more bits: that
+join decides nothing, and with the contents in it both sides would be shuffled
+whole once more. It has one row for each content on one side, which is written
+first, so Spark can split a hot digest on the other.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavelake.llm.textkit import stored
+
 #: Salts of a digest: an upper bound for the rows that meet in stage 3.
 SALTS = 64
 
@@ -38,10 +42,13 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Rows are equal when their normalised texts are identical. The row with the
     most code points in the original text stays, then the one of smallest id.
-    Null and empty texts are equal to each other. Of rows that repeat an id
-    and a text all carry the same keep_id and count in group_size. Rows
-    without an id count in group_size and stay only if no row of the group
-    has an id; their keep_id is then null.
+    Null and empty texts are equal to each other. Rows that repeat an id count
+    in group_size each; those of them with fewer code points than the one that
+    stays go, and those equal in id and code points too are one document, of
+    which all rows stay or go. Rows without an id count in group_size and stay
+    only if no row of the group has an id (all of them); their keep_id is then
+    null. An empty table gives no rows; texts of any length are compared whole;
+    other columns of docs are not read. Ids are castable to bigint.
     """
     content = normalised(F.col(text_col))
     base = docs.select(
@@ -58,14 +65,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .agg(F.max("_best").alias("_best"), F.sum("_n").alias("group_size"))
         .select("_sha", F.xxhash64("_norm").alias("_second"), "_best", "group_size")
     )
+    winners = stored(winners, "exact-winners")
     big = F.lit("18446744073709551616").cast("decimal(20,0)")
     keep = (F.lit("9223372036854775807").cast("decimal(20,0)") - F.pmod(F.col("_best"), big)).cast("decimal(38,0)")
     # pmod leaves 0..2^64-1; ids are 2^63-1 minus it.
-    rows = base.select("_id", "_sha", F.xxhash64("_norm").alias("_second"))
+    # A row that repeats the winner's id but has fewer code points goes.
+    rows = base.select("_id", "_sha", F.xxhash64("_norm").alias("_second"), _rank(F.col("_chars"), F.col("_id")).alias("_own"))
     return rows.join(winners, ["_sha", "_second"]).select(
         F.col("_id").alias(id_col),
         keep.cast("long").alias("keep_id"),
         "group_size",
-        F.coalesce(F.col("_id") == keep.cast("long"), F.col("_best").isNull()).alias("kept"),
+        F.coalesce(F.col("_own") == F.col("_best"), F.col("_best").isNull()).alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
