@@ -131,11 +131,9 @@ def short(right: np.ndarray) -> np.ndarray:
 
 def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray]]:
     for table in gathered(batches, "text"):
-        table = table.filter(table["doc_id"].is_valid())
-        if table.num_rows:
-            data, offsets = utf8(table["text"])
-            if len(data):
-                yield table, table["doc_id"].to_numpy(), data, offsets
+        data, offsets = utf8(table["text"])
+        if len(data):
+            yield table, table["at"].to_numpy(), data, offsets
 
 
 def told(table: pa.Table, kind: int) -> np.ndarray:
@@ -267,18 +265,23 @@ def remove_repeated_bytes(docs: DataFrame, width: int = 200) -> DataFrame:
     `spans` are the maximal runs of UTF-8 bytes covered by a string of `width`
     bytes that also starts anywhere else in the corpus, the same document
     included; `kept` are the other bytes. Strings never cross documents. Null
-    texts are empty. Rows that repeat a doc_id are documents of their own as
-    far as strings go. Rows without a doc_id take no part and are kept whole.
+    texts are empty. Rows that repeat a doc_id or have none are documents of
+    their own, as all others. An empty table gives no rows; texts of any length
+    are read whole; other columns of docs are not read. Ids are castable to
+    bigint.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
     n = partitions(spark)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    first = stored(delivered(exchanged(docs.mapInArrow(_round1(n, width), BLOCK), n, _contexts(n)), n), "byte-contexts")
+    # Where a row is told what repeats. Rows that share it are told more than they need, and all of it is so.
+    at = F.coalesce(F.col("doc_id").cast("bigint"), F.xxhash64("text")).alias("at")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), at)
+    first = delivered(exchanged(docs.mapInArrow(_round1(n, width), BLOCK), n, _contexts(n)), n)
+    first = stored(first.withColumnRenamed("doc_id", "at"), "byte-contexts")
     # One shuffle of the texts by document, which both joins below use.
-    docs = docs.repartition(n, "doc_id")
+    docs = docs.repartition(n, "at")
     open_ = first.filter(F.exists("told", lambda t: t["kind"] == MIXED))
-    second = delivered(exchanged(docs.join(open_, "doc_id").mapInArrow(_round2(n, width), BLOCK), n, _strings(n)), n)
-    both = docs.join(first, "doc_id", "left").join(second.withColumnRenamed("told", "more"), "doc_id", "left")
+    second = delivered(exchanged(docs.join(open_, "at").mapInArrow(_round2(n, width), BLOCK), n, _strings(n)), n)
+    both = docs.join(first, "at", "left").join(second.toDF("at", "more"), "at", "left")
     nothing = F.array().cast("array<struct<kind:int,keys:binary>>")
     return both.select("doc_id", "text", F.concat(F.coalesce("told", nothing), F.coalesce("more", nothing)).alias("told")).mapInArrow(_removals(width), OUT)
