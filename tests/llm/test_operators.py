@@ -330,3 +330,77 @@ def test_odd_rows_and_extra_columns(spark, tmp_path, name):
     for t in ("labels", "benchmark"):
         spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 45
+
+
+def test_warc_repeated_pages_and_odd_columns(spark, tmp_path):
+    warc.register(spark)
+    h = "h" * 150
+    rows = [(1, "u", h), (1, "u", h), (2, "u", h), (None, "u", h), (None, None, None), (3, "u", "k" * 150), (3, "v", "m" * 150)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_sha", F.lit("x")).withColumn("payload", F.lit(1)).repartition(3)
+    warc.archive(pages, f"file://{tmp_path}/w")
+    got = sorted((r.record_id or "", r.record_type, r.refers_to or "", r.payload_length) for r in spark.read.format("warc").load(f"file://{tmp_path}/w").collect())
+    assert got == sorted(
+        [("<urn:page:1>", "response", "", 150), ("<urn:page:1>", "revisit", "<urn:page:1>", 150), ("<urn:page:2>", "revisit", "<urn:page:1>", 150), ("", "response", "", 150), ("", "response", "", 0), ("<urn:page:3>", "response", "", 150), ("<urn:page:3>", "response", "", 150)]
+    )
+
+
+def test_warc_records_inside_payloads_and_broken_files(spark, tmp_path):
+    warc.register(spark)
+    inner = warc.record({"record_id": "<urn:page:999>", "record_type": "response", "target_uri": "u", "refers_to": None, "payload_digest": "d", "payload_length": 5, "payload": b"inner"})
+    rows = [{"record_id": f"<urn:page:{i}>", "record_type": ("response", "revisit")[i % 3 == 2], "target_uri": "u", "refers_to": None, "payload_digest": "d", "payload_length": 1, "payload": b"x" * i + b"\r\n\r\n" + inner * 3} for i in range(20)]
+    whole = b"".join(warc.record(r) for r in rows)
+    (tmp_path / "a.warc").write_bytes(whole)
+    for split in (50, 700, 1 << 20):
+        got = spark.read.format("warc").option("split", split).load(f"{tmp_path}/a.warc").collect()
+        assert sorted(r.record_id for r in got) == sorted(r["record_id"] for r in rows)
+        assert spark.read.format("warc").option("split", split).load(f"{tmp_path}/a.warc").filter("record_type = 'revisit'").count() == 6
+    import gzip
+
+    packed = gzip.compress(whole)
+    (tmp_path / "b.warc.gz").write_bytes(packed)
+    assert spark.read.format("warc").load(f"{tmp_path}/b.warc.gz").count() == 20
+    for name, data in (("c.warc", b"stray\r\n" + whole), ("d.warc", whole[:-30]), ("e.warc.gz", packed[:-40])):
+        (tmp_path / name).write_bytes(data)
+        with pytest.raises(Exception, match="no record begins|cut off"):
+            spark.read.format("warc").load(f"{tmp_path}/{name}").collect()
+
+
+def test_exact_rows_that_repeat_an_id(spark):
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(frame(spark, [(1, "a b"), (1, "a  b"), (2, "ab"), (None, "ab     ")])).collect() if r.doc_id is not None)
+    assert got == [(1, 1, 4, False), (1, 1, 4, True), (2, 1, 4, False)]
+
+
+def test_bytes_of_rows_without_an_id(spark):
+    t = "".join(chr(97 + i * i % 23) for i in range(500))
+    out = remove_repeated_bytes(frame(spark, [(None, t), (3, t), (None, "own text"), (None, None)]).withColumn("at", F.lit(1)), 200).collect()
+    assert sorted((r.n_bytes, len(r.kept)) for r in out) == [(0, 0), (8, 8), (500, 0), (500, 0)]
+
+
+def test_jaccard_size_of_rows_without_an_id(spark):
+    rows = [(None, "a b c d"), (1, "e f g"), (1, "h i j"), (None, None), (2, ""), (3, "w " * 9000 + "x")]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard_join.jaccard_classes(frame(spark, rows).withColumn("rep", F.lit("clash")), 2).collect())
+    assert got == [(0, 0, 0), (0, 3, 0), (1, 2, 1), (1, 2, 1), (2, 0, 2), (3, 2, 3)]
+
+
+@pytest.mark.parametrize("seed,most,pivots,signed,frequent", [(1, 8, 4, 9000, 2000), (2, 4, 3, 5, 0)])
+def test_jaccard_divides_groups_by_pivots(spark, monkeypatch, seed, most, pivots, signed, frequent):
+    monkeypatch.setattr(jaccard_join, "FREQUENT", frequent)
+    r = random.Random(seed)
+    rows = []
+    for d in range(120):
+        w = [f"w{i}" for i in range(60)]
+        for _ in range(r.randint(0, 16)):
+            w[r.randrange(60)] = f"x{r.randrange(1000)}"
+        rows.append((d, " ".join(w)))
+    got = sorted(tuple(x) for x in jaccard_join.jaccard_classes(frame(spark, rows).repartition(3), 1, (85, 100), most, pivots, signed).collect())
+    assert got == brute.jaccard(rows, 1, 85, 100)
+
+
+def test_mixing_spreads_rows_of_one_id(spark):
+    rows = [(7, "w w w", "en", "a", 0)] * 5000 + [(None, "w w", "en", "a", 0)] * 300 + [(d, "w", "en", "b", 0) for d in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    one = sorted(tuple(x) for x in mixing.mix(docs).select(F.coalesce("doc_id", F.lit(-1)), "size", "source_size", "taken").collect())
+    assert one == sorted(tuple(x) for x in mixing.mix(docs.repartition(5)).select(F.coalesce("doc_id", F.lit(-1)), "size", "source_size", "taken").collect()) and len(one) == 5700
+    by = {r.source_size: (r.t, r.target) for r in mixing.mix(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("t")).collect()}
+    assert all(abs(t - target) <= 3 for t, target in by.values())
+    assert mixing.placed(docs.select("source", F.col("doc_id").alias("id"), F.lit(1).cast("long").alias("size"))).groupBy("id").agg(F.countDistinct("k").alias("n")).filter("id = 7").first().n == 5000

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelake.llm.textkit import arrow_limits, gathered, partitions, runs, stored
+from wavelake.llm.textkit import arrow_limits, fresh, gathered, partitions, runs, stored
 
 #: Words that make a repeated run worth deleting.
 MIN_WORDS = 6
@@ -183,31 +183,37 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_chars
     return with_identity(docs).join(cuts, ["did", "th"], "left").select("doc_id", "th", "text", "cuts").mapInArrow(_rebuilt, OUT)
 
 
-def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cleaned(column: str):
     """Texts without their cut lines; documents of which nothing but white space is left go."""
-    for table in gathered(batches, "text"):
-        kept, stays = [], []
-        for text, cuts in zip(table["text"].to_pylist(), table["_cuts"].to_pylist(), strict=True):
-            if cuts:
-                lines = text.split("\n")
-                gone = np.zeros(len(lines), dtype=bool)
-                for c in cuts:
-                    gone[c["pos"] : c["pos"] + c["need"]] = True
-                text = "\n".join(x for x, g in zip(lines, gone.tolist(), strict=True) if not g)
-            kept.append(text)
-            stays.append(not cuts or bool(text.strip(" \t\n\v\f\r")))
-        at = table.schema.get_field_index("text")
-        table = table.set_column(at, table.schema.field(at), pa.array(kept, table.schema.field(at).type)).drop_columns(["_cuts"])
-        yield from table.filter(pa.array(stays)).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in gathered(batches, "text"):
+            kept, stays = [], []
+            for text, cuts in zip(table["text"].to_pylist(), table[column].to_pylist(), strict=True):
+                if cuts:
+                    lines = text.split("\n")
+                    gone = np.zeros(len(lines), dtype=bool)
+                    for c in cuts:
+                        gone[c["pos"] : c["pos"] + c["need"]] = True
+                    text = "\n".join(x for x, g in zip(lines, gone.tolist(), strict=True) if not g)
+                kept.append(text)
+                stays.append(not cuts or bool(text.strip(" \t\n\v\f\r")))
+            at = table.schema.get_field_index("text")
+            table = table.set_column(at, table.schema.field(at), pa.array(kept, table.schema.field(at).type)).drop_columns([column])
+            yield from table.filter(pa.array(stays)).combine_chunks().to_batches()
+
+    return run
 
 
 def clean(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int | None = MIN_CHARS) -> DataFrame:
     """All columns of docs (doc_id, text, ...), the texts without later copies of line runs.
 
-    A document whose lines are all later copies is one itself and goes.
+    A document whose lines are all later copies is one itself and goes. Null
+    and empty texts stay; rows without an id come after all others.
     """
     arrow_limits(docs.sparkSession)
     cuts = copies(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")), min_words, min_chars)
-    mine = docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))).withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = mine.join(cuts.toDF("_did", "_th", "_cuts"), ["_did", "_th"], "left").select(*docs.columns, "_cuts")
-    return joined.mapInArrow(_cleaned, docs.schema)
+    did, th, mine = (fresh(docs, x) for x in ("_did", "_th", "_cuts"))
+    rows = docs.withColumn(did, F.coalesce(F.col("doc_id").cast("bigint"), F.lit((1 << 63) - 1))).withColumn(th, F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    joined = rows.join(cuts.toDF(did, th, mine), [did, th], "left").select(*docs.columns, mine)
+    return joined.mapInArrow(_cleaned(mine), docs.schema)

@@ -213,6 +213,14 @@ def expire(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
 
 
+def fresh(frame: DataFrame, name: str) -> str:
+    """The name, with underscores after it as long as a column of the frame has it."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def stored(frame: DataFrame, name: str) -> DataFrame:
     """The frame written to the shared folder and read back: its lineage ends here."""
     spark = frame.sparkSession
