@@ -15,56 +15,70 @@ from wavelake.llm.jaccard_join import jaccard_classes
 from wavelake.llm.line_dedup import clean
 from wavelake.llm.mixing import mix
 from wavelake.llm.queries import held_out, table
-from wavelake.llm.textkit import stored
+from wavelake.llm.textkit import fresh, stored
 from wavelake.llm.toxicity import with_score
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of score 0.5 or more go; the model is trained on the labels that are not held out."""
-    scored = with_score(docs, table(spark, sf_dir, "labels"), held_out(5, 0))
-    return scored.filter("_toxicity < 0.5").drop("_toxicity")
+    """Documents of score 0.5 or more go; the model is trained on the labels that are not held out.
+
+    Each row is judged by its own text, with or without an id. Null and empty
+    texts score the bias alone.
+    """
+    out = fresh(docs, "_toxicity")
+    scored = with_score(docs, table(spark, sf_dir, "labels"), held_out(5, 0), out=out)
+    return scored.filter(F.col(out) < 0.5).drop(out)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of line runs go, and documents that consist of them."""
+    """Later copies of line runs go, and documents that consist of them.
+
+    Null and empty texts stay. Rows without an id come after all others; rows
+    equal in id and text are one document.
+    """
     out = clean(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out
 
 
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group at five-word shingles and 0.8 the document of smallest id stays. Documents without an id stay."""
-    classes = jaccard_classes(docs, k=5, share=(4, 5))
-    gone = classes.filter("component_id <> doc_id").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return out
-    return out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id is null"))
-
-
-def with_row(docs: DataFrame) -> DataFrame:
-    """docs with _row, a key of the row: the doc_id where none is null or repeated."""
+def with_row(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a key of the row, and the key's name: the doc_id where none is null or repeated."""
+    row = fresh(docs, "_row")
     odd = docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null")
     if odd.isEmpty():
-        return docs.withColumn("_row", F.col("doc_id").cast("bigint"))
+        return docs.withColumn(row, F.col("doc_id").cast("bigint")), row
     # Written, so that a row has the same key each time it is read; the mix draws by it.
-    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    return stored(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group at five-word shingles and 0.8 one document stays, that of smallest id.
+
+    Where ids are null or repeat, each row is a document by its own text and
+    the first row of a group stays. Null and empty texts link with nothing and
+    stay.
+    """
+    rows, row = with_row(docs)
+    classes = jaccard_classes(rows.select(F.col(row).alias("doc_id"), "text"), k=5, share=(4, 5))
+    gone = classes.filter("component_id <> doc_id").select(F.col("doc_id").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a twentieth or more of the words stand in benchmark windows go, each row by its own text."""
-    rows = with_row(docs)
-    judged = contamination(rows, table(spark, sf_dir, "benchmark"), id_col="_row")
-    gone = judged.filter("contaminated").select("_row").distinct()
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    """Documents of which a twentieth or more of the words stand in benchmark windows go, each row by its own text, with or without an id."""
+    rows, row = with_row(docs)
+    judged = contamination(rows, table(spark, sf_dir, "benchmark"), id_col=row)
+    gone = judged.filter("contaminated").select(row)
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes, with `copies`, how often; rows without a doc_id too."""
-    rows = with_row(docs)
-    taken = mix(rows, id_col="_row").filter("taken > 0").select("_row", (F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    return rows.join(taken, "_row").select(*docs.columns, "copies")
+    """Documents that the mix takes, with `copies`, how often; rows without a doc_id too. Texts without words are not taken."""
+    rows, row = with_row(docs)
+    copies = fresh(docs, "copies")
+    taken = mix(rows, id_col=row).filter("taken > 0").select(row, (F.col("taken") / F.col("size")).cast("int").alias(copies))
+    return rows.join(taken, row).select(*docs.columns, copies)
 
 
 STAGES = [
