@@ -5,39 +5,126 @@ from __future__ import annotations
 import argparse
 import sys
 
+from pyspark.sql import DataFrame
+
+from wavelake import vocab
 from wavelake.facade import Engine
+from wavelake.operators import datasets, plugins, projects
 from wavelake.session import session
+from wavelake.store import AuditStore
 
+#: What needs a network, a radio toolkit, a vendor's compiler or h5py, none of which this engine has.
+OUTSIDE = ["train", "export", "export-quantised", "export-npu", "dataset-download", "dataset-convert-hisarmod"]
 
-def main(argv: list[str] | None = None) -> int:
+
+def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="wavelake")
+    p.add_argument("--store", default="audit", help="folder of the audit store")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("validate", "classify", "scan"):
+
+    def add(name: str, *positional: str, **options) -> None:
         c = sub.add_parser(name)
-        c.add_argument("path")
-        c.add_argument("--repo" if name == "validate" else "--out")
-    g = sub.add_parser("generate")
-    g.add_argument("out")
-    g.add_argument("--modes", nargs="*")
-    g.add_argument("--chunks-per-snr", type=int, default=1000)
-    g.add_argument("--seed", type=int, default=42)
-    sub.add_parser("plugins")
-    sub.add_parser("verify-generators")
-    a = p.parse_args(argv)
-    engine = Engine(session())
-    if a.command == "validate":
-        results = engine.validate(a.path, a.repo).cache()
-        for line in results.toJSON().toLocalIterator():
-            print(line)
-        return engine.exit_code(results)
-    if a.command == "generate":
-        engine.generate(a.modes, a.chunks_per_snr, seed=a.seed).write.partitionBy("class").mode("overwrite").parquet(a.out)
-        return 0
-    frame = {"classify": lambda: engine.classify(a.path), "scan": lambda: engine.scan(a.path, None), "plugins": engine.plugins, "verify-generators": engine.verify_generators}[a.command]()
+        for x in positional:
+            c.add_argument(x)
+        for k, v in options.items():
+            c.add_argument("--" + k.replace("_", "-"), **(v if isinstance(v, dict) else {"default": v}))
+
+    flag, many = {"action": "store_true"}, {"nargs": "*"}
+    add("validate", "path", repo=None)
+    add("classify", "path")
+    add("report", "path", repo=None)
+    add("verify-family", "path")
+    add("cache-clean", "path", version="", dry_run=flag)
+    add("checksum-verify", "folder", "file")
+    add("checksum-update", "folder", "file")
+    add("dataset-status", "root")
+    add("dataset-verify", "root", "file")
+    add("dataset-info", "path")
+    add("dataset-checksum-update", "root", "file")
+    for name in ("generate", "dataset-generate-synthetic"):
+        add(name, "out", modes=many, chunks_per_snr={"type": int, "default": 1000}, seed={"type": int, "default": 42})
+    add("scan", "path")
+    add("scan-run", "path", at={"required": True}, includes=many, excludes=many)
+    add("scan-issues", project=None, severity=None, since=None, open_only=flag)
+    add("scan-purge", dry_run=flag)
+    add("scan-resolve", "issue_id", note=None)
+    add("scan-status")
+    add("scan-list")
+    add("scan-report", "path", at={"required": True})
+    add("plugins-list")
+    add("plugins-describe", "mode_id")
+    add("plugins")
+    add("verify-generators")
+    for name in OUTSIDE:
+        add(name)
+    return p
+
+
+def show(frame: DataFrame) -> int:
     for line in frame.toJSON().toLocalIterator():
         print(line)
     return 0
 
 
+def main(argv: list[str] | None = None) -> int:
+    a = parser().parse_args(argv)
+    if a.command in OUTSIDE:
+        print(f"{a.command}: not part of this engine", file=sys.stderr)
+        return 2
+    engine = Engine(session())
+    spark, store = engine.spark, AuditStore(engine.spark, a.store)
+    files = lambda root: projects.listing(spark, root)
+
+    def validate() -> int:
+        # Written out line by line and counted: the rows are kept where they were made.
+        results = engine.validate(a.path, a.repo).persist()
+        show(results)
+        return engine.exit_code(results)
+
+    def verify() -> int:
+        found = datasets.verification(files(a.root), datasets.read_checksums(spark, a.file))
+        return show(found) or int(not found.filter("failure").isEmpty())
+
+    def checksums() -> int:
+        for name in datasets.verified_names(files(a.folder), datasets.read_checksums(spark, a.file)):
+            print(name)
+        return 0
+
+    def generate() -> int:
+        classes = [m if m in vocab.ORDERS else datasets.class_of_key(m) for m in a.modes] if a.modes else None
+        engine.generate(classes, a.chunks_per_snr, seed=a.seed).write.partitionBy("class").mode("overwrite").parquet(a.out)
+        return 0
+
+    def clean() -> int:
+        state = projects.cache_state(files(a.path), a.version).filter("state <> 'current'")
+        if not a.dry_run:
+            for r in state.select("path").toLocalIterator():
+                path = spark._jvm.org.apache.hadoop.fs.Path(r.path)
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
+            return 0
+        return show(state.groupBy("state").count())
+
+    def describe() -> int:
+        plugin = plugins.get(a.mode_id)
+        if plugin is None:
+            print(f"no plugin {a.mode_id}", file=sys.stderr)
+            return 1
+        print(plugin.describe())
+        return 0
+
+    commands = {
+        "validate": validate, "classify": lambda: show(engine.classify(a.path)), "report": lambda: show(engine.report(engine.validate(a.path, a.repo))),
+        "verify-family": lambda: show(projects.checkpoint_cases(spark.read.parquet(a.path))), "cache-clean": clean, "checksum-verify": checksums,
+        "checksum-update": lambda: print(datasets.update_checksums(files(a.folder), a.file)) or 0, "dataset-status": lambda: show(datasets.status(files(a.root))), "dataset-verify": verify,
+        "dataset-info": lambda: show(datasets.info(spark.read.parquet(a.path))), "dataset-checksum-update": lambda: print(datasets.update_checksums(files(a.root), a.file, "")) or 0,
+        "generate": generate, "dataset-generate-synthetic": generate, "scan": lambda: show(engine.scan(a.path, None)),
+        "scan-run": lambda: show(engine.scan_run(a.path, store, a.at, a.includes or vocab.INCLUDES, a.excludes or [])), "scan-report": lambda: show(engine.scan_run(a.path, store, a.at, None)),
+        "scan-issues": lambda: show(store.list_issues(project=a.project, severity=a.severity, since=a.since, open_only=a.open_only)), "scan-purge": lambda: print(store.purge(a.dry_run)) or 0,
+        "scan-resolve": lambda: int(not store.resolve(int(a.issue_id), a.note)), "scan-status": lambda: show(store.status()), "scan-list": lambda: show(store.list_projects()),
+        "plugins-list": lambda: show(engine.plugins()), "plugins": lambda: show(engine.plugins()), "plugins-describe": describe, "verify-generators": lambda: show(engine.verify_generators()),
+    }
+    return commands[a.command]()
+
+
 if __name__ == "__main__":
     sys.exit(main())

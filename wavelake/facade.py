@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelake import vocab
 from wavelake.functions import waveforms
-from wavelake.operators import audit, judging, plugins, projects, scoring, training
+from wavelake.operators import audit, judging, naming, plugins, projects, scoring, textmine, training
 from wavelake.sources import iq
+from wavelake.store import AuditStore
+
+
+def naming_time(spark: SparkSession, text: str) -> str:
+    """A timestamp without its zone, in UTC."""
+    return spark.range(1).select(naming.scan_time(F.lit(text))).first()[0].rstrip("Z")
 
 
 class Engine:
@@ -67,6 +76,52 @@ class Engine:
     def scan(self, root: str, includes: list[str] | None = vocab.INCLUDES, excludes: list[str] = ()) -> DataFrame:
         return projects.plan(projects.discover(projects.listing(self.spark, root), root, includes, excludes))
 
+    def generate_plan(self, plan: DataFrame, per_block: int = 4, seed: int = 42) -> DataFrame:
+        """Windows (stem, chunk_idx, i, q) for the rows of a plan that have a synthetic class, at the plan's SNR."""
+        classes = [c for v in vocab.SYNTHETIC.values() for c in v]
+        as_class = F.when(F.col("order_name") == "GMSK", "GMSK_BT03").otherwise(F.col("order_name"))
+        rows = plan.filter("skip_reason is null").withColumn("class", as_class).filter(F.col("class").isin(classes))
+        stem = F.concat_ws("__", "project", "block")
+        made = rows.select(stem.alias("stem"), "class", "family", F.col("snr_db").cast("float").alias("snr_db"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(per_block - 1).cast("bigint"))).alias("number"))
+        # A name leads to the same windows in every project, so each is made once.
+        once = made.select("class", "family", "snr_db", "number").distinct().mapInPandas(waveforms._windows(seed), waveforms.SCHEMA)
+        return made.join(once.drop("family"), ["class", "snr_db", "number"]).select("stem", F.col("number").alias("chunk_idx"), "i", "q")
+
+    def scan_run(self, root: str, store: AuditStore, run_at: str, includes: list[str] | None = vocab.INCLUDES, excludes: list[str] = (), per_block: int = 4) -> DataFrame:
+        """Discover, generate, score, judge, store; (project, report) of each project. Rows without a generator are skipped with a reason."""
+        at = F.lit(naming_time(self.spark, run_at)).cast("timestamp_ntz")
+        run = uuid.uuid4().hex
+        found = store.kept(run, "projects", projects.discover(projects.listing(self.spark, root), root, includes, excludes))
+        plan = store.kept(run, "plan", projects.plan(found).distinct())
+        windows = self.generate_plan(plan, per_block)
+        scored = store.kept(run, "votes", self._voted(self.scorer(windows.withColumn("path", F.col("stem")))))
+        named = plan.withColumn("stem", F.concat_ws("__", "project", "block")).withColumnsRenamed({"family": "expected_family", "order_name": "expected_order"})
+        judged = judging.verdicts(named.join(scored.drop("path"), "stem"))
+        bare = named.join(scored.select("stem"), "stem", "left_anti").withColumn("skip_reason", F.coalesce("skip_reason", F.lit("no generator")))
+        judged = judged.unionByName(bare, allowMissingColumns=True).join(found.select("project", "project_path", "version", "readme"), "project").withColumn("run_at", at)
+        judged = store.kept(run, "verdicts", judged)
+        store.upsert_projects(found.select(F.col("project_path").alias("path"), F.col("project").alias("project_name"), "version", at.alias("last_scanned"), F.lit("scanned").alias("scan_status")))
+        known = store.read("projects").select("project_id", F.col("path").alias("project_path"))
+        keyed = judged.join(known, "project_path").withColumnRenamed("block", "block_name")
+        store.upsert_blocks(keyed.select("project_id", "block_name", "expected_family", "expected_order").distinct())
+        ids = store.read("blocks").select("block_id", "project_id", "block_name")
+        rows = store.kept(run, "blocks", keyed.join(ids, ["project_id", "block_name"]))
+        store.supersede(rows.select("block_id"))
+        store.append("validations", rows.filter("skip_reason is null").select("block_id", "run_at", "predicted_family", "predicted_order", "family_confidence", "order_confidence", "family_pass", "order_pass", "hard_fail", "reason"))
+        raised = judging.issues(rows.filter("skip_reason is null").withColumn("block", F.col("block_id")).withColumn("note", F.lit(None).cast("string")), self.threshold)
+        raised = raised.join(rows.select(F.col("block_id").alias("block"), "project_id", "project").distinct(), "block")
+        raised = store.kept(run, "issues", raised)
+        store.append("issues", raised.select("project_id", F.col("block").alias("block_id"), at.alias("detected_at"), "severity", "description", F.lit(False).alias("resolved")))
+        notice = textmine.notice(F.coalesce("readme", F.lit("")))
+        return store.kept(run, "reports", judging.project_reports(rows.withColumn("block", F.col("block_name")).withColumn("notice", notice), raised))
+
+    def classify_array(self, samples, rate: float = 48_000.0) -> DataFrame:
+        """The vote over one array of complex samples."""
+        x = np.asarray(samples, dtype=np.complex64)
+        x = x[: len(x) // vocab.CHUNK * vocab.CHUNK].reshape(-1, vocab.CHUNK)
+        rows = [("array", "array", k, w.real.tolist(), w.imag.tolist()) for k, w in enumerate(x)]
+        return self._voted(self.scorer(vocab.frame(self.spark, rows, "path string, stem string, chunk_idx bigint, i array<float>, q array<float>")))
+
     def issues(self, issues: DataFrame, projects_: DataFrame, **options) -> DataFrame:
         return audit.list_issues(issues, projects_, **options)
 

@@ -134,6 +134,19 @@ def check(name: str, x: np.ndarray, rate: float) -> list[str]:
         failed += ["deviation"] * (not 0.3 * 1200 <= f.std() <= 2.5 * 1200) + ["envelope"] * (_envelope(x) > 0.08)
     if name in SQUELCH or name == "BELL202":
         failed += ["envelope"] * (_envelope(x) > 0.05)
+    if name == "P25":
+        failed += ["deviation"] * (not 500 <= f.std() <= 1500)
+    if name in SQUELCH or name == "BELL202":
+        power = np.abs(np.fft.rfft(f)) ** 2
+        hz = np.fft.rfftfreq(len(f), 1.0 / rate)
+        at = lambda x: power[np.argmin(np.abs(hz - x))]
+        top = lambda a, b: power[(hz >= a) & (hz <= b)].max()
+        if name == "NFM_CTCSS":
+            failed += ["tone"] * int(top(60, 260) < 0.02 * power.max())
+        elif name == "NFM_DCS":
+            failed += ["tone"] * int(top(20, 250) < 0.005 * power.max())
+        else:
+            failed += ["tones"] * int(min(at(1200), at(2200)) < 5 * at(100))
     if name == "G3RUH":
         failed += ["deviation"] * (not 800 <= f.std() <= 4500) + ["envelope"] * (_envelope(x) > 0.15)
     return failed

@@ -20,6 +20,16 @@ def list_issues(issues: DataFrame, projects: DataFrame, blocks: DataFrame | None
     return out if project is None else out.filter(F.col("project_name").ilike(f"%{project}%"))
 
 
+def list_projects(projects: DataFrame) -> DataFrame:
+    """Newest scan first, projects never scanned last."""
+    return projects.orderBy(F.desc_nulls_last("last_scanned"), "project_id")
+
+
+def count_issues(issues: DataFrame, open_only: bool = False) -> DataFrame:
+    """One row: how many issues there are, or are open."""
+    return issues.agg(F.count_if(~F.col("resolved") | F.lit(not open_only)).alias("issues"))
+
+
 def latest(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
     """One row for each key: the newest, of equals that of largest tie. A fixed number of rows leaves each task."""
     whole = F.struct(*rows.columns)
@@ -71,6 +81,8 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], id_col: str, keep:
     both = joined.filter(F.col(id_col).isNotNull()).unionByName(added.select(*joined.columns))
 
     def value(c: str) -> Column:
+        if c not in new.columns:
+            return F.col(c)
         return F.coalesce(c, f"_new_{c}") if c in keep else F.coalesce(f"_new_{c}", c)
 
     return both.select(id_col, *keys, *[value(c).alias(c) for c in old.columns if c not in (id_col, *keys)])

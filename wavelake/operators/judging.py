@@ -118,3 +118,32 @@ def markdown_rows(results: DataFrame) -> DataFrame:
     """One line of a markdown table for each result."""
     tick = lambda c: F.when(F.col(c), "✓").otherwise("✗")
     return results.select("block", F.concat(F.lit("| "), F.concat_ws(" | ", "block", "expected_order", "predicted_order", F.format_string("%.2f", "family_confidence"), tick("family_pass"), tick("order_pass"), tick("hard_fail")), F.lit(" |")).alias("line"))
+
+
+def project_reports(results: DataFrame, raised: DataFrame) -> DataFrame:
+    """(project, report): a markdown report of each project of results (project, version, notice, run_at, block, skip_reason, verdict columns) with its issues (project, severity, description).
+
+    Counters, the overall label, a row for each block, issues and what was
+    skipped. A project has as many rows as blocks; they meet in one array.
+    """
+    skipped = F.col("skip_reason").isNotNull()
+    ok = ~skipped & F.col("family_pass") & F.col("order_pass") & ~F.col("hard_fail")
+    hard = ~skipped & F.col("hard_fail")
+    mark = F.when(hard, "FAIL").when(ok, "PASS").otherwise("WARN")
+    line = F.concat_ws(" | ", "block", F.concat_ws("/", "expected_family", "expected_order"), F.concat_ws("/", "predicted_family", "predicted_order"), F.format_string("%.2f", "family_confidence"), mark)
+    listed = lambda when, text: F.array_join(F.array_sort(F.collect_list(F.when(when, text))), "\n")
+    each = results.groupBy("project").agg(
+        F.first("version").alias("version"), F.first("notice").alias("notice"), F.max("run_at").alias("run_at"), F.count_if(ok).alias("passed"), F.count_if(hard).alias("hard"),
+        F.count_if(~skipped & ~ok & ~hard).alias("soft"), F.count_if(skipped).alias("skipped"),
+        listed(~skipped, F.concat(F.lit("| "), line, F.lit(" |"))).alias("rows"), listed(skipped, F.concat(F.lit("- "), F.col("block"), F.lit(": "), F.col("skip_reason"))).alias("left_out"),
+    )
+    notes = raised.groupBy("project").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), F.col("severity"), F.lit(": "), F.col("description")))), "\n").alias("notes"))
+    out = each.join(notes, "project", "left")
+    notice = F.regexp_replace(F.substring("notice", 1, 500), "\n", " ")
+    count = lambda name, c: F.concat(F.lit(f"| {name} | "), F.col(c).cast("string"), F.lit(" |"))
+    report = F.concat_ws(
+        "\n", F.concat(F.lit("# Validation of "), F.col("project")), F.concat(F.lit("Run: "), F.col("run_at").cast("string")), F.concat(F.lit("Version: "), F.col("version")),
+        F.when(F.length("notice") > 0, F.concat(F.lit("Machine-made text is declared: "), notice)), F.lit("## Summary"), count("passed", "passed"), count("soft failed", "soft"), count("hard failed", "hard"), count("skipped", "skipped"),
+        F.concat(F.lit("Overall: "), overall_label(F.col("hard"), F.col("soft"), F.col("passed"))), F.lit("## Blocks"), "rows", F.lit("## Issues"), F.coalesce("notes", F.lit("none")), F.lit("## Skipped"), F.when(F.col("left_out") != "", F.col("left_out")).otherwise("none"),
+    )
+    return out.select("project", report.alias("report"))

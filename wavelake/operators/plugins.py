@@ -13,7 +13,7 @@ from wavelake.functions.dsp import spectrum as _spectrum
 from wavelake.functions.dsp import two_means as _clusters
 from wavelake.vocab import CARRIERS
 
-RESULT = "path string, mode_id string, pass_overall boolean, confidence double, carrier_count int, spacing_mean double, spacing_std double, symbol_rates array<double>, symbol_pass array<boolean>, qpsk_pass array<boolean>, total_bandwidth double"
+RESULT = "path string, mode_id string, pass_overall boolean, confidence double, carrier_count int, spacing_mean double, spacing_std double, symbol_rates array<double>, symbol_pass array<boolean>, qpsk_pass array<boolean>, total_bandwidth double, carrier_widths array<double>, notes string"
 #: Samples of a capture that a plugin looks at, at most.
 LONGEST = 192_000
 
@@ -61,6 +61,20 @@ def apply(chunks: DataFrame, mode_id: str, rate: float = 48_000.0) -> DataFrame:
     return chunks.groupBy("path").applyInPandas(run, RESULT)
 
 
+#: Width of a carrier in Hz, least and most, where it has fallen to this share of its peak.
+WIDTHS, FALLEN = (800.0, 1400.0), 10 ** (-6.0 / 10.0)
+
+
+def _walk(hz: np.ndarray, mag: np.ndarray, centre: float) -> float:
+    """Hz between the first bins on either side of the one nearest to `centre` that lie below its share, or the edges."""
+    at = int(np.argmin(np.abs(hz - centre)))
+    if mag[at] <= 0:
+        return 0.0
+    below = np.flatnonzero(mag < FALLEN * mag[at])
+    left, right = below[below < at], below[below > at]
+    return float(hz[right[0] if len(right) else len(hz) - 1] - hz[left[-1] if len(left) else 0])
+
+
 class EightCarriers(Validator):
     """Eight parallel QPSK carriers, 900 baud each and 1300 Hz apart.
 
@@ -86,6 +100,8 @@ class EightCarriers(Validator):
             best = near[np.argmax(mag[near])]
             if mag[best] >= 0.08 * peak and mag[best] >= 2.5 * middle:
                 found.append(float(hz[best]))
+        widths = [_walk(hz, mag, f) for f in found]
+        narrow = all(WIDTHS[0] <= w <= WIDTHS[1] for w in widths)
         gaps = np.diff(np.sort(found))
         mean, std = (float(gaps.mean()), float(gaps.std())) if len(gaps) else (0.0, 999.0)
         within = hz[mag >= 0.1 * peak]
@@ -102,10 +118,13 @@ class EightCarriers(Validator):
         band = 1.0 if 9000 <= width <= 12000 else (width - 8000) / 1000 if 8000 <= width < 9000 else (13000 - width) / 1000 if 12000 < width <= 13000 else 0.0
         total = 0.40 * min(len(found) / 8, 1.0) + 0.25 * (score if len(found) > 1 else 0.0) + 0.20 * sum(symbol_ok) / 8 + 0.15 * sum(qpsk_ok) / 8
         confidence = float(np.clip(total * (1.0 if band > 0.5 else 0.7), 0, 1))
-        ok = len(found) == 8 and spaced and sum(symbol_ok) >= 6 and sum(qpsk_ok) >= 6 and 9000 <= width <= 12000
+        ok = len(found) == 8 and spaced and narrow and sum(symbol_ok) >= 6 and sum(qpsk_ok) >= 6 and 9000 <= width <= 12000
+        said = [(len(found) == 8, f"{len(found)} of 8 carriers"), (spaced, f"spacing {mean:.1f} Hz, deviation {std:.1f} Hz"), (narrow, "carrier width out of bounds"), (sum(symbol_ok) >= 6, f"symbol rate holds on {sum(symbol_ok)} carriers"), (sum(qpsk_ok) >= 6, f"four points on {sum(qpsk_ok)} carriers"), (9000 <= width <= 12000, f"total width {width:.0f} Hz")]
+        notes = [text for fine, text in said if not fine]
         return {
             "pass_overall": bool(ok), "confidence": confidence, "carrier_count": len(found), "spacing_mean": mean, "spacing_std": std,
             "symbol_rates": rates, "symbol_pass": symbol_ok, "qpsk_pass": qpsk_ok, "total_bandwidth": width,
+            "carrier_widths": widths, "notes": "; ".join(notes),
         }
 
     @staticmethod

@@ -2,45 +2,87 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wavelake import vocab
 from wavelake.operators import textmine
+from wavelake.operators.datasets import TRUTH_FILES
+
+#: Folder names that a scan does not enter; what a CMakeLists.txt says in a candidate, and in those of either version.
+SKIPPED = [".git", "build", ".venv", "venv", "__pycache__", "node_modules"]
+CANDIDATE = ["find_package(gnuradio", "gr_modtool", "gr_register"]
+VERSION_3 = ["gnuradioconfig", "gnuradio-runtime", "find_package(gnuradio", "gr_modtool", "gr_register"]
+VERSION_4 = ["gnuradio4", "find_package(gnuradio4"]
+README_4, README_3 = "gnu\\s*radio\\s*4|gr\\s*4|gnuradio4", "gnu\\s*radio\\s*3\\.?10|gr\\s*3"
 
-#: Folder names that a scan does not enter.
-SKIPPED = ["build", ".git", "node_modules", "__pycache__", ".venv", "venv", "dist", ".tox", "CMakeFiles"]
+
+#: Folders below a scan's root in which a repository is looked for.
+DEEPEST = 4
 
 
 def listing(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """(path, folder, name, length, content) of files under root; content is read only where a plan needs it."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    """(path, folder, name, length, content) of files under root; content is read only where a plan needs it.
+
+    Hidden folders are not entered, but for the HEAD of repositories, of which
+    each project has one.
+    """
+    read = spark.read.format("binaryFile")
+    files = read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
+    if pattern == "*":
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        heads = [str(h.getPath()) for d in range(DEEPEST) for h in fs.globStatus(path(f"{root.rstrip('/')}/{'*/' * d}.git/HEAD")) or ()]
+        if heads:
+            files = files.unionByName(spark.read.format("binaryFile").load(heads))
     return files.withColumn("folder", F.regexp_extract("path", "^(.*)/[^/]*$", 1)).withColumn("name", F.regexp_extract("path", "([^/]*)$", 1))
 
 
+def plain_text(content: Column) -> Column:
+    """Bytes as text; those that are not UTF-8 are replaced."""
+    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.make_valid_utf8(content.cast("string")))
+
+
 def discover(files: DataFrame, root: str, includes: list[str] | None = None, excludes: list[str] = ()) -> DataFrame:
     """(project_path, project, version, readme): out-of-tree modules, the shallowest of nested ones.
 
-    A candidate folder has a CMakeLists.txt that names GNU Radio, a grc folder
-    with block files, or an include folder of its own.
+    A candidate folder has a CMakeLists.txt with a marker, a grc folder with
+    block files, or an include folder of its own. The version is 3, 4, both or
+    unknown, by CMake markers, block files, include folders, Python bindings,
+    the README and the branch that .git/HEAD names. Bytes that are not UTF-8
+    are replaced.
     """
     inside = F.regexp_replace(F.col("folder"), F.lit(f"^.*?{root.rstrip('/')}"), F.lit(""))
     files = files.withColumn("_in", inside)
+    text = F.lower(plain_text(F.col("content")))
+    heads = files.filter(F.col("_in").endswith("/.git") & (F.col("name") == "HEAD")).filter(text.contains("gnuradio4")).select(F.regexp_replace("folder", "/\\.git$", "").alias("project_path"), F.lit(4).alias("v"))
     for d in [*SKIPPED, *vocab.FRAMEWORK]:
-        files = files.filter(~F.concat("_in", F.lit("/")).contains(f"/{d}/"))
-    text = F.decode("content", "UTF-8")
-    cmake = files.filter("name = 'CMakeLists.txt'").withColumn("t", text).filter(F.col("t").rlike("(?i)gnuradio|find_package\\s*\\(\\s*gnuradio"))
-    by_cmake = cmake.select(F.col("folder").alias("project_path"), F.when(F.col("t").rlike("(?i)gnuradio4"), 4).otherwise(3).alias("v"))
-    by_grc = files.filter(F.col("folder").endswith("/grc") & F.col("name").endswith(".block.yml")).select(F.regexp_replace("folder", "/grc$", "").alias("project_path"), F.lit(3).alias("v"))
-    by_include = files.filter(F.col("folder").rlike("/include/(gnuradio|gnuradio-4\\.0)(/|$)")).select(F.regexp_extract("folder", "^(.*?)/include/", 1).alias("project_path"), F.when(F.col("folder").contains("gnuradio-4.0"), 4).otherwise(3).alias("v"))
-    found = by_cmake.unionByName(by_grc).unionByName(by_include).groupBy("project_path").agg(F.collect_set("v").alias("vs"))
+        # The include folders of a module have the framework's name.
+        files = files.filter(~F.concat(F.regexp_replace("_in", "/include/.*$", ""), F.lit("/")).contains(f"/{d}/"))
+    said = lambda markers: functools.reduce(lambda a, b: a | b, [F.col("t").contains(m) for m in markers])
+    above = lambda pattern: F.regexp_extract("folder", pattern, 1).alias("project_path")
+    cmake = files.filter("name = 'CMakeLists.txt'").select(F.col("folder").alias("project_path"), text.alias("t"))
+    grc = files.filter(F.col("folder").endswith("/grc") & F.col("name").endswith(".block.yml")).select(F.regexp_replace("folder", "/grc$", "").alias("project_path"))
+    included = files.filter(F.col("folder").rlike("/include/(gnuradio|gnuradio-4\\.0)(/|$)"))
+    four = included.filter(F.col("folder").rlike("/include/gnuradio-4\\.0(/|$)")).select(above("^(.*?)/include/")).distinct()
+    # A folder below include/gnuradio speaks for version 3 unless there is one for 4 beside it.
+    three = included.filter(F.col("folder").rlike("/include/gnuradio/[^/]+")).select(above("^(.*?)/include/")).distinct().join(four, "project_path", "left_anti")
+    bound = files.filter(F.col("folder").rlike("/python/[^/]+/bindings(/|$)")).select(above("^(.*?)/python/[^/]+/bindings"))
+    readmes = files.filter(F.lower("name").isin("readme.md", "readme.rst", "readme.txt", "readme"))
+    told = readmes.select(F.col("folder").alias("project_path"), text.alias("t"))
+    candidates = cmake.filter(said(CANDIDATE)).select("project_path").unionByName(grc).unionByName(included.select(above("^(.*?)/include/"))).distinct()
+    votes = [cmake.filter(said(VERSION_3)), grc, three, bound, told.filter(F.col("t").rlike(README_3))], [cmake.filter(said(VERSION_4)), four, told.filter(F.col("t").rlike(README_4))]
+    all_ = functools.reduce(DataFrame.unionByName, [x.select("project_path", F.lit(v).alias("v")) for v, each in zip((3, 4), votes, strict=True) for x in each], heads)
+    found = candidates.join(all_.groupBy("project_path").agg(F.collect_set("v").alias("vs")), "project_path", "left")
     # An ancestor among the candidates wins: each candidate offers all its ancestors, so this is an equi-join.
     parts = F.split("project_path", "/")
     above = found.select("project_path", F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("up"))
     nested = above.filter("up <> project_path").join(found.select(F.col("project_path").alias("up")), "up", "left_semi").select("project_path").distinct()
     top = found.join(nested, "project_path", "left_anti").withColumn("project", F.regexp_extract("project_path", "([^/]*)$", 1))
-    version = F.when(F.size("vs") > 1, "both").otherwise(F.element_at("vs", 1).cast("string"))
-    readme = files.filter(F.lower("name").isin("readme.md", "readme.rst", "readme.txt", "readme")).groupBy("folder").agg(F.min_by(text, "name").alias("readme"))
+    version = F.when(F.size("vs") > 1, "both").otherwise(F.coalesce(F.get("vs", F.lit(0)).cast("string"), F.lit("unknown")))
+    readme = readmes.groupBy("folder").agg(F.min_by(plain_text(F.col("content")), "name").alias("readme"))
     out = top.join(readme.withColumnRenamed("folder", "project_path"), "project_path", "left").withColumn("version", version).drop("vs")
     return textmine.scan_names(out, "project", includes, list(excludes))
 
@@ -74,10 +116,14 @@ def completeness(files: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def dataset_status(files: DataFrame) -> DataFrame:
-    """(dataset, status): present, incomplete, warning (of the first release of a corrected set), by what lies in its folder."""
+    """(dataset, status): present, incomplete, warning (of the first release of a corrected set) or present without a truth file, by what lies in its folder."""
     one = files.select(F.regexp_extract("folder", "([^/]*)$", 1).alias("dataset"), "name", textmine.archive_variant(F.col("name")).alias("variant"), "length")
-    g = one.groupBy("dataset").agg(F.max(F.col("variant") == "r2").alias("r2"), F.max(F.col("variant") == "original").alias("old"), F.min("length").alias("least"))
-    return g.select("dataset", F.when(F.col("least") == 0, "incomplete").when(F.col("old") & ~F.col("r2"), "warning").otherwise("present").alias("status"))
+    g = one.groupBy("dataset").agg(
+        F.max(F.col("variant") == "r2").alias("r2"), F.max(F.col("variant") == "original").alias("old"), F.min("length").alias("least"),
+        F.max(F.col("name").endswith(".tim")).alias("tims"), F.max(F.col("name").isin(TRUTH_FILES)).alias("truth"),
+    )
+    state = F.when(F.col("old") & ~F.col("r2"), "warning").when(F.col("least") == 0, "incomplete").when(F.col("tims") & ~F.col("truth"), "present (no truth file)").otherwise("present")
+    return g.select("dataset", state.alias("status"))
 
 
 def checkpoint_cases(results: DataFrame, floor: float = 0.60) -> DataFrame:

@@ -98,11 +98,28 @@ def walk_bandwidth(rows: DataFrame, mags: str, share: float, step: float) -> Col
     peak = F.array_position(m, F.array_max(m)) - 1
     level = F.array_max(m) * share
     below = F.filter(F.transform(m, lambda x, i: F.when(x < level, i)), lambda i: i.isNotNull())
-    left = F.coalesce(F.array_max(F.filter(below, lambda i: i < peak)) + 1, F.lit(0))
-    right = F.coalesce(F.array_min(F.filter(below, lambda i: i > peak)) - 1, F.size(m) - 1)
+    left = F.coalesce(F.array_max(F.filter(below, lambda i: i < peak)), F.lit(0))
+    right = F.coalesce(F.array_min(F.filter(below, lambda i: i > peak)), F.size(m) - 1)
     return (right - left) * F.lit(step)
 
 
+def instantaneous_stats(flat: Column, rate: float) -> Column:
+    """Population deviation and mean (hz) of the wrapped phase steps of interleaved samples, within the row; null for fewer than two samples."""
+    n = (F.size(flat) / 2).cast("int")
+    at = lambda i: F.get(flat, i).cast("double")
+    phase = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.atan2(at(2 * i + 1), at(2 * i)))
+    step = lambda i: F.get(phase, i) - F.get(phase, i - 1)
+    hz = F.transform(F.sequence(F.lit(1), n - 1), lambda i: (step(i) - TWO_PI * F.floor((step(i) + np.pi) / TWO_PI)) * rate / TWO_PI)
+    zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s"))
+
+    def add(a: Column, x: Column) -> Column:
+        k, off = a["n"] + 1, x - a["m"]
+        m = a["m"] + off / k
+        return F.struct(k.alias("n"), m.alias("m"), (a["s"] + off * (x - m)).alias("s"))
+
+    return F.when(n > 1, F.aggregate(hz, zero, add, lambda a: F.struct(F.sqrt(a["s"] / a["n"]).alias("deviation"), a["m"].alias("mean_hz"))))
+
+
 def instantaneous(long: DataFrame, keys: list[str], rate: float) -> DataFrame:
     """(keys, n, hz) from the unwrapped phase step of (keys, n, re, im)."""
     phase = F.atan2("im", "re")

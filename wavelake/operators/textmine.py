@@ -22,9 +22,20 @@ def mode_pattern(name: str) -> str:
 
 
 def modes(text: Column) -> Column:
-    """The modes that a text names, each once, sorted without regard to case."""
-    found = F.array(*[F.when(text.rlike(mode_pattern(n)), F.lit(as_)) for n, as_ in SEARCHED], F.when(text.rlike(COMPOSITE), F.lit("sleipnir_8qpsk")))
-    kept = F.array_distinct(F.filter(found, lambda x: x.isNotNull()))
+    """The modes that a text names, each once, sorted without regard to case.
+
+    Names of one word are looked up among the words of the text, which is read
+    once; only those with hyphens, dots or blanks need a search of their own.
+    """
+    simple = {}
+    for name, as_ in SEARCHED:
+        if re.fullmatch("\\w+", name):
+            simple.setdefault(name.lower(), []).append(as_)
+    one = F.array_intersect(F.split(F.lower(text), "[^a-z0-9_]+"), vocab.literal_list(list(simple)))
+    table = F.create_map(*[x for n, v in simple.items() for x in (F.lit(n), vocab.literal_list(v))])
+    words = F.flatten(F.transform(one, lambda w: F.element_at(table, w)))
+    rest = F.array(*[F.when(text.rlike(mode_pattern(n)), F.lit(as_)) for n, as_ in SEARCHED if n.lower() not in simple], F.when(text.rlike(COMPOSITE), F.lit("sleipnir_8qpsk")))
+    kept = F.array_distinct(F.filter(F.concat(words, rest), lambda x: x.isNotNull()))
     return F.transform(F.array_sort(F.transform(kept, lambda x: F.struct(F.lower(x).alias("k"), x.alias("v")))), lambda s: s["v"])
 
 

@@ -94,7 +94,7 @@ def carrier_spacing(spark, sf_dir):
 
 
 @query(f"""WITH {SPECTRA}, p AS (SELECT vec_id, max(mag) AS m, arg_max(bin, (mag, -bin)) AS pk FROM f GROUP BY 1)
-    SELECT vec_id, (coalesce(min(bin) FILTER (mag < m * 0.6 AND bin > pk) - 1, 15) - coalesce(max(bin) FILTER (mag < m * 0.6 AND bin < pk) + 1, -16)) * 1000.0::DOUBLE AS width FROM f JOIN p USING (vec_id) GROUP BY 1""")
+    SELECT vec_id, (coalesce(min(bin) FILTER (mag < m * 0.6 AND bin > pk), 15) - coalesce(max(bin) FILTER (mag < m * 0.6 AND bin < pk), -16)) * 1000.0::DOUBLE AS width FROM f JOIN p USING (vec_id) GROUP BY 1""")
 def peak_bandwidth_walk(spark, sf_dir):
     s = spectra(spark, sf_dir)
     return s.select("vec_id", spectral.walk_bandwidth(s, "mags", 0.6, STEP).alias("width"))
@@ -108,8 +108,8 @@ def total_bandwidth(spark, sf_dir):
 @query(f"""WITH {SAMPLES}, d AS (SELECT vec_id, n, atan2(im, re) - lag(atan2(im, re)) OVER (PARTITION BY vec_id ORDER BY n) AS d FROM s),
     h AS (SELECT vec_id, (d - 2 * pi() * floor((d + pi()) / (2 * pi()))) * 32000 / (2 * pi()) AS hz FROM d WHERE d IS NOT NULL) SELECT vec_id, round(stddev_pop(hz), 4) AS deviation, round(avg(hz), 4) AS mean_hz FROM h GROUP BY 1""")
 def instantaneous_frequency(spark, sf_dir):
-    hz = spectral.instantaneous(spectral.samples(table(spark, sf_dir, "embeddings"), ["vec_id"], "embedding"), ["vec_id"], RATE)
-    return hz.groupBy("vec_id").agg(F.round(F.stddev_pop("hz"), 4).alias("deviation"), F.round(F.avg("hz"), 4).alias("mean_hz"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", spectral.instantaneous_stats(F.col("embedding"), RATE).alias("s"))
+    return rows.select("vec_id", F.round("s.deviation", 4).alias("deviation"), F.round("s.mean_hz", 4).alias("mean_hz"))
 
 
 @query(f"WITH {SAMPLES} SELECT label, round(stddev_pop(sqrt(re * re + im * im)) / avg(sqrt(re * re + im * im)), 6) AS variation, round(pow(avg(sqrt(re * re + im * im)), 2) / var_pop(sqrt(re * re + im * im)), 6) AS carrier_ratio FROM s GROUP BY 1")

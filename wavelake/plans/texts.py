@@ -31,7 +31,8 @@ _FOUND = ", ".join(f"CASE WHEN regexp_matches(text, '{_sql_pattern(n)}') THEN '{
 def readme_modes(spark, sf_dir):
     mention = F.element_at(vocab.literal_list(_MENTIONS), (F.col("doc_id") % len(_MENTIONS) + 1).cast("int"))
     d = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" "), mention).alias("text"))
-    d = d.select("doc_id", F.array_join(textmine.modes(F.col("text")), ",").alias("modes"))
+    # Exploded and not filtered on, so that the names are looked for once.
+    d = d.select("doc_id", F.explode(F.array(F.array_join(textmine.modes(F.col("text")), ","))).alias("modes"))
     return d.filter("modes <> ''")
 
 
