@@ -105,14 +105,14 @@ def verdict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """projects, blocks, validations and issues out of customers, orders and events.
 
-    A block is one of the first 120 users; block b belongs to customer b % 40.
+    Each user is a block; block b belongs to customer b % 40.
     Signups are validations; all else is an issue, of which clicks have no block
     and views no project.
     """
     e = table(spark, sf_dir, "events")
     c = table(spark, sf_dir, "customer")
     projects = c.select(F.col("c_custkey").alias("project_id"), F.col("c_name").alias("project_name"), F.expr("timestamp_ntz '2024-01-10 00:00:00' + make_dt_interval(cast(c_custkey as int))").alias("last_scanned"))
-    blocks = spark.range(120).select(F.col("id").alias("block_id"), F.concat(F.lit("mod_"), F.col("id").cast("string")).alias("block_name"), F.pmod("id", F.lit(40)).alias("project_id"))
+    blocks = e.select(F.col("user_id").alias("block_id")).distinct().select("block_id", F.concat(F.lit("mod_"), F.col("block_id").cast("string")).alias("block_name"), F.pmod("block_id", F.lit(40)).alias("project_id"))
     validations = e.filter("event_type = 'signup'").select(F.col("event_id").alias("validation_id"), F.col("user_id").alias("block_id"), F.date_trunc("DAY", "ts").cast("timestamp_ntz").alias("run_at"), "value")
     issues = e.filter("event_type <> 'signup'").select(
         F.col("event_id").alias("issue_id"),
@@ -127,7 +127,7 @@ def audit_frames(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 AUDIT = """projects AS (SELECT c_custkey AS project_id, c_name AS project_name, TIMESTAMP '2024-01-10 00:00:00' + to_days(c_custkey::INT) AS last_scanned FROM customer),
-    blocks AS (SELECT i AS block_id, 'mod_' || i AS block_name, i % 40 AS project_id FROM range(120) t(i)),
+    blocks AS (SELECT DISTINCT user_id AS block_id, 'mod_' || user_id AS block_name, user_id % 40 AS project_id FROM events),
     validations AS (SELECT event_id AS validation_id, user_id AS block_id, date_trunc('day', ts)::TIMESTAMP AS run_at, value FROM events WHERE event_type = 'signup'),
     issues AS (SELECT event_id AS issue_id, CASE WHEN event_type <> 'view' THEN user_id % 60 END AS project_id, CASE WHEN event_type <> 'click' THEN user_id END AS block_id, ts AS detected_at,
         CASE event_type WHEN 'error' THEN 'hard_fail' WHEN 'purchase' THEN 'soft_fail' WHEN 'click' THEN 'warning' WHEN 'view' THEN 'info' END AS severity,

@@ -140,10 +140,10 @@ def fm_phase_cumsum(spark, sf_dir):
     return long.select("vec_id", "n", F.round(F.cos(phase), 6).alias("re"), F.round(F.sin(phase), 6).alias("im"))
 
 
-@query("""WITH b AS (SELECT vec_id, i, (embedding[i + 1] >= 0)::INT AS bit FROM embeddings, range(32) t(i))
+@query("""WITH b AS (SELECT vec_id, i, (embedding[i + 1] >= 0)::INT AS bit FROM embeddings, range(64) t(i))
     SELECT vec_id, i::INT AS n, (sum(1 - bit) OVER (PARTITION BY vec_id ORDER BY i) % 2)::INT AS level FROM b""")
 def nrzi_encode(spark, sf_dir):
-    bits = F.transform(F.slice("embedding", 1, 32), lambda v: (v >= 0).cast("int"))
+    bits = F.transform(F.col("embedding"), lambda v: (v >= 0).cast("int"))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(spectral.nrzi(bits)).alias("n", "level"))
 
 
@@ -166,9 +166,9 @@ def filter_taps(spark, sf_dir):
     return vocab.frame(spark, rows, "i int, rc double, gauss double").select("i", (F.round("rc", 6) + F.lit(0.0)).alias("rc"), F.round("gauss", 6).alias("gauss"))
 
 
-@query("SELECT vec_id, i::INT AS n, round(embedding[i // 4 + 1]::DOUBLE, 6) AS v FROM embeddings, range(64) t(i)")
+@query("SELECT vec_id, i::INT AS n, round(embedding[i // 4 + 1]::DOUBLE, 6) AS v FROM embeddings, range(256) t(i)")
 def symbol_upsample(spark, sf_dir):
-    up = F.flatten(F.transform(F.slice("embedding", 1, 16), lambda x: F.array_repeat(x, 4)))
+    up = F.flatten(F.transform("embedding", lambda x: F.array_repeat(x, 4)))
     return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(up).alias("n", "v")).select("vec_id", "n", F.round(F.col("v").cast("double"), 6).alias("v"))
 
 

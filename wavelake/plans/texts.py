@@ -44,7 +44,7 @@ def version_flags(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.alias("t")).select("doc_id", textmine.radio_version(F.col("t")).alias("version"), textmine.has_samples(F.col("t")).alias("samples"))
 
 
-_README = r"E'Intro ' || doc_id || E'\n## Build steps\nrun make\n\nthen ' || left(text, 20) || E'\n## Dependencies\n- one\n* two ' || doc_id || E'\n\n# Use\nrest'"
+_README = r"E'Intro ' || doc_id || E'\n## Build steps\nrun make\n\nthen ' || text || E'\n## Dependencies\n- one\n* two ' || doc_id || E'\n\n# Use\nrest'"
 
 
 @query(rf"""WITH r AS (SELECT doc_id, {_README} AS t FROM documents)
@@ -52,7 +52,7 @@ _README = r"E'Intro ' || doc_id || E'\n## Build steps\nrun make\n\nthen ' || lef
         'one,two ' || doc_id AS deps FROM r""")
 def section_extract(spark, sf_dir):
     doc = F.col("doc_id").cast("string")
-    t = F.concat(F.lit("Intro "), doc, F.lit("\n## Build steps\nrun make\n\nthen "), F.left("text", F.lit(20)), F.lit("\n## Dependencies\n- one\n* two "), doc, F.lit("\n\n# Use\nrest"))
+    t = F.concat(F.lit("Intro "), doc, F.lit("\n## Build steps\nrun make\n\nthen "), F.col("text"), F.lit("\n## Dependencies\n- one\n* two "), doc, F.lit("\n\n# Use\nrest"))
     rows = table(spark, sf_dir, "documents").select("doc_id", t.alias("t"))
     return rows.select("doc_id", textmine.section(F.col("t"), "build|install|compilation|getting started").alias("build"), F.array_join(textmine.dependencies(F.col("t")), ",").alias("deps"))
 
@@ -128,15 +128,16 @@ def snr_key_parse(spark, sf_dir):
     return vocab.frame(spark, [(k,) for k in _SNRS], "key string").select("key", textmine.snr_key(F.col("key")).alias("snr"))
 
 
-@query("""WITH e AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN sha256(text) WHEN 1 THEN 'UNVERIFIED' WHEN 2 THEN upper(sha256(text)) ELSE sha256('x') END AS expected_sha FROM documents WHERE doc_id % 5 <> 0),
-    a AS (SELECT doc_id, sha256(text) AS actual_sha FROM documents WHERE doc_id % 7 <> 0)
+@query("""WITH e AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN sha256(text) WHEN 1 THEN 'UNVERIFIED' WHEN 2 THEN upper(sha256(text)) ELSE sha256('x') END AS sha, CASE WHEN doc_id % 5 <> 0 THEN sha END AS expected_sha FROM documents),
+    a AS (SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN sha256(text) END AS actual_sha FROM documents)
     SELECT doc_id, CASE WHEN actual_sha IS NULL THEN 'missing' WHEN expected_sha IS NULL THEN 'unregistered' WHEN NOT regexp_matches(expected_sha, '^[0-9a-fA-F]{64}$') THEN 'unverified' WHEN lower(expected_sha) = actual_sha THEN 'ok' ELSE 'corrupt' END AS status,
         CASE WHEN expected_sha IS NULL OR NOT regexp_matches(expected_sha, '^[0-9a-fA-F]{64}$') THEN 'UNVERIFIED' ELSE left(expected_sha, 16) END AS prefix FROM e FULL JOIN a USING (doc_id)""")
 def checksum_verify(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     sha, i = F.sha2("text", 256), F.col("doc_id") % 4
-    expected = d.filter("doc_id % 5 <> 0").select("doc_id", F.when(i == 0, sha).when(i == 1, "UNVERIFIED").when(i == 2, F.upper(sha)).otherwise(F.sha2(F.lit("x"), 256)).alias("expected_sha"))
-    actual = d.filter("doc_id % 7 <> 0").select("doc_id", sha.alias("actual_sha"))
+    registered = F.when(i == 0, sha).when(i == 1, "UNVERIFIED").when(i == 2, F.upper(sha)).otherwise(F.sha2(F.lit("x"), 256))
+    expected = d.select("doc_id", F.when(F.col("doc_id") % 5 != 0, registered).alias("expected_sha"))
+    actual = d.select("doc_id", F.when(F.col("doc_id") % 7 != 0, sha).alias("actual_sha"))
     out = textmine.checksum_status(actual, expected, "doc_id")
     return out.select("doc_id", "status", F.when(F.coalesce(F.col("expected_sha").rlike("^[0-9a-fA-F]{64}$"), F.lit(False)), F.left("expected_sha", F.lit(16))).otherwise("UNVERIFIED").alias("prefix"))
 

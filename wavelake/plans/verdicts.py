@@ -20,11 +20,11 @@ def mean_logits(spark, sf_dir):
     return means.select("label", F.posexplode("embedding").alias("pos", "m")).select("label", "pos", F.round("m", 6).alias("mean"))
 
 
-@query("""WITH l AS (SELECT vec_id, i::INT AS i, embedding[i + 1]::DOUBLE AS x FROM embeddings, range(10) t(i)),
+@query("""WITH l AS (SELECT vec_id, i::INT AS i, embedding[i + 1]::DOUBLE AS x FROM embeddings, range(64) t(i)),
     e AS (SELECT vec_id, i, exp(x - max(x) OVER (PARTITION BY vec_id)) AS e FROM l), p AS (SELECT vec_id, i, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM e)
     SELECT vec_id, i AS top1, round(p, 6) AS prob FROM p QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, i) = 1""")
 def softmax_top1(spark, sf_dir):
-    p = table(spark, sf_dir, "embeddings").select("vec_id", judging.softmax(F.slice("embedding", 1, 10)).alias("p"))
+    p = table(spark, sf_dir, "embeddings").select("vec_id", judging.softmax(F.col("embedding")).alias("p"))
     return p.select("vec_id", judging.argmax(F.col("p")).alias("top1"), F.round(F.array_max("p"), 6).alias("prob"))
 
 
