@@ -14,7 +14,7 @@ def project_listing(spark, sf_dir):
 
 
 @query(f"WITH {AUDIT} SELECT count(*) FILTER (NOT resolved) AS issues FROM issues")
-def open_issue_count(spark, sf_dir):
+def issue_count_open(spark, sf_dir):
     return audit.count_issues(audit_frames(spark, sf_dir)["issues"], open_only=True)
 
 
