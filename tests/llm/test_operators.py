@@ -260,6 +260,43 @@ def test_toxicity_ignores_all_but_the_text(spark):
     assert [r.score for r in none] == [0.5]
 
 
+def test_toxicity_sample_is_bounded_and_whole(spark):
+    docs = spark.createDataFrame([(i, f"text {i} " + "w " * i) for i in range(1, 41)] + [(7, "text 7 " + "w " * 7)] * 50 + [(8, None)] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 41)] + [(3, 0), (4, 2), (None, 1), (7, None)], "doc_id long, toxic int")
+    text = {i: f"text {i} " + "w " * i for i in range(1, 41)}
+    got = [(r.text, r.toxic) for r in toxicity.sampled(docs, labels, 100, 10_000).collect()]
+    # Id 8 has a null text too, which counts once as empty.
+    assert sorted(got) == sorted([(t, i % 2) for i, t in text.items()] + [("", 0)])
+    for rows, chars in ((5, 10_000), (100, 300)):
+        got = [(r.text, r.toxic) for r in toxicity.sampled(docs, labels, rows, chars).collect()]
+        assert 0 < len(got) <= rows and sum(len(t) for t, _ in got) <= chars and all(t == "" or t in text.values() for t, _ in got)
+
+
+def test_toxicity_labels_of_one_kind_and_texts_without_features(spark):
+    docs = spark.createDataFrame([(i, "some words here") for i in range(20)] + [(99, None)], "doc_id long, text string")
+    for toxic, want in ((1, 0.999), (0, 0.001)):
+        labels = docs.selectExpr("doc_id", f"{toxic} toxic")
+        assert {round(r.score, 9) for r in toxicity.score(docs, labels, F.lit(False)).collect()} == {want}
+    empty = docs.selectExpr("doc_id", "'' text")
+    labels = docs.selectExpr("doc_id", "int(doc_id < 7) toxic")
+    assert {round(r.score, 9) for r in toxicity.score(empty, labels, F.lit(False)).collect()} == {round(7 / 21, 9)}
+    assert toxicity.score(docs.limit(0), labels, F.lit(False)).count() == 0
+
+
+def test_logistic_fit_reaches_the_optimum():
+    rng = np.random.default_rng(5)
+    dense = rng.random((60, 30)) < 0.2
+    dense[10] = False
+    y = (dense[:, :3].sum(axis=1) + rng.random(60) > 1).astype(float)
+    ratio = rng.normal(size=30)
+    places = [np.flatnonzero(row).astype(np.uint32) for row in dense]
+    parts = [(np.concatenate(places[a:b]), np.array([len(p) for p in places[a:b]], dtype=np.uint32)) for a, b in ((0, 25), (25, 60))]
+    w, bias = toxicity.fit_logistic(parts, ratio, y)
+    x = dense * ratio
+    p = 1 / (1 + np.exp(-(x @ w + bias)))
+    assert np.abs(x.T @ (p - y) + toxicity.PENALTY * w).max() < 0.01 and abs((p - y).sum()) < 0.01
+
+
 def test_toxic_column_passes_the_others(spark):
     d, labels = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit("mine")), spark.read.parquet(f"{SF}/labels.parquet")
     out = toxicity.with_score(d, labels, queries.held_out(5, 0))

@@ -3,9 +3,9 @@
 A document's features are the distinct character n-grams of its words (4 and 5
 characters, blanks at the ends included), hashed to `SPACE` places. From a
 bounded sample of labelled rows each feature gets r = log of its smoothed share
-in toxic documents over that in the others. The `FEATURES` with most evidence
-(log-likelihood ratio) are kept, and a logistic regression with L2 penalty is
-fitted on presence times r. Scoring is one pass without a shuffle.
+in toxic documents over that in the others, and a logistic regression with L2
+penalty is fitted on presence times r, for all features that the sample holds.
+Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,12 +21,13 @@ from pyspark.sql import types as T
 from wavelake.llm.language_id import letter_table
 from wavelake.llm.textkit import U64, arrow_limits, gathered, mix, stored
 
-#: Labelled rows that the model is fitted on, at most.
+#: Labelled rows that the model is fitted on, at most, and the characters of their texts.
 SAMPLE = 16_000
+SAMPLE_CHARS = 64_000_000
 SPACE = 1 << 20
-FEATURES = 4_000
 SIZES = (4, 5)
 SMOOTH = 1.0
+PENALTY = 1.0
 #: Tasks that count features of the sample; each sends the driver 8 bytes a feature at most.
 TASKS = 8
 
@@ -34,8 +35,8 @@ OUT_ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score
 OUT = "doc_id bigint, held_out boolean, score double"
 
 
-def features(texts: list[str | None], chosen: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Row and feature of each distinct n-gram of each text, of the chosen features only if given."""
+def features(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and feature of each distinct n-gram of each text."""
     letters = letter_table()
     joined = "\x00".join((t or "").replace("\x00", " ") for t in texts).lower()
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -60,10 +61,7 @@ def features(texts: list[str | None], chosen: np.ndarray | None = None) -> tuple
             for j in range(1, n - 1):
                 inner |= c[j : j + len(code)] == 1
             f = (mix(code) >> U64(44)).astype(np.int64)
-            ok = ~inner
-            if chosen is not None:
-                ok &= chosen[f]
-            ok = np.flatnonzero(ok)
+            ok = np.flatnonzero(~inner)
             # An n-gram belongs to the text of its second character: the first may be the blank before it.
             out_row.append(row[ok + 1])
             out_feature.append(f[ok])
@@ -84,44 +82,55 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (some, n[0, some].astype(np.uint32), n[1, some].astype(np.uint32))], names=["f", "n0", "n1"])
 
 
-def _sparse(chosen: np.ndarray):
+def _present(seen: np.ndarray):
+    """Places among the seen features of each text's n-grams."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in gathered(batches, "text", 2 << 20):
-            row, feature = features(table["text"].to_pylist(), chosen)
-            bounds = np.searchsorted(row, np.arange(table.num_rows + 1))
-            each = [feature[a:b].astype(np.uint32).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(each, pa.binary()), table["toxic"].combine_chunks()], names=["f", "toxic"])
+            row, feature = features(table["text"].to_pylist())
+            at = np.searchsorted(seen, feature).astype(np.uint32)
+            many = np.bincount(row, minlength=table.num_rows).astype(np.uint32)
+            label = table["toxic"].to_numpy().astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (at, many, label)], names=["at", "many", "toxic"])
 
     return run
 
 
-def fit_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarray, d: int, penalty: float = 1.0, steps: int = 30) -> tuple[np.ndarray, float]:
-    """L2 logistic regression by Newton steps, each solved by conjugate gradients over the sparse entries."""
-    n = len(y)
-    w = np.zeros(d + 1)
-    base = min(max(float(y.mean()) if n else 0.5, 1e-3), 1 - 1e-3)
-    w[d] = np.log(base / (1 - base))
+def fit_logistic(parts: list[tuple[np.ndarray, np.ndarray]], ratio: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = 30) -> tuple[np.ndarray, float]:
+    """L2 logistic regression by Newton steps, each solved by conjugate gradients as far as it pays.
+
+    parts: the places of the present features and how many of them each row has, a group of rows each.
+    """
+    d, n = len(ratio), len(y)
+    bounds = np.cumsum([0, *(len(many) for _, many in parts)])
     ridge = np.append(np.full(d, penalty), 1e-6)
 
     def times(v: np.ndarray) -> np.ndarray:
-        return np.bincount(rows, weights=values * v[cols], minlength=n) + v[d]
+        scaled = ratio * v[:d]
+        return np.concatenate([np.bincount(np.repeat(np.arange(len(many)), many), weights=scaled[at], minlength=len(many)) for at, many in parts]) + v[d]
 
     def back(u: np.ndarray) -> np.ndarray:
-        return np.append(np.bincount(cols, weights=values * u[rows], minlength=d), u.sum())
+        out = np.zeros(d)
+        for (at, many), a, b in zip(parts, bounds[:-1], bounds[1:], strict=True):
+            out += np.bincount(at, weights=np.repeat(u[a:b], many), minlength=d)
+        return np.append(ratio * out, u.sum())
 
-    def loss(v: np.ndarray) -> float:
-        z = times(v)
+    def loss(v: np.ndarray, z: np.ndarray) -> float:
         return float(np.logaddexp(0, z).sum() - (y * z).sum() + 0.5 * (ridge * v * v).sum())
 
-    now = loss(w)
+    w = np.zeros(d + 1)
+    w[d] = np.log(y.sum() / (n - y.sum()))
+    z = times(w)
+    now = loss(w, z)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(times(w), -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
         g = back(p - y) + ridge * w
         curve = p * (1 - p)
         x, r = np.zeros(d + 1), -g
         q, rr = r.copy(), float(r @ r)
+        enough = 1e-3 * rr
         for _ in range(60):
-            if rr < 1e-10:
+            if rr <= enough:
                 break
             hq = back(curve * times(q)) + ridge * q
             a = rr / float(q @ hq)
@@ -129,65 +138,74 @@ def fit_logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.n
             r -= a * hq
             new = float(r @ r)
             q, rr = r + (new / rr) * q, new
-        t = 1.0
-        while t > 1e-4 and (trial := loss(w + t * x)) > now:
+        step, t = times(x), 1.0
+        while t > 1e-4 and (trial := loss(w + t * x, z + t * step)) > now:
             t /= 2
-        if t <= 1e-4 or now - trial < 1e-7 * abs(now):
+        if t <= 1e-4 or now - trial < 1e-6 * abs(now):
             break
-        w, now = w + t * x, trial
+        w, z, now = w + t * x, z + t * step, trial
     return w[:d], float(w[d])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, n_features: int = FEATURES) -> tuple[np.ndarray, np.ndarray, float]:
-    """Chosen features, their weights and the bias, from docs (doc_id, text) and labels (doc_id, toxic).
+def sampled(docs: DataFrame, labels: DataFrame, sample: int, chars: int) -> DataFrame:
+    """(text, toxic) of whole labelled texts: at most `sample` rows and `chars` characters, in the order of a hash.
 
-    Of the labelled ids the `sample` of least hash are taken. Labels that are
-    neither 0 nor 1 are ignored. Without any label all scores are 0.5.
+    A text that no longer fits is passed over. Rows equal in id and text count once.
     """
-    nothing = np.zeros(0, dtype=np.int64), np.zeros(0), 0.0
     ids = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("bigint").alias("toxic"))
     ids = stored(ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample), "toxic-ids")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     # At most `sample` ids: safe to broadcast.
-    texts = stored(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), "toxic").repartition(TASKS), "toxic-sample")
+    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), "doc_id")
+    key = [F.col("doc_id"), F.xxhash64("text").alias("th")]
+    rows = stored(rows.select(*key, "text", "toxic").dropDuplicates(["doc_id", "th"]), "toxic-rows")
+    order = rows.select("doc_id", "th", F.char_length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "doc_id", "th").limit(sample)
+    taken, left = [], chars
+    for r in order.collect():
+        if r["n"] <= left:
+            left -= r["n"]
+            taken.append((r["doc_id"], r["th"]))
+    chosen = docs.sparkSession.createDataFrame(taken, rows.select("doc_id", "th").schema)
+    return rows.join(F.broadcast(chosen), ["doc_id", "th"], "left_semi").select("text", "toxic")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Features of the sample, their weights and the bias, from docs (doc_id, text) and labels (doc_id, toxic).
+
+    Labels that are neither 0 nor 1 are ignored; an id with both labels is
+    toxic. Without any label all scores are 0.5; with labels of one kind, or
+    texts without features, all are the share of toxic rows, 0.001 to 0.999.
+    """
+    nothing = np.zeros(0, dtype=np.int64), np.zeros(0)
+    texts = stored(sampled(docs, labels, sample, chars).repartition(TASKS), "toxic-sample")
     parts = texts.repartition(TASKS).mapInArrow(_counts, "f binary, n0 binary, n1 binary").toArrow().to_pylist()
     n = np.zeros((2, SPACE), dtype=np.int64)
     for p in parts:
         f, n0, n1 = (np.frombuffer(p[k], dtype=np.uint32) for k in ("f", "n0", "n1"))
         n[0, f] += n0
         n[1, f] += n1
-    got = texts.groupBy("toxic").count().collect()
-    docs_by = {r["toxic"]: r["count"] for r in got}
+    docs_by = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     if not docs_by:
-        return nothing
+        return *nothing, 0.0
     total = np.array([docs_by.get(0, 0), docs_by.get(1, 0)], dtype=float)
-    seen = np.flatnonzero(n.sum(axis=0) >= 5)
+    seen = np.flatnonzero(n.sum(axis=0))
+    if not len(seen) or not total.all():
+        share = min(max(total[1] / total.sum(), 1e-3), 1 - 1e-3)
+        return *nothing, float(np.log(share / (1 - share)))
     a = n[:, seen].astype(float)
     ratio = np.log((a[1] + SMOOTH) / (total[1] + 2 * SMOOTH)) - np.log((a[0] + SMOOTH) / (total[0] + 2 * SMOOTH))
-    expected = total[:, None] * (a.sum(axis=0) / max(total.sum(), 1))
-    evidence = (a * np.log(np.maximum(a, 1e-9) / np.maximum(expected, 1e-9))).sum(axis=0)
-    miss, expected_miss = total[:, None] - a, total[:, None] - expected
-    evidence += (miss * np.log(np.maximum(miss, 1e-9) / np.maximum(expected_miss, 1e-9))).sum(axis=0)
-    best = np.lexsort((seen, -evidence))[:n_features]
-    best = best[np.argsort(seen[best])]
-    chosen, r = seen[best], ratio[best]
-    mask = np.zeros(SPACE, dtype=bool)
-    mask[chosen] = True
-    sparse = texts.mapInArrow(_sparse(mask), "f binary, toxic bigint").toArrow().to_pylist()
-    y = np.array([p["toxic"] for p in sparse], dtype=float)
-    lists = [np.frombuffer(p["f"], dtype=np.uint32) for p in sparse]
-    rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    cols = np.searchsorted(chosen, np.concatenate(lists)) if lists else np.zeros(0, dtype=np.int64)
-    w, bias = fit_logistic(rows, cols, r[cols], y, len(chosen))
-    return chosen, w * r, bias
+    # 4 bytes for each n-gram of a text: the bound on characters bounds them.
+    got = texts.mapInArrow(_present(seen), "at binary, many binary, toxic binary").toArrow()
+    at, many, label = ([np.frombuffer(x.as_buffer(), dtype=t) for x in got[c]] for c, t in (("at", np.uint32), ("many", np.uint32), ("toxic", np.uint8)))
+    w, bias = fit_logistic(list(zip(at, many, strict=True)), ratio, np.concatenate(label).astype(float))
+    return seen, w * ratio, bias
 
 
 def _weigh(chosen: np.ndarray, weights: np.ndarray, bias: float):
     def run(texts: list[str | None]) -> np.ndarray:
-        mask = np.zeros(SPACE, dtype=bool)
-        mask[chosen] = True
         dense = np.zeros(SPACE)
         dense[chosen] = weights
-        row, feature = features(texts, mask)
+        row, feature = features(texts)
         z = np.bincount(row, weights=dense[feature], minlength=len(texts)) + bias
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
