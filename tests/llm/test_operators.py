@@ -260,6 +260,17 @@ def test_toxicity_ignores_all_but_the_text(spark):
     assert [r.score for r in none] == [0.5]
 
 
+def test_toxicity_fit_is_where_the_gradient_vanishes():
+    draw = np.random.default_rng(1)
+    x, y, ratio = draw.random((300, 40)) < 0.2, (draw.random(300) < 0.3).astype(float), draw.normal(size=40)
+    x[7] = False
+    nothing = np.zeros(0, dtype=np.uint32)
+    parts = [(np.nonzero(x[i : i + 100])[1].astype(np.uint32), x[i : i + 100].sum(axis=1).astype(np.uint32)) for i in (0, 100, 200)]
+    w, bias = toxicity.fit_logistic([parts[0], (nothing, nothing), *parts[1:]], ratio, y)
+    miss = 1 / (1 + np.exp(-(x @ (ratio * w) + bias))) - y
+    assert np.abs(ratio * (x.T @ miss) + w).max() < 0.05 and abs(miss.sum()) < 0.05
+
+
 def test_toxicity_sample_is_bounded_and_whole(spark):
     docs = spark.createDataFrame([(i, f"text {i} " + "w " * i) for i in range(1, 41)] + [(7, "text 7 " + "w " * 7)] * 50 + [(8, None)] * 50, "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 41)] + [(3, 0), (4, 2), (None, 1), (7, None)], "doc_id long, toxic int")
