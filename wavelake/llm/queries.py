@@ -100,14 +100,43 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.unionByName(revisits).select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavelake.llm.conversation_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"), rebuild=(20, 4))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from wavelake.llm.packing import pack
+
+    out = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from wavelake.llm.spelling import MISSPELT, spelling_variants
+
+    return spelling_variants(table(spark, sf_dir, "documents"), misspelt=MISSPELT)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_jaccard_join, op2_toxicity, op3_mix_sources, op4_suffix_dedup, op5_language_id,
         op6_line_dedup, op7_exact_dedup, op8_window_dedup, op9_decontaminate, op10_warc,
+        op11_conversation_trie, op12_packing, op13_spelling_variants,
     )
 }
 
+#: A table of 256 numbers, t, by which the next byte of a crc32 is looked up.
+CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)) AS t"
+#: crc32 of the bytes in a list.
+CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, {bytes}), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295::BIGINT)"
+#: The bytes of a text in UTF-8.
+BYTES = "list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: (instr('0123456789ABCDEF', x[1]) - 1) * 16 + instr('0123456789ABCDEF', x[2]) - 1)"
+
 ORACLES = {
     "op7_exact_dedup": r"""
         WITH b AS (SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -156,4 +185,39 @@ ORACLES = {
         m AS (SELECT doc_id, min(c) AS c FROM r GROUP BY 1)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.c, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
     """,
+    "op11_conversation_trie": rf"""
+        WITH crc AS ({CRC_TABLE}),
+        c AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+        h AS (SELECT conv_id, conv_id - conv_id % 20 AS g, {CRC.format(bytes=BYTES.format(text="conv_id::VARCHAR"))} % 4 AS h FROM (SELECT DISTINCT conv_id FROM c), crc),
+        r AS (SELECT h.conv_id, 0 AS part, pos, role, text FROM h JOIN c ON c.conv_id = h.g AND pos <= h
+              UNION ALL SELECT conv_id, 1, pos, role, text FROM h JOIN c USING (conv_id) WHERE pos > h),
+        s AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d, sha256(strlen(role) || ':' || role || text) AS turn, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM r),
+        n AS (SELECT conv_id, count(s.d) AS n FROM h LEFT JOIN s USING (conv_id) GROUP BY 1),
+        k AS (SELECT conv_id, 0 AS d, '' AS k, 0 AS words FROM h
+              UNION ALL SELECT conv_id, d, sha256(string_agg(turn, ',') OVER (PARTITION BY conv_id ORDER BY d)), words FROM s),
+        node AS (SELECT d AS depth, k, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words FROM k GROUP BY 1, 2),
+        up AS (SELECT DISTINCT b.d AS depth, b.k, a.k AS parent FROM k a JOIN k b ON a.conv_id = b.conv_id AND b.d = a.d + 1),
+        kids AS (SELECT depth - 1 AS depth, parent AS k, count(*) AS n_children FROM up GROUP BY 1, 2),
+        under AS (SELECT DISTINCT a.d AS depth, a.k, b.d AS d2, b.k AS k2 FROM k a JOIN k b ON a.conv_id = b.conv_id AND b.d >= a.d),
+        sums AS (SELECT u.depth, u.k, count(*) FILTER (WHERE kids.k IS NULL) AS n_leaves, sum((x.n_convs - 1) * x.words)::BIGINT AS saved_tokens
+                 FROM under u JOIN node x ON x.depth = d2 AND x.k = k2 LEFT JOIN kids ON kids.depth = d2 AND kids.k = k2 GROUP BY 1, 2),
+        e AS (SELECT d AS depth, k, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) AS ids FROM k JOIN n USING (conv_id) WHERE d = n GROUP BY 1, 2)
+        SELECT node.conv_id, node.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, node.n_convs, coalesce(n_children, 0) AS n_children, n_leaves, saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+        FROM node JOIN sums USING (depth, k) LEFT JOIN kids USING (depth, k) LEFT JOIN e USING (depth, k) LEFT JOIN up USING (depth, k) LEFT JOIN node p ON p.depth = node.depth - 1 AND p.k = up.parent
+    """,
+    "op13_spelling_variants": rf"""
+        WITH RECURSIVE crc AS ({CRC_TABLE}),
+        o AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS r FROM documents),
+        b AS (SELECT r, times, {CRC.format(bytes=BYTES.format(text="coalesce(doc_id::VARCHAR, '') || ':' || r"))} AS h FROM (SELECT doc_id, r, count(*) AS times FROM o WHERE length(r) >= 7 GROUP BY 1, 2), crc),
+        f AS (SELECT CASE WHEN h % 31 = 0 THEN substr(r, 1, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS word, times FROM b),
+        w AS (SELECT word, sum(times)::BIGINT AS n FROM f WHERE length(word) >= 7 GROUP BY 1 HAVING sum(times) >= 2),
+        cut AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM w)),
+        pair AS (SELECT x.word AS a, y.word AS b FROM cut x JOIN cut y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+                 UNION SELECT cut.word, rest FROM cut JOIN w v ON v.word = rest UNION SELECT rest, cut.word FROM cut JOIN w v ON v.word = rest),
+        near AS (SELECT a AS word, count(*) AS n_near, max(n) AS near_n, arg_min(b, (-n, b)) AS near FROM pair JOIN w ON w.word = b GROUP BY 1),
+        k AS (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * n THEN near END AS form, CASE WHEN near_n >= 10 * n THEN near_n END AS form_n FROM w LEFT JOIN near USING (word)),
+        way AS (SELECT word, word AS root FROM k UNION ALL SELECT way.word, k.form FROM way JOIN k ON k.word = way.root WHERE k.form IS NOT NULL),
+        last AS (SELECT way.word, way.root FROM way JOIN k ON k.word = way.root WHERE k.form IS NULL)
+        SELECT word, form, root, n, n_near, form_n FROM k JOIN last USING (word)
+    """,
 }
