@@ -6,11 +6,13 @@ import argparse
 import sys
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from wavelake import vocab
 from wavelake.facade import Engine
 from wavelake.operators import datasets, plugins, projects
 from wavelake.session import session
+from wavelake.sources import cache
 from wavelake.store import AuditStore
 
 #: What needs a network, a radio toolkit, a vendor's compiler or h5py, none of which this engine has.
@@ -34,7 +36,7 @@ def parser() -> argparse.ArgumentParser:
     add("classify", "path")
     add("report", "path", repo=None)
     add("verify-family", "path")
-    add("cache-clean", "path", version="", dry_run=flag)
+    add("cache-clean", "path", version=cache.VERSION, dry_run=flag)
     add("checksum-verify", "folder", "file")
     add("checksum-update", "folder", "file")
     add("dataset-status", "root")
@@ -50,7 +52,7 @@ def parser() -> argparse.ArgumentParser:
     add("scan-resolve", "issue_id", note=None)
     add("scan-status")
     add("scan-list")
-    add("scan-report", "path", at={"required": True})
+    add("scan-report", "project")
     add("plugins-list")
     add("plugins-describe", "mode_id")
     add("plugins")
@@ -96,13 +98,15 @@ def main(argv: list[str] | None = None) -> int:
         return 0
 
     def clean() -> int:
-        state = projects.cache_state(files(a.path), a.version).filter("state <> 'current'")
-        if not a.dry_run:
-            for r in state.select("path").toLocalIterator():
-                path = spark._jvm.org.apache.hadoop.fs.Path(r.path)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False)
-            return 0
-        return show(state.groupBy("state").count())
+        removed, kept = cache.clean(spark, a.path, a.version, a.dry_run)
+        print(f"removed={removed} kept={kept}")
+        return 0
+
+    def stored_report() -> int:
+        if store.read("projects").filter(F.col("project_name") == a.project).isEmpty():
+            print(f"project not in the store: {a.project}", file=sys.stderr)
+            return 1
+        return show(store.report(a.project))
 
     def describe() -> int:
         plugin = plugins.get(a.mode_id)
@@ -118,7 +122,7 @@ def main(argv: list[str] | None = None) -> int:
         "checksum-update": lambda: print(datasets.update_checksums(files(a.folder), a.file)) or 0, "dataset-status": lambda: show(datasets.status(files(a.root))), "dataset-verify": verify,
         "dataset-info": lambda: show(datasets.info(spark.read.parquet(a.path))), "dataset-checksum-update": lambda: print(datasets.update_checksums(files(a.root), a.file, "")) or 0,
         "generate": generate, "dataset-generate-synthetic": generate, "scan": lambda: show(engine.scan(a.path, None)),
-        "scan-run": lambda: show(engine.scan_run(a.path, store, a.at, a.includes or vocab.INCLUDES, a.excludes or [])), "scan-report": lambda: show(engine.scan_run(a.path, store, a.at, None)),
+        "scan-run": lambda: show(engine.scan_run(a.path, store, a.at, a.includes or vocab.INCLUDES, a.excludes or [])), "scan-report": stored_report,
         "scan-issues": lambda: show(store.list_issues(project=a.project, severity=a.severity, since=a.since, open_only=a.open_only)), "scan-purge": lambda: print(store.purge(a.dry_run)) or 0,
         "scan-resolve": lambda: int(not store.resolve(int(a.issue_id), a.note)), "scan-status": lambda: show(store.status()), "scan-list": lambda: show(store.list_projects()),
         "plugins-list": lambda: show(engine.plugins()), "plugins": lambda: show(engine.plugins()), "plugins-describe": describe, "verify-generators": lambda: show(engine.verify_generators()),

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavelake.operators.ordered import numbered
+
 
 def list_issues(issues: DataFrame, projects: DataFrame, blocks: DataFrame | None = None, project: str | None = None, severity: str | None = None, since: str | None = None, open_only: bool = False) -> DataFrame:
     """Issues with the names of their projects and blocks; null where they have none. The name filter ignores case and takes % and _."""
@@ -76,8 +78,8 @@ def upserted(old: DataFrame, new: DataFrame, keys: list[str], id_col: str, keep:
     fresh = new.select(*keys, *[F.col(c).alias(f"_new_{c}") for c in new.columns if c not in keys], F.lit(True).alias("_there"))
     joined = old.join(fresh, keys, "full")
     most = old.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("_most"))
-    # New keys are counted in key order; only they pass the window.
-    added = joined.filter(F.col(id_col).isNull()).withColumn("_n", F.row_number().over(Window.orderBy(*keys))).crossJoin(F.broadcast(most)).withColumn(id_col, F.col("_most") + F.col("_n")).drop("_n", "_most")
+    # New keys are counted in key order, over range partitions; one row is joined to them.
+    added = numbered(joined.filter(F.col(id_col).isNull()), [], keys, "_n").crossJoin(F.broadcast(most)).withColumn(id_col, F.col("_most") + F.col("_n") + 1).drop("_n", "_most")
     both = joined.filter(F.col(id_col).isNotNull()).unionByName(added.select(*joined.columns))
 
     def value(c: str) -> Column:
@@ -92,3 +94,21 @@ def status(projects: DataFrame, validations: DataFrame, issues: DataFrame) -> Da
     """One row: projects, validations, open issues by severity, last scan."""
     opened = issues.filter("not resolved").agg(*[F.count_if(F.col("severity") == s).alias(f"open_{s}") for s in ("hard_fail", "soft_fail", "warning", "info")])
     return projects.agg(F.count(F.lit(1)).alias("projects"), F.max("last_scanned").alias("last_scanned")).crossJoin(validations.agg(F.count(F.lit(1)).alias("validations"))).crossJoin(opened)
+
+
+def upserts(old: DataFrame, new: DataFrame, keys: list[str], id_col: str) -> DataFrame:
+    """The rows of new, with the ids of old rows of their keys, null for new keys; what new does not name stays."""
+    held = old.select(*keys, *[F.col(c).alias(f"_old_{c}") for c in old.columns if c not in keys])
+    joined = new.join(held, keys, "left")
+    value = lambda c: F.coalesce(F.col(c), F.col(f"_old_{c}")) if c in new.columns else F.col(f"_old_{c}")
+    return joined.select(*keys, *[value(c).alias(c) for c in old.columns if c not in keys])
+
+
+def project_report(validations: DataFrame, blocks: DataFrame, projects: DataFrame, project: str) -> DataFrame:
+    """(block_name, expected_family, expected_order, predicted_family, predicted_order, family_pass, order_pass, run_at) of the newest validation of each block name in projects of that name, by block name.
+
+    Of validations of one time the one of largest id counts. At most one row for each block leaves a task.
+    """
+    mine = projects.filter(F.col("project_name") == project).select("project_id")
+    named = blocks.join(mine, "project_id").select("block_id", "block_name", "expected_family", "expected_order")
+    return latest(validations.join(named, "block_id"), "block_name", "run_at", "validation_id").select("block_name", "expected_family", "expected_order", "predicted_family", "predicted_order", "family_pass", "order_pass", "run_at").orderBy("block_name")

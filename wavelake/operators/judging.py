@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelake import vocab
+from wavelake.operators.spectral import bound
 
 
 def majority_vote(chunks: DataFrame, keys: list[str], label: str, confidence: str, order: str) -> DataFrame:
@@ -28,9 +29,9 @@ def mean_vector(rows: DataFrame, keys: list[str], array: str) -> DataFrame:
 
 def softmax(values: Column) -> Column:
     """Softmax of an array, shifted by its maximum."""
-    shifted = F.transform(values, lambda x: F.exp(x.cast("double") - F.array_max(values).cast("double")))
-    total = F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(shifted, lambda x: x / total)
+    shifted = bound(F.array_max(values).cast("double"), lambda most: F.transform(values, lambda x: F.exp(x.cast("double") - most)))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
+    return bound(shifted, lambda e: bound(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def argmax(values: Column) -> Column:

@@ -6,6 +6,8 @@ Arrow function), so nothing is shuffled or exploded before a result needs it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,13 +28,18 @@ def _rows(values: pd.Series) -> np.ndarray:
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def fft_magnitudes(iq: pd.Series) -> pd.Series:
     """Magnitudes of the spectrum of interleaved I/Q, from the most negative frequency on. Windows of equal length go through one FFT."""
-    out = pd.Series([None] * len(iq), dtype=object)
-    lengths = iq.map(len)
-    for n in lengths.unique():
-        at = np.flatnonzero(lengths.to_numpy() == n)
-        for i, row in zip(at, _row_spectrum(_to_complex(_rows(iq.iloc[at]))), strict=True):
-            out.iloc[i] = row
-    return out
+    out: list = [None] * len(iq)
+    lengths = iq.map(lambda v: 0 if v is None else len(v)).to_numpy()
+    for n in set(lengths.tolist()) - {0}:
+        at = np.flatnonzero(lengths == n)
+        for i, row in zip(at.tolist(), _row_spectrum(_to_complex(_rows(iq.iloc[at]))), strict=True):
+            out[i] = row
+    return pd.Series(out, dtype=object)
+
+
+def bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once for the row, also where f uses it for each element of an array: what stands inside a lambda is computed for each call."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
 def deinterleave(iq: Column) -> tuple[Column, Column]:
@@ -47,8 +54,7 @@ def power(iq: Column) -> Column:
 
 
 def unit_power(iq: Column) -> Column:
-    scale = F.sqrt(F.greatest(power(iq), F.lit(1e-12)))
-    return F.transform(iq, lambda x: x.cast("double") / scale)
+    return bound(F.sqrt(F.greatest(power(iq), F.lit(1e-12))), lambda scale: F.transform(iq, lambda x: x.cast("double") / scale))
 
 
 def samples(rows: DataFrame, keys: list[str], iq: str) -> DataFrame:
@@ -65,8 +71,7 @@ def bins(rows: DataFrame, keys: list[str], mags: str, spacing: float) -> DataFra
 
 def span_above(mags: Column, share: float) -> Column:
     """Bins from the first to the last at `share` of the peak or above, both counted; null for an empty array."""
-    level = F.array_max(mags) * share
-    at = F.filter(F.transform(mags, lambda m, i: F.when(m >= level, i)), lambda i: i.isNotNull())
+    at = bound(F.array_max(mags) * share, lambda level: F.transform(mags, lambda m, i: F.when(m >= level, i)))
     return F.array_max(at) - F.array_min(at) + 1
 
 
@@ -95,21 +100,24 @@ def spacing(found: DataFrame, keys: list[str]) -> DataFrame:
 def walk_bandwidth(rows: DataFrame, mags: str, share: float, step: float) -> Column:
     """Hz between the bins that a walk from the peak stops at, on either side: the first below `share` of the peak, or the edge."""
     m = F.col(mags)
-    peak = F.array_position(m, F.array_max(m)) - 1
-    level = F.array_max(m) * share
-    below = F.filter(F.transform(m, lambda x, i: F.when(x < level, i)), lambda i: i.isNotNull())
-    left = F.coalesce(F.array_max(F.filter(below, lambda i: i < peak)), F.lit(0))
-    right = F.coalesce(F.array_min(F.filter(below, lambda i: i > peak)), F.size(m) - 1)
-    return (right - left) * F.lit(step)
+
+    def width(peak: Column, level: Column) -> Column:
+        left = F.array_max(F.transform(m, lambda x, i: F.when((x < level) & (i < peak), i)))
+        right = F.array_min(F.transform(m, lambda x, i: F.when((x < level) & (i > peak), i)))
+        return F.coalesce(right, F.size(m) - 1) - F.coalesce(left, F.lit(0))
+
+    found = F.struct((F.array_position(m, F.array_max(m)) - 1).alias("peak"), (F.array_max(m) * share).alias("level"))
+    return bound(found, lambda b: width(b["peak"], b["level"])) * F.lit(step)
 
 
 def instantaneous_stats(flat: Column, rate: float) -> Column:
     """Population deviation and mean (hz) of the wrapped phase steps of interleaved samples, within the row; null for fewer than two samples."""
     n = (F.size(flat) / 2).cast("int")
     at = lambda i: F.get(flat, i).cast("double")
-    phase = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.atan2(at(2 * i + 1), at(2 * i)))
-    step = lambda i: F.get(phase, i) - F.get(phase, i - 1)
-    hz = F.transform(F.sequence(F.lit(1), n - 1), lambda i: (step(i) - TWO_PI * F.floor((step(i) + np.pi) / TWO_PI)) * rate / TWO_PI)
+    phases = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.atan2(at(2 * i + 1), at(2 * i)))
+    # Phases are made once for the row, and so are their differences.
+    steps = bound(phases, lambda phase: F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.get(phase, i) - F.get(phase, i - 1)))
+    hz = F.transform(steps, lambda d: (d - TWO_PI * F.floor((d + np.pi) / TWO_PI)) * rate / TWO_PI)
     zero = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s"))
 
     def add(a: Column, x: Column) -> Column:
@@ -146,9 +154,16 @@ def convolve(x: Column, taps: list[float]) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(x) + (k - 2)), lambda n: F.aggregate(F.sequence(F.greatest(F.lit(0), n - F.size(x) + 1), F.least(n, F.lit(k - 1))), F.lit(0.0), lambda a, j: a + F.get(x, n - j) * F.get(h, j)))
 
 
-def nrzi(bits: Column) -> Column:
-    """Levels of an array of bits: a zero toggles, a one holds, from 0 on."""
-    return F.transform(bits, lambda _, i: F.aggregate(F.slice(bits, F.lit(1), i + 1), F.lit(0), lambda a, b: a + 1 - b) % 2)
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def nrzi(bits: pd.Series) -> pd.Series:
+    """Levels of an array of bits: a zero toggles, a one holds, from 0 on. Rows of one length go through one running sum."""
+    out: list = [None if v is None else [] for v in bits]
+    lengths = bits.map(lambda v: 0 if v is None else len(v)).to_numpy()
+    for n in set(lengths.tolist()) - {0}:
+        at = np.flatnonzero(lengths == n)
+        for i, row in zip(at.tolist(), np.cumsum(1 - _rows(bits.iloc[at]).astype(np.int64), axis=1) % 2, strict=True):
+            out[i] = row
+    return pd.Series(out, dtype=object)
 
 
 def confidence_score(count: Column, mean: Column, std: Column, symbol: Column, qpsk: Column, width: Column) -> Column:

@@ -9,22 +9,11 @@ from pyspark.sql import functions as F
 from wavelake.functions import waveforms
 from wavelake.operators import plugins
 from wavelake.plans.base import query, table
+from wavelake.shared import expire, shared_dir
 from wavelake.sources import iq
 from wavelake.streaming import audit_log
 
 
-def shared(spark) -> str:
-    """A folder that driver and executors share. Where none is named, a local one if driver and executors are one process, else an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    import tempfile
-
-    return f"file://{tempfile.mkdtemp(prefix='wavelake-')}"
-
-
 #: Values of vec_id for each capture of iq_file_roundtrip: 17 MB at 64 floats each, below the reader's limit.
 CAPTURE_VECS = 65_536
 
@@ -38,7 +27,8 @@ def iq_file_roundtrip(spark, sf_dir):
     place = F.pmod("vec_id", F.lit(CAPTURE_VECS))
     block = F.coalesce((F.col("vec_id") - place).cast("string"), F.lit("0"))
     rows = e.select(F.concat(label, F.lit("_"), block).alias("name"), place.cast("int").alias("chunk_idx"), half(0).alias("i"), half(1).alias("q"), F.lit("demo").alias("source"), F.lit("mod").alias("block_name"), F.lit("FM").alias("expected_family"), F.lit("NBFM_25").alias("expected_order"), F.lit(48000).alias("sample_rate_hz"))
-    path = f"{shared(spark)}/captures-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/captures-{uuid.uuid4().hex}"
+    expire(spark, path)
     iq.write_captures(rows, path)
     back = iq.read_captures(spark, path, size=32)
     power = F.aggregate(F.zip_with("i", "q", lambda a, b: a * a + b * b), F.lit(0.0), lambda s, x: s + x.cast("double")) / 32
@@ -84,7 +74,8 @@ _carriers = waveforms.eight_carriers
 def audit_stream(spark, sf_dir):
     """Daily counts of the event log through a stream that reads all there is."""
     e = table(spark, sf_dir, "events")
-    root = f"{shared(spark)}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    expire(spark, root)
     e.select("event_id", "ts", "event_type").write.parquet(f"{root}/in")
     source = audit_log.read(spark, f"{root}/in", spark.read.parquet(f"{root}/in"))
     audit_log.run_available(audit_log.daily_counts(source), f"{root}/out", f"{root}/state")

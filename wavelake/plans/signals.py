@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavelake import vocab
 from wavelake.functions import dsp
-from wavelake.operators import spectral
+from wavelake.operators import captures, ordered, spectral
 from wavelake.plans.base import RATE, SAMPLES, SPECTRA, STEP, query, spectra, table
 
 TARGETS = [-12000.0, -8000.0, -4000.0, -1000.0, 1000.0, 4000.0, 8000.0, 12000.0]
@@ -68,7 +67,7 @@ def occupied_bandwidth(spark, sf_dir):
     SELECT label, round(quantile_cont(b, 0.95), 6) AS p95, quantile_cont(b, 0.95) <= 30000 AS ok FROM w GROUP BY 1""")
 def bandwidth_p95_check(spark, sf_dir):
     b = spectra(spark, sf_dir).select("label", (spectral.span_above(F.col("mags"), 0.5) * F.lit(STEP)).alias("b"))
-    return b.groupBy("label").agg(F.percentile("b", F.lit(0.95)).alias("p")).select("label", F.round("p", 6).alias("p95"), (F.col("p") <= 30000).alias("ok"))
+    return ordered.percentiles(b, ["label"], "b", 0.95, "p").select("label", F.round("p", 6).alias("p95"), (F.col("p") <= 30000).alias("ok"))
 
 
 _TARGETS = "t(target) AS (VALUES " + ", ".join(f"({x}::DOUBLE)" for x in TARGETS) + ")"
@@ -135,9 +134,11 @@ def freq_offset(spark, sf_dir):
 
 @query(f"WITH {SAMPLES}, c AS (SELECT vec_id, n, sum(re) OVER (PARTITION BY vec_id ORDER BY n) * 2 * pi() * 3000 / 32000 AS ph FROM s) SELECT vec_id, n, round(cos(ph), 6) AS re, round(sin(ph), 6) AS im FROM c")
 def fm_phase_cumsum(spark, sf_dir):
-    long = spectral.samples(table(spark, sf_dir, "embeddings"), ["vec_id"], "embedding")
-    phase = F.sum("re").over(Window.partitionBy("vec_id").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) * F.lit(spectral.TWO_PI * 3000 / RATE)
-    return long.select("vec_id", "n", F.round(F.cos(phase), 6).alias("re"), F.round(F.sin(phase), 6).alias("im"))
+    # Sums within a row: nothing is shuffled.
+    e = table(spark, sf_dir, "embeddings").select("vec_id", captures.interleaved_running("embedding", F.array(F.lit(0.0), F.lit(0.0))).alias("sums"))
+    long = e.select("vec_id", F.posexplode("sums").alias("p", "s")).filter("p % 2 = 0")
+    phase = F.col("s") * F.lit(spectral.TWO_PI * 3000 / RATE)
+    return long.select("vec_id", (F.col("p") / 2).cast("int").alias("n"), F.round(F.cos(phase), 6).alias("re"), F.round(F.sin(phase), 6).alias("im"))
 
 
 @query("""WITH b AS (SELECT vec_id, i, (embedding[i + 1] >= 0)::INT AS bit FROM embeddings, range(64) t(i))
@@ -193,26 +194,3 @@ def resampled(x: pd.Series) -> pd.Series:
 
 
 _fourier_resample = dsp.fourier_resample
-
-
-@query()
-def kmeans_balance(spark, sf_dir):
-    """Four seeded clusters of each window's samples: balance of sizes and least distance of centres."""
-    e = table(spark, sf_dir, "embeddings").select("vec_id", clustered("embedding").alias("c"))
-    return e.select("vec_id", F.round("c.balance", 6).alias("balance"), F.round("c.separation", 6).alias("separation"))
-
-
-@F.pandas_udf(T.StructType([T.StructField("balance", T.DoubleType()), T.StructField("separation", T.DoubleType())]))
-def clustered(iq: pd.Series) -> pd.DataFrame:
-    out = []
-    for v in iq:
-        p = np.asarray(v, dtype=float).reshape(-1, 2)
-        p = p / (np.percentile(np.abs(p), 95) + 1e-9)
-        centres, label = _two_means(p, 4, 8, 42)
-        n = np.bincount(label, minlength=4)
-        d = np.sqrt(((centres[:, None] - centres[None]) ** 2).sum(axis=2))
-        out.append((n.min() / n.max(), d[np.triu_indices(4, 1)].min()))
-    return pd.DataFrame(out, columns=["balance", "separation"], dtype=float)
-
-
-_two_means = dsp.two_means
