@@ -67,6 +67,12 @@ def test_jaccard_of_a_large_group_of_near_copies(spark):
     assert jaccard(spark, rows, 1, 85, 100, 8, 64) == brute.jaccard(rows, 1, 85, 100)
 
 
+def test_jaccard_of_sets_of_very_unequal_size(spark):
+    """At shares under a half linked sets may differ more than twofold, and so may their signatures."""
+    rows = [(i, " ".join(f"g{i // 4}w{k}" for k in range((64, 160, 33, 80)[i % 4]))) for i in range(40)]
+    assert jaccard(spark, rows, 1, 2, 5, 200, 256) == brute.jaccard(rows, 1, 2, 5)
+
+
 def test_jaccard_ids_that_repeat_or_lack(spark):
     a, b, c = "a b c d e f", "g h i j k l", "m n o p q r"
     rows = [(1, a), (1, b), (2, a), (3, b), (4, c), (None, a)]

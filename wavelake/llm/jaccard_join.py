@@ -268,18 +268,22 @@ def _regions(share: tuple[int, int]):
 
 def _near(share: tuple[int, int]):
     """Stars (u, v) of the sets of a region whose signatures allow links. Rows: g, x, n, sig, by g."""
+    # A linked set is at most 1 / share times as large, and a signature twice as wide for each doubling begun.
+    folds = max(1, (-(-share[1] // share[0]) - 1).bit_length())
 
     def stars(rows: list[dict]) -> Iterator[tuple[int, int]]:
         n = np.array([r["n"] for r in rows])
         width = np.array([len(r["sig"]) for r in rows])
         root = np.arange(len(rows))
         for w in np.unique(width).tolist():
-            at = np.flatnonzero((width == w) | (width == 2 * w))
-            # Signatures of twice the width are folded.
+            at = np.flatnonzero((width >= w) & (width <= w << folds))
+            # Wider signatures are folded in two until they are as wide.
             sigs = np.zeros((len(at), w), dtype=np.uint8)
             for i, j in enumerate(at.tolist()):
                 s = np.frombuffer(rows[j]["sig"], dtype=np.uint8)
-                sigs[i] = s if len(s) == w else s[:w] ^ s[w:]
+                while len(s) > w:
+                    s = s[: len(s) // 2] ^ s[len(s) // 2 :]
+                sigs[i] = s
             sigs = sigs.view(np.uint64)
             own = np.flatnonzero(width[at] == w)
             for i in own.tolist():

@@ -114,8 +114,8 @@ def _uniform(*parts: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*parts), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = 17) -> DataFrame:
-    """(id, size, source_size, target, taken) for each row of docs (id, text, source).
+def mix(docs: DataFrame, id_col: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = 17, with_source: bool = False) -> DataFrame:
+    """(id, size, source_size, target, taken) for each row of docs (id, text, source), with `with_source` also its source.
 
     Null texts have size 0. Rows without words take nothing. Null is a source
     of its own. Rows that repeat an id, or have none, are rounded each on its
@@ -163,7 +163,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", weights: tuple[int, ...] = WEIG
         out.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")))
         .withColumn("_ratio", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
         .select(
-            F.col("id").alias(id_col), "size", "source_size", "target",
+            F.col("id").alias(id_col), *(["source"] if with_source else []), "size", "source_size", "target",
             ((F.least(F.floor("_ratio"), F.lit(most)) + F.col("p").cast("long")) * F.col("size")).cast("long").alias("taken"),
         )
     )

@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import ctypes
 import sys
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +20,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from wavelake.shared import discard, expire, shared_dir, stored  # noqa: F401  (the operators take them from here)
+
 U64 = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240611))
 BYTE_A = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -192,51 +193,9 @@ def binaries(columns: dict[str, list | np.ndarray], schema: pa.Schema) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where none is named, a local one if driver and executors are one process, else an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if held.isDefined():
-        return held.get().rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    import tempfile
-
-    made = f"file://{tempfile.mkdtemp(prefix='wavelake-')}"
-    spark.sparkContext.setCheckpointDir(made)
-    return made
-
-
-def expire(spark: SparkSession, path: str) -> None:
-    """Delete a path when the application ends."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-
-
 def fresh(frame: DataFrame, name: str) -> str:
     """The name, with underscores after it as long as a column of the frame has it."""
     taken = {c.lower() for c in frame.columns}
     while name.lower() in taken:
         name += "_"
     return name
-
-
-def stored(frame: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder and read back: its lineage ends here."""
-    spark = frame.sparkSession
-    path = f"{shared_dir(spark)}/wavelake-{name}-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    expire(spark, path)
-    out = spark.read.schema(frame.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete stored tables that nothing reads any more."""
-    for frame in frames:
-        spark = frame.sparkSession
-        place = spark._jvm.org.apache.hadoop.fs.Path(frame.stored_at)
-        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
