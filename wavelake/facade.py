@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wavelake import vocab
 from wavelake.functions import waveforms
-from wavelake.operators import audit, judging, naming, plugins, projects, scoring, textmine, training
+from wavelake.operators import audit, datasets, judging, naming, plugins, projects, scoring, textmine, training
 from wavelake.sources import iq
 from wavelake.store import AuditStore
 
@@ -55,6 +55,15 @@ class Engine:
         failed = chunks.filter("error is not null").select("path", "error").unionByName(bare).unionByName(cars.filter("car_error is not null").select(F.col("stem").alias("path"), F.col("car_error").alias("error")))
         return out.unionByName(failed.select(*[F.col(c) if c in ("path", "error") else F.lit(True).alias(c) if c == "hard_fail" else none[c].alias(c) for c in out.columns]))
 
+    def signals(self, path: str, out: str, truth: str | None = None, first: int = 4) -> tuple[DataFrame, DataFrame]:
+        """Labelled windows of the .tim files under path, and the files that were rejected with reasons, both written below `out`; the truth file is sought under path if none is named."""
+        if truth is None:
+            found = datasets.truth_file(projects.listing(self.spark, path, "*.txt")).first()
+            if found is None:
+                raise FileNotFoundError(f"no truth file under {path}")
+            truth = found.path
+        return iq.sorted_out(iq._signals(self.spark, path, truth, first), out)
+
     def report(self, results: DataFrame) -> DataFrame:
         return judging.summary(results.fillna(False, ["family_pass", "order_pass"]))
 

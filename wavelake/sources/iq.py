@@ -104,9 +104,36 @@ def read_truth(spark: SparkSession, path: str) -> DataFrame:
 
 def read_signals(spark: SparkSession, path: str, truth: str, first: int = 4) -> DataFrame:
     """Numbered .tim signals with their classes, the first windows of each; SNR is taken as 0."""
-    chunks = read_captures(spark, path, "*.tim", truncate=True, first=first).filter("error is null")
+    return _signals(spark, path, truth, first).filter("error is null").drop("error")
+
+
+def _signals(spark: SparkSession, path: str, truth: str, first: int) -> DataFrame:
+    """Windows of all .tim files, those without a number, an entry or a known class, and those that do not open, with an error."""
+    chunks = read_captures(spark, path, "*.tim", truncate=True, first=first)
     idx = F.regexp_extract("path", "_(\\d+)\\.tim$", 1).try_cast("int")
-    return chunks.withColumn("idx", idx).join(read_truth(spark, truth), "idx").withColumn("snr_db", F.lit(0.0).cast("float"))
+    known = read_truth(spark, truth).withColumn("_there", F.lit(True))
+    both = chunks.withColumn("idx", idx).join(known, "idx", "left")
+    error = F.coalesce("error", F.when(F.col("idx").isNull(), "no number in the name").when(F.col("_there").isNull(), "no entry in the truth file"))
+    return both.withColumn("error", error).drop("_there").withColumn("snr_db", F.lit(0.0).cast("float"))
+
+
+def sorted_out(chunks: DataFrame, out: str) -> tuple[DataFrame, DataFrame]:
+    """Good windows, and rejected files as (path, error), of chunks with an `error`: one read, written to two parts of the folder `out`.
+
+    A file that is rejected has no good window. The folder is written anew.
+    """
+    chunks.withColumn("rejected", F.col("error").isNotNull()).write.mode("overwrite").partitionBy("rejected").parquet(out)
+    back = chunks.sparkSession.read.schema(f"{_ddl(chunks)}, rejected boolean").parquet(out)
+    return back.filter("not rejected").drop("rejected", "error"), back.filter("rejected").select("path", "error").distinct()
+
+
+def _ddl(frame: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
+
+
+def rejections(rejected: DataFrame) -> DataFrame:
+    """(reason, files): rejected files by reason; numbers in reasons do not count."""
+    return rejected.groupBy(F.regexp_replace("error", "\\d+", "N").alias("reason")).agg(F.count("*").alias("files"))
 
 
 def write_captures(chunks: DataFrame, path: str) -> None:

@@ -59,8 +59,8 @@ class AuditStore:
     what came before the base.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, tables: dict[str, str] = TABLES):
+        self.spark, self.root, self.tables = spark, root.rstrip("/"), tables
 
     # files
 
@@ -124,10 +124,10 @@ class AuditStore:
         """
         _, entries = at or self.snapshot(name)
         if not entries:
-            return self.spark.createDataFrame([], TABLES[name])
-        columns = [c.split()[0] for c in TABLES[name].split(", ")]
+            return self.spark.createDataFrame([], self.tables[name])
+        columns = [c.split()[0] for c in self.tables[name].split(", ")]
         id_col = columns[0]
-        rows = self.spark.read.schema(f"{TABLES[name]}, {MARKS}").parquet(*[f"{self.root}/{name}/data/{e.data}" for e in entries])
+        rows = self.spark.read.schema(f"{self.tables[name]}, {MARKS}").parquet(*[f"{self.root}/{name}/data/{e.data}" for e in entries])
         folder = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
         of = lambda value: _looked_up({e.data: value(k, e) for k, e in enumerate(entries)}, folder)
         number = of(lambda _, e: F.lit(e.first)) + F.get(of(lambda _, e: F.array(*[F.lit(x).cast("bigint") for x in e.offsets])), F.col("_task")) + F.col("_place")
@@ -145,14 +145,14 @@ class AuditStore:
     def _written(self, name: str, rows: DataFrame) -> tuple[str, list[int], int]:
         """Write rows; the folder, the offsets of tasks among rows without an id, and how many rows there are."""
         data = uuid.uuid4().hex
-        id_col = TABLES[name].split()[0]
-        kinds = self.spark.createDataFrame([], TABLES[name]).schema
+        id_col = self.tables[name].split()[0]
+        kinds = self.spark.createDataFrame([], self.tables[name]).schema
         missing = lambda f: F.col(f.name).cast(f.dataType) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name)
         gone = F.col("_gone") if "_gone" in rows.columns else F.lit(False)
         out = rows.select(*[missing(f) for f in kinds], gone.alias("_gone"))
         out = out.withColumn("_k", F.monotonically_increasing_id())
         out.select(*kinds.names, "_gone", F.shiftright("_k", 33).cast("int").alias("_task"), F.col("_k").bitwiseAND(F.lit(PLACES)).alias("_place")).write.parquet(f"{self.root}/{name}/data/{data}")
-        back = self.spark.read.schema(f"{TABLES[name]}, {MARKS}").parquet(f"{self.root}/{name}/data/{data}")
+        back = self.spark.read.schema(f"{self.tables[name]}, {MARKS}").parquet(f"{self.root}/{name}/data/{data}")
         # One row for each task: places are counted over all of its rows, so their number bounds them.
         tasks = {r["_task"]: (r["n"], r["rows"]) for r in back.groupBy("_task").agg(F.coalesce(F.max(F.when(F.col(id_col).isNull(), F.col("_place"))) + 1, F.lit(0)).alias("n"), F.count("*").alias("rows")).collect()}
         offsets, total = [], 0
@@ -163,7 +163,7 @@ class AuditStore:
 
     def append(self, name: str, rows: DataFrame) -> None:
         """Rows without ids; each gets one beyond those that are there, unique and in no order. Only they are written."""
-        data, offsets, n = self._written(name, rows.drop(TABLES[name].split()[0]))
+        data, offsets, n = self._written(name, rows.drop(self.tables[name].split()[0]))
         if not n:
             return
         while True:
