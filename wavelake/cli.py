@@ -8,10 +8,11 @@ import sys
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavelake import vocab
+from wavelake import paths, vocab
 from wavelake.facade import Engine
 from wavelake.operators import datasets, plugins, projects
 from wavelake.session import session
+from wavelake.shared import stored
 from wavelake.sources import cache
 from wavelake.store import AuditStore
 
@@ -27,14 +28,16 @@ def parser() -> argparse.ArgumentParser:
     def add(name: str, *positional: str, **options) -> None:
         c = sub.add_parser(name)
         for x in positional:
-            c.add_argument(x)
+            c.add_argument(x.rstrip("?"), **({"nargs": "?"} if x.endswith("?") else {}))
         for k, v in options.items():
             c.add_argument("--" + k.replace("_", "-"), **(v if isinstance(v, dict) else {"default": v}))
 
     flag, many = {"action": "store_true"}, {"nargs": "*"}
-    add("validate", "path", repo=None)
-    add("classify", "path")
-    add("report", "path", repo=None)
+    written = {"output": None, "format": {"choices": ["json", "csv", "markdown"], "default": "json"}}
+    share = {"type": float, "default": vocab.THRESHOLD}
+    add("validate", "path", repo=None, threshold=share, **written)
+    add("classify", "path", threshold=share, **written)
+    add("report", "path", repo=None, threshold=share, **written)
     add("verify-family", "path")
     add("cache-clean", "path", version=cache.VERSION, dry_run=flag)
     add("checksum-verify", "folder", "file")
@@ -45,8 +48,8 @@ def parser() -> argparse.ArgumentParser:
     add("dataset-checksum-update", "root", "file")
     for name in ("generate", "dataset-generate-synthetic"):
         add(name, "out", modes=many, chunks_per_snr={"type": int, "default": 1000}, seed={"type": int, "default": 42})
-    add("scan", "path")
-    add("scan-run", "path", at={"required": True}, includes=many, excludes=many)
+    add("scan", "path?")
+    add("scan-run", "path?", at={"required": True}, includes=many, excludes=many)
     add("scan-issues", project=None, severity=None, since=None, open_only=flag)
     add("scan-purge", dry_run=flag)
     add("scan-resolve", "issue_id", note=None)
@@ -62,9 +65,25 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def show(frame: DataFrame) -> int:
-    for line in frame.toJSON().toLocalIterator():
-        print(line)
+def show(frame: DataFrame, output: str | None = None, form: str = "json") -> int:
+    """Print rows, or write them to a folder; as JSON lines, CSV or rows of a Markdown table."""
+    columns = frame.columns
+    if form == "markdown":
+        cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.replace(F.col(f"`{c}`").cast("string"), F.lit("|"), F.lit("\\|")), F.lit("")) for c in columns]), F.lit(" |"))
+        lines, head = frame.select(cells.alias("value")), [f"| {' | '.join(columns)} |", "|" + "---|" * len(columns)]
+    elif form == "csv":
+        lines, head = frame.select(F.to_csv(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("value")), [",".join(columns)]
+    else:
+        lines, head = frame.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in columns])).alias("value")), []
+    if output and form == "json":
+        lines.write.mode("overwrite").text(output)
+    elif output:  # a part of its own for each task, each with the head
+        frame.write.mode("overwrite").option("header", "true").csv(output) if form == "csv" else lines.write.mode("overwrite").text(output)
+    else:
+        for line in head:
+            print(line)
+        for r in lines.toLocalIterator():
+            print(r.value)
     return 0
 
 
@@ -73,14 +92,14 @@ def main(argv: list[str] | None = None) -> int:
     if a.command in OUTSIDE:
         print(f"{a.command}: not part of this engine", file=sys.stderr)
         return 2
-    engine = Engine(session())
+    engine = Engine(session(), threshold=getattr(a, "threshold", vocab.THRESHOLD))
     spark, store = engine.spark, AuditStore(engine.spark, a.store)
     files = lambda root: projects.listing(spark, root)
 
     def validate() -> int:
-        # Written out line by line and counted: the rows are kept where they were made.
-        results = engine.validate(a.path, a.repo).persist()
-        show(results)
+        # Scored once: what is shown and what the code is told from are the same rows.
+        results = stored(engine.validate(a.path, a.repo), "results")
+        show(results, a.output, a.format)
         return engine.exit_code(results)
 
     def verify() -> int:
@@ -117,12 +136,12 @@ def main(argv: list[str] | None = None) -> int:
         return 0
 
     commands = {
-        "validate": validate, "classify": lambda: show(engine.classify(a.path)), "report": lambda: show(engine.report(engine.validate(a.path, a.repo))),
+        "validate": validate, "classify": lambda: show(engine.classify(a.path), a.output, a.format), "report": lambda: show(engine.report(engine.validate(a.path, a.repo)), a.output, a.format),
         "verify-family": lambda: show(projects.checkpoint_cases(spark.read.parquet(a.path))), "cache-clean": clean, "checksum-verify": checksums,
         "checksum-update": lambda: print(datasets.update_checksums(files(a.folder), a.file)) or 0, "dataset-status": lambda: show(datasets.status(files(a.root))), "dataset-verify": verify,
         "dataset-info": lambda: show(datasets.info(spark.read.parquet(a.path))), "dataset-checksum-update": lambda: print(datasets.update_checksums(files(a.root), a.file, "")) or 0,
-        "generate": generate, "dataset-generate-synthetic": generate, "scan": lambda: show(engine.scan(a.path, None)),
-        "scan-run": lambda: show(engine.scan_run(a.path, store, a.at, a.includes or vocab.INCLUDES, a.excludes or [])), "scan-report": stored_report,
+        "generate": generate, "dataset-generate-synthetic": generate, "scan": lambda: show(engine.scan(paths.scan_root(a.path), None)),
+        "scan-run": lambda: show(engine.scan_run(paths.scan_root(a.path), store, a.at, a.includes or vocab.INCLUDES, a.excludes or [])), "scan-report": stored_report,
         "scan-issues": lambda: show(store.list_issues(project=a.project, severity=a.severity, since=a.since, open_only=a.open_only)), "scan-purge": lambda: print(store.purge(a.dry_run)) or 0,
         "scan-resolve": lambda: int(not store.resolve(int(a.issue_id), a.note)), "scan-status": lambda: show(store.status()), "scan-list": lambda: show(store.list_projects()),
         "plugins-list": lambda: show(engine.plugins()), "plugins": lambda: show(engine.plugins()), "plugins-describe": describe, "verify-generators": lambda: show(engine.verify_generators()),

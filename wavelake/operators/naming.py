@@ -21,12 +21,41 @@ def flat_name(name: Column) -> Column:
     return F.translate(name, "/ ", "__")
 
 
+#: The forms of ISO 8601 that a scan time may have: date, time of day, offset.
+DATE = "(\\d{4}-\\d{2}-\\d{2}|\\d{8}|\\d{4}-W\\d{2}(?:-\\d)?|\\d{4}W\\d{2}\\d?)"
+CLOCK = "(\\d{2}(?::\\d{2}(?::\\d{2}(?:[.,]\\d+)?)?)?|\\d{4}(?:\\d{2}(?:[.,]\\d+)?)?)"
+OFFSET = "(Z|[+-]\\d{2}(?::\\d{2}(?::\\d{2}(?:[.,]\\d+)?)?|\\d{2}(?:\\d{2}(?:[.,]\\d+)?)?)?)"
+
+
 def scan_time(text: Column) -> Column:
-    """`yyyy-MM-ddTHH:mm:ssZ` in UTC of a timestamp with Z, with an offset, or without either (UTC); all else raises."""
-    trimmed = F.trim(text)
-    zoned = F.when(trimmed.rlike("^\\d{4}-\\d{2}-\\d{2}$"), F.concat(trimmed, F.lit("T00:00:00Z"))).when(trimmed.rlike("(Z|[+-]\\d{2}:?\\d{2})$"), trimmed).otherwise(F.concat(trimmed, F.lit("Z")))
-    at = F.when(trimmed.rlike("^\\d{4}-\\d{2}-\\d{2}"), zoned.try_cast("timestamp"))
-    utc = F.convert_timezone(None, F.lit("UTC"), at.cast("timestamp_ntz"))
+    """`yyyy-MM-ddTHH:mm:ssZ` in UTC of an ISO 8601 timestamp with Z, with an offset, or without either (UTC); all else raises.
+
+    The date is that of a calendar or of a week, with or without hyphens; the
+    time of day may lack, or end with hours or minutes; fractions of a second
+    are cut off.
+    """
+    trimmed = F.regexp_replace(text, "^\\s+|\\s+$", "")
+    part = lambda k: F.regexp_extract(trimmed, f"^{DATE}(?:.{CLOCK}{OFFSET}?)?$", k)
+    digits = F.regexp_replace(part(1), "[-W]", "")
+    number = lambda d, at, n: F.when(F.length(d) >= at + n - 1, F.substring(d, at, n).cast("int")).otherwise(F.lit(0))
+    year = number(digits, 1, 4)
+    first = F.try_make_timestamp_ntz(year, F.lit(1), F.lit(4), F.lit(0), F.lit(0), F.lit(0))
+    # 4 January lies in the first week; a week begins on Monday.
+    week, day = number(digits, 5, 2), F.when(F.length(digits) >= 7, number(digits, 7, 1)).otherwise(F.lit(1))
+    monday = F.date_sub(first.cast("date"), F.weekday(first))
+    of_week = F.date_add(monday, (week - 1) * 7 + day - 1)
+    # The 53rd week of a year that has 52 is none.
+    weeks = F.when(week.between(1, 53) & day.between(1, 7) & (F.extract(F.lit("YEAROFWEEK"), of_week) == year), of_week)
+    calendar = F.try_make_timestamp_ntz(year, number(digits, 5, 2), number(digits, 7, 2), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+    date = F.when(part(1).contains("W"), weeks).otherwise(calendar)
+    clock = F.regexp_replace(F.regexp_replace(part(2), "[.,].*$", ""), ":", "")
+    fields = [number(clock, k, 2) for k in (1, 3, 5)]
+    at = F.try_make_timestamp_ntz(F.year(date), F.month(date), F.day(date), *fields)
+    shift = F.regexp_replace(F.regexp_replace(part(3), "[.,].*$", ""), "[+:Z-]", "")
+    sign = F.when(part(3).startswith("-"), -1).otherwise(1)
+    seconds = sign * (number(shift, 1, 2) * 3600 + number(shift, 3, 2) * 60 + number(shift, 5, 2))
+    known = (number(shift, 1, 2) < 24) & (number(shift, 3, 2) < 60) & (number(shift, 5, 2) < 60)
+    utc = F.when(known, F.timestamp_add("SECOND", -seconds, at))
     out = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return F.coalesce(out, F.raise_error(F.when(trimmed == "", "Timestamp must not be empty").otherwise(F.concat(F.lit("Invalid timestamp: "), F.coalesce(text, F.lit("null"))))))
 

@@ -87,12 +87,21 @@ def discover(files: DataFrame, root: str, includes: list[str] | None = None, exc
     return textmine.scan_names(out, "project", includes, list(excludes))
 
 
+#: Why some modes of a README are not validated.
+REASONS = {"DSSS": "spread spectrum, made to look like noise", "GDSS": "spread spectrum, made to look like noise", "LDPC": "a code for error correction, no modulation"}
+
+
+def exclusion_reason(mode: Column) -> Column:
+    """Why a mode cannot be validated; null for modes that no reason is known for. Case does not count."""
+    return F.coalesce(*[F.when(F.upper(F.trim(mode)) == m, F.lit(r)) for m, r in REASONS.items()])
+
+
 def plan(projects: DataFrame) -> DataFrame:
     """What to generate for the modes that READMEs name: (project, mode, block, family, order_name, method, snr_db, skip_reason)."""
     named = projects.select("project", "version", F.explode(textmine.modes(F.coalesce("readme", F.lit("")))).alias("mode"))
     looked = textmine.lookup_modes(named, "mode")
     snr = F.coalesce(*[F.when(F.upper("family") == f, F.lit(v)) for f, v in vocab.SCAN_SNR.items()], F.lit(15.0))
-    skip = F.when(F.col("method") == "skip", F.concat("mode", F.lit(": not validatable"))).when((F.col("version") == "4") & (F.col("method") == "gr3_builtin"), "no generator for version 4")
+    skip = F.when(F.col("method") == "skip", F.concat("mode", F.lit(": "), F.coalesce(exclusion_reason(F.col("mode")), F.lit("not validatable")))).when((F.col("version") == "4") & (F.col("method") == "gr3_builtin"), "no generator for version 4")
     return looked.select("project", "mode", textmine.block_name(F.col("canonical")).alias("block"), "family", "order_name", "method", snr.alias("snr_db"), skip.alias("skip_reason"))
 
 

@@ -121,6 +121,28 @@ def link_priority(url: Column) -> Column:
     return F.when(low.contains("c_2023") | low.contains("2018r2"), 0).when(low.contains("2023/09"), 1).when(low.endswith("/signal_record.txt"), 2).otherwise(3)
 
 
+#: What marks a link to a truth file, and the file that is meant where a page has none.
+TRUTH_MARKS, TRUTH_DEFAULT = ["signal_record", "metadata"], "signal_record_C_2023.txt"
+
+
+def truth_links(pages: DataFrame, key: str, base: str, html: str) -> DataFrame:
+    """(key, priority, url, name): links of a page to .txt files whose target or text names a truth file, each once, best first by priority; for a page without any, the default file beside it."""
+    anchor = F.regexp_extract_all(html, F.lit('(?s)<a[^>]*href="[^"]*"[^>]*>.*?</a>'), 0)
+    found = pages.select(key, F.col(base).alias("_base"), F.posexplode_outer(anchor).alias("_pos", "_a"))
+    href = F.regexp_extract("_a", 'href="([^"]*)"', 1)
+    said = F.lower(F.concat_ws(" ", href, F.regexp_replace("_a", "<[^>]*>", "")))
+    url = absolute(F.col("_base"), href)
+    path = F.regexp_replace(url, "[?#].*$", "")
+    mine = F.lower(path).endswith(".txt") & (said.contains(TRUTH_MARKS[0]) | said.contains(TRUTH_MARKS[1]))
+    rows = found.select(key, "_base", F.when(F.coalesce(mine, F.lit(False)), F.struct("_pos", url.alias("url"), F.regexp_extract(path, "([^/]*)$", 1).alias("name"))).alias("l"))
+    once = rows.groupBy(key, "_base", "l.url").agg(F.min("l").alias("l"))
+    # A page has the row without a link once; it stands only where there is no other.
+    best = once.groupBy(key, "_base").agg(F.array_compact(F.collect_list("l")).alias("ls"))
+    default = F.array(F.struct(F.lit(0).alias("_pos"), absolute(F.col("_base"), F.lit(TRUTH_DEFAULT)).alias("url"), F.lit(TRUTH_DEFAULT).alias("name")))
+    out = best.select(key, F.explode(F.when(F.size("ls") > 0, F.col("ls")).otherwise(default)).alias("l"))
+    return out.select(key, link_priority(F.col("l.url")).alias("priority"), "l.url", "l.name")
+
+
 def archive_variant(name: Column) -> Column:
     """r2, original, unknown or empty for the name of an archive."""
     low = F.replace(F.replace(F.lower(name), F.lit("_"), F.lit("-")), F.lit(" "), F.lit(""))
