@@ -12,7 +12,7 @@ from wavelake.operators import textmine
 
 #: Names of truth files, best first, and suffixes of archives.
 TRUTH_FILES = ["signal_record.txt", "signal_record_C_2023.txt", "signal_record_first_20000.txt", "metadata.txt"]
-ARCHIVES = [".zip", ".gz", ".bz2", ".bin", ".7z", ".tar"]
+ARCHIVES = ["zip", "gz", "bz2", "bin", "7z", "tar"]
 #: Command line names of the synthetic classes are the classes in lower case with hyphens, but for these.
 CLASS_KEYS = {"nbfm25": "NBFM_25", "nbfm50": "NBFM_50", "dmr": "DMR", "wbfm": "WBFM"}
 
@@ -115,7 +115,7 @@ def present(files: DataFrame) -> DataFrame:
     low = F.lower("name")
     rank = (
         F.when((kind == "radioml") & low.startswith("rml2016.10a") & low.rlike("\\.(pkl|dat)$"), 0).when((kind == "radioml") & low.rlike("\\.(pkl|pickle|dat)$"), 1).when((kind == "radioml") & low.rlike("\\.(tar|tar\\.gz|tar\\.bz2|tgz)$"), 2)
-        .when((kind == "hisarmod") & low.rlike("\\.(h5|hdf5)$"), 0).when((kind == "cspb") & (low.endswith(".tim") | low.rlike("\\.(zip|gz|bz2|bin|7z|tar)$")), 0)
+        .when((kind == "hisarmod") & low.rlike("\\.(h5|hdf5)$"), 0).when((kind == "cspb") & (low.endswith(".tim") | low.rlike(f"\\.({'|'.join(ARCHIVES)})$")), 0)
     )
     found = files.withColumn("dataset", kind).withColumn("_rank", rank).filter("_rank is not null and length > 0")
     return found.groupBy("dataset").agg(F.min_by(F.when(F.col("dataset") == "cspb", F.col("folder")).otherwise(F.col("path")), F.struct("_rank", "path")).alias("path"))
@@ -128,7 +128,7 @@ def status(files: DataFrame) -> DataFrame:
     each = files.withColumn("dataset", kind).filter("dataset <> ''").withColumn("variant", textmine.archive_variant(F.col("name")))
     facts = each.groupBy("dataset").agg(
         F.sum("length").alias("bytes"), F.max(low.rlike("\\.(pkl|pickle|dat|tar|tar\\.gz|tar\\.bz2|tgz)$") & (F.col("length") > 0)).alias("pickle"),
-        F.max(low.rlike("\\.(h5|hdf5)$") & (F.col("length") > 0)).alias("hdf"), F.max((low.endswith(".tim") | low.rlike("\\.(zip|gz|bz2|bin|7z|tar)$")) & (F.col("length") > 0)).alias("signals"),
+        F.max(low.rlike("\\.(h5|hdf5)$") & (F.col("length") > 0)).alias("hdf"), F.max((low.endswith(".tim") | low.rlike(f"\\.({'|'.join(ARCHIVES)})$")) & (F.col("length") > 0)).alias("signals"),
         F.max(F.col("name").isin(TRUTH_FILES)).alias("truth"), F.max(F.col("variant") == "r2").alias("r2"), F.max(F.col("variant") == "original").alias("old"),
     )
     names = vocab.frame(files.sparkSession, [("cspb",), ("hisarmod",), ("radioml",)], "dataset string")

@@ -11,6 +11,7 @@ from wavelake import vocab
 
 #: Modes that texts are searched for, with the name found under.
 SEARCHED = [(m[0], "D-Star" if m[0] == "DSTAR" else m[0]) for m in vocab.MODES]
+#: Patterns that decide what a README says of the composite mode and of versions.
 COMPOSITE = "(?i)sleipnir|8\\s*[-x]?\\s*carrier|8x\\s*qpsk"
 GR4 = "(?i)gnu\\s*radio\\s*4|gr\\s*4|gnuradio4"
 GR3 = "(?i)gnu\\s*radio\\s*3|gr\\s*3|3\\.10"
