@@ -1,5 +1,6 @@
 """Manifest, archives by rows and rejected files."""
 
+import hashlib
 import io
 import os
 import zipfile
@@ -8,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from wavelake import cli
 from wavelake.facade import Engine
 from wavelake.operators import projects
 from wavelake.sources import archives, iq
@@ -115,3 +117,12 @@ def test_rejected_files_are_kept_with_reasons(spark, tmp_path):
     assert iq.read_signals(spark, str(tmp_path / "cspb"), str(tmp_path / "cspb/signal_record.txt")).count() == 8
     with pytest.raises(FileNotFoundError, match="truth"):
         Engine(spark).signals(str(tmp_path / "out"), f"file://{tmp_path}/out2")
+
+
+def test_status_shows_digests_of_the_manifest(spark, tmp_path, capsys):
+    root = tmp_path / "data"
+    put(root / "radioml/RML2016.10a_dict.pkl", b"one")
+    put(root / "radioml/a.pkl", b"two")
+    assert cli.main(["dataset-status", str(root)]) == 0 and '"checksum":"UNVERIFIED"' in capsys.readouterr().out
+    assert cli.main(["dataset-checksum-update", str(root), f"file://{tmp_path}/sums"]) == 0 and "changed=2" in capsys.readouterr().out
+    assert cli.main(["dataset-status", str(root)]) == 0 and hashlib.sha256(b"one").hexdigest()[:16] in capsys.readouterr().out

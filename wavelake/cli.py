@@ -14,6 +14,7 @@ from wavelake.operators import datasets, plugins, projects
 from wavelake.session import session
 from wavelake.shared import stored
 from wavelake.sources import cache
+from wavelake.sources.manifest import PRIMARY, UNVERIFIED, Manifest
 from wavelake.store import AuditStore
 
 #: What needs a network, a radio toolkit, a vendor's compiler or h5py, none of which this engine has.
@@ -121,6 +122,16 @@ def main(argv: list[str] | None = None) -> int:
         print(f"removed={removed} kept={kept}")
         return 0
 
+    def digests() -> int:
+        datasets.update_checksums(files(a.root), a.file, "")
+        print(f"manifest rows changed={Manifest(spark, f'{a.root.rstrip(chr(47))}/.manifest').refresh(files(a.root).drop('content'))}")
+        return 0
+
+    def presence() -> int:
+        # Digests come from the manifest; no file is opened for them.
+        known = Manifest(spark, f"{a.root.rstrip('/')}/.manifest").status(vocab.frame(spark, PRIMARY, "dataset string, name string")).select("dataset", "checksum")
+        return show(datasets.status(files(a.root)).join(known, "dataset", "left").fillna(UNVERIFIED, ["checksum"]))
+
     def stored_report() -> int:
         if store.read("projects").filter(F.col("project_name") == a.project).isEmpty():
             print(f"project not in the store: {a.project}", file=sys.stderr)
@@ -138,8 +149,8 @@ def main(argv: list[str] | None = None) -> int:
     commands = {
         "validate": validate, "classify": lambda: show(engine.classify(a.path), a.output, a.format), "report": lambda: show(engine.report(engine.validate(a.path, a.repo)), a.output, a.format),
         "verify-family": lambda: show(projects.checkpoint_cases(spark.read.parquet(a.path))), "cache-clean": clean, "checksum-verify": checksums,
-        "checksum-update": lambda: print(datasets.update_checksums(files(a.folder), a.file)) or 0, "dataset-status": lambda: show(datasets.status(files(a.root))), "dataset-verify": verify,
-        "dataset-info": lambda: show(datasets.info(spark.read.parquet(a.path))), "dataset-checksum-update": lambda: print(datasets.update_checksums(files(a.root), a.file, "")) or 0,
+        "checksum-update": lambda: print(datasets.update_checksums(files(a.folder), a.file)) or 0, "dataset-status": presence, "dataset-verify": verify,
+        "dataset-info": lambda: show(datasets.info(spark.read.parquet(a.path))), "dataset-checksum-update": digests,
         "generate": generate, "dataset-generate-synthetic": generate, "scan": lambda: show(engine.scan(paths.scan_root(a.path), None)),
         "scan-run": lambda: show(engine.scan_run(paths.scan_root(a.path), store, a.at, a.includes or vocab.INCLUDES, a.excludes or [])), "scan-report": stored_report,
         "scan-issues": lambda: show(store.list_issues(project=a.project, severity=a.severity, since=a.since, open_only=a.open_only)), "scan-purge": lambda: print(store.purge(a.dry_run)) or 0,

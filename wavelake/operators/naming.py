@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wavelake.operators.spectral import bound
+
 
 def safe_name(name: Column) -> Column:
     """A name for one path segment: slashes become underscores."""
@@ -35,28 +37,31 @@ def scan_time(text: Column) -> Column:
     are cut off.
     """
     trimmed = F.regexp_replace(text, "^\\s+|\\s+$", "")
-    part = lambda k: F.regexp_extract(trimmed, f"^{DATE}(?:.{CLOCK}{OFFSET}?)?$", k)
-    digits = F.regexp_replace(part(1), "[-W]", "")
     number = lambda d, at, n: F.when(F.length(d) >= at + n - 1, F.substring(d, at, n).cast("int")).otherwise(F.lit(0))
-    year = number(digits, 1, 4)
-    first = F.try_make_timestamp_ntz(year, F.lit(1), F.lit(4), F.lit(0), F.lit(0), F.lit(0))
-    # 4 January lies in the first week; a week begins on Monday.
-    week, day = number(digits, 5, 2), F.when(F.length(digits) >= 7, number(digits, 7, 1)).otherwise(F.lit(1))
-    monday = F.date_sub(first.cast("date"), F.weekday(first))
-    of_week = F.date_add(monday, (week - 1) * 7 + day - 1)
-    # The 53rd week of a year that has 52 is none.
-    weeks = F.when(week.between(1, 53) & day.between(1, 7) & (F.extract(F.lit("YEAROFWEEK"), of_week) == year), of_week)
-    calendar = F.try_make_timestamp_ntz(year, number(digits, 5, 2), number(digits, 7, 2), F.lit(0), F.lit(0), F.lit(0)).cast("date")
-    date = F.when(part(1).contains("W"), weeks).otherwise(calendar)
-    clock = F.regexp_replace(F.regexp_replace(part(2), "[.,].*$", ""), ":", "")
-    fields = [number(clock, k, 2) for k in (1, 3, 5)]
-    at = F.try_make_timestamp_ntz(F.year(date), F.month(date), F.day(date), *fields)
-    shift = F.regexp_replace(F.regexp_replace(part(3), "[.,].*$", ""), "[+:Z-]", "")
-    sign = F.when(part(3).startswith("-"), -1).otherwise(1)
-    seconds = sign * (number(shift, 1, 2) * 3600 + number(shift, 3, 2) * 60 + number(shift, 5, 2))
-    known = (number(shift, 1, 2) < 24) & (number(shift, 3, 2) < 60) & (number(shift, 5, 2) < 60)
-    utc = F.when(known, F.timestamp_add("SECOND", -seconds, at))
-    out = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    bare = lambda c: F.regexp_replace(F.regexp_replace(c, "[.,].*$", ""), "[-+:WZ]", "")
+    part = lambda k: F.regexp_extract(trimmed, f"^{DATE}(?:.{CLOCK}{OFFSET}?)?$", k)
+
+    def day(p: Column) -> Column:
+        """The date, null for one that is none."""
+        digits, year = p["digits"], number(p["digits"], 1, 4)
+        first = F.try_make_timestamp_ntz(year, F.lit(1), F.lit(4), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+        # 4 January lies in the first week; a week begins on Monday. The 53rd week of a year that has 52 is none.
+        week, weekday = number(digits, 5, 2), F.when(F.length(digits) >= 7, number(digits, 7, 1)).otherwise(F.lit(1))
+        of_week = F.date_add(F.date_sub(first, F.weekday(first)), (week - 1) * 7 + weekday - 1)
+        weeks = bound(of_week, lambda d: F.when(week.between(1, 53) & weekday.between(1, 7) & (F.extract(F.lit("YEAROFWEEK"), d) == year), d))
+        calendar = F.try_make_timestamp_ntz(year, number(digits, 5, 2), number(digits, 7, 2), F.lit(0), F.lit(0), F.lit(0)).cast("date")
+        return F.when(p["date"].contains("W"), weeks).otherwise(calendar)
+
+    def utc(p: Column) -> Column:
+        shift = p["shift"]
+        seconds = F.when(p["offset"].startswith("-"), -1).otherwise(1) * (number(shift, 1, 2) * 3600 + number(shift, 3, 2) * 60 + number(shift, 5, 2))
+        known = (number(shift, 1, 2) < 24) & (number(shift, 3, 2) < 60) & (number(shift, 5, 2) < 60)
+        at = bound(day(p), lambda d: F.try_make_timestamp_ntz(F.year(d), F.month(d), F.day(d), *[number(p["clock"], k, 2) for k in (1, 3, 5)]))
+        return F.when(known, F.timestamp_add("SECOND", -seconds, at))
+
+    parts = F.struct(part(1).alias("date"), bare(part(1)).alias("digits"), bare(part(2)).alias("clock"), part(3).alias("offset"), bare(part(3)).alias("shift"))
+    # Each part is found once; written out in place, the expression would outgrow generated code.
+    out = F.date_format(bound(parts, utc), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     return F.coalesce(out, F.raise_error(F.when(trimmed == "", "Timestamp must not be empty").otherwise(F.concat(F.lit("Invalid timestamp: "), F.coalesce(text, F.lit("null"))))))
 
 

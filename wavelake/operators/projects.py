@@ -1,4 +1,4 @@
-"""Project scans over a listing of files: discovery, versions, generation plan, cache, manifest, data set status."""
+"""Project scans over a listing of files: discovery, versions, generation plan, data set status."""
 
 from __future__ import annotations
 
@@ -105,18 +105,6 @@ def plan(projects: DataFrame) -> DataFrame:
     return looked.select("project", "mode", textmine.block_name(F.col("canonical")).alias("block"), "family", "order_name", "method", snr.alias("snr_db"), skip.alias("skip_reason"))
 
 
-def cache_state(files: DataFrame, version: str) -> DataFrame:
-    """(path, length, state): shards of this version are current, others stale, too short ones corrupt."""
-    return files.select("path", "length", F.when(F.col("length") < 8, "corrupt").when(F.col("name").contains(version), "current").otherwise("stale").alias("state"))
-
-
-def manifest(files: DataFrame) -> DataFrame:
-    """One JSON document of the digests of all files by data set (the folder's name)."""
-    each = files.select(F.regexp_extract("folder", "([^/]*)$", 1).alias("dataset"), "name", F.sha2("content", 256).alias("sha"))
-    sets = each.groupBy("dataset").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("name", "sha")))).alias("files"), F.count_if(F.col("name").endswith(".tim") | F.lower("name").contains("batch")).alias("batches"))
-    return sets.agg(F.to_json(F.struct(F.lit("1.0").alias("schema_version"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("dataset", F.struct("files", "batches"))))).alias("datasets"))).alias("manifest"))
-
-
 def completeness(files: DataFrame, expected: DataFrame) -> DataFrame:
     """(name, complete): by digest where one is registered, else by size where that is known, else not."""
     valid = F.col("expected_sha").rlike("^[0-9a-fA-F]{64}$")

@@ -21,6 +21,8 @@ TABLES = {"files": "file_id bigint, dataset string, name string, path string, le
 #: Suffixes of files that a manifest lists, and what a digest that nobody has checked is called.
 SUFFIXES = [".tim", ".zip", ".gz", ".bz2", ".bin", ".txt", ".7z", ".pkl", ".dat", ".h5"]
 UNVERIFIED = "UNVERIFIED"
+#: The file whose digest stands for a data set.
+PRIMARY = [("radioml", "RML2016.10a_dict.pkl"), ("hisarmod", "HisarMod2019.1.h5")]
 DIGEST = pa.schema([("path", pa.string()), ("sha", pa.string())])
 
 
