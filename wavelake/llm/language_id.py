@@ -181,7 +181,10 @@ def identify(docs: DataFrame, held_out: Column, top: int = TOP, per_language: in
     null (no doc_id) is not learned from. `und` with score 0 stands for a null
     text or one without a letter, or where nothing could be learned. The score
     is 1 less the distance over the largest distance possible. Equal distances
-    go to the first language in code point order.
+    go to the first language in code point order. Empty texts have no letter.
+    Rows that repeat an id are predicted each by its own text; texts of any
+    length count whole; other columns are not read; an empty table gives no
+    rows.
     """
     arrow_limits(docs.sparkSession)
     profiles = learn(docs.filter(~held_out).select("text", "lang"), top, per_language)

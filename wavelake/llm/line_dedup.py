@@ -175,7 +175,10 @@ def remove_repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, min_chars
     further up in the same one. Lines end at line feeds alone. `spans` are the
     maximal deleted runs; `kept` the other lines (null for a null text, empty
     if no line stays). Rows equal in id and text are one document, of which
-    all carry the same result. `th` is the hash of the text.
+    all carry the same result; rows that repeat an id with other texts are
+    documents of their own. `th` is the hash of the text. An empty text is one
+    empty line and stays; texts of any length are read whole; other columns are
+    not read; an empty table gives no rows.
     """
     arrow_limits(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -208,7 +211,7 @@ def _cleaned(column: str):
 def clean(docs: DataFrame, min_words: int = MIN_WORDS, min_chars: int | None = MIN_CHARS) -> DataFrame:
     """All columns of docs (doc_id, text, ...), the texts without later copies of line runs.
 
-    A document whose lines are all later copies is one itself and goes. Null
+    A document of which only white space is left is a copy itself and goes. Null
     and empty texts stay; rows without an id come after all others.
     """
     arrow_limits(docs.sparkSession)

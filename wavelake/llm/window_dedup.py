@@ -131,7 +131,8 @@ def remove_repeated_windows(docs: DataFrame, width: int = 50) -> DataFrame:
     space. Words are `[^\\x20\\x09-\\x0D]+`, unchanged. Null and empty texts have
     no words. Rows without a doc_id are kept whole and are no one's
     predecessor. Rows that repeat a doc_id are not smaller than each other:
-    each keeps what no smaller document holds.
+    each keeps what no smaller document holds. Texts of any length are read
+    whole; other columns are not read; an empty table gives no rows.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
