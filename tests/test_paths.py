@@ -1,6 +1,8 @@
 """Scan times, paths, truth links, reasons and output forms."""
 
 import datetime as dt
+import hashlib
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +86,41 @@ def test_output_forms(spark, tmp_path, capsys):
         assert sorted(int(r.n) for r in read(f"{tmp_path}/{form}").collect()) == [1, 2]
     a = cli.parser().parse_args(["validate", "x", "--threshold", "0.5", "--format", "csv", "--output", "y"])
     assert (a.threshold, a.format, a.output) == (0.5, "csv", "y")
+
+
+def test_cases_of_a_family_model(spark):
+    windows = [("radioml", "QAM16", 10, 1, "AM", 0.9), ("radioml", "QAM16", 10, 0, "QAM", 0.8), ("radioml", "GFSK", 10, 0, "FSK", 0.5), ("radioml", "CPFSK", 8, 0, "FSK", 0.9), ("synthetic", "WBFM", 10, 0, "FM", 0.6), ("synthetic", "BPSK", 10, 0, "FM", 0.9)]
+    schema = "source string, class string, snr_db int, number long, predicted_family string, family_confidence double"
+    out = {r.label: r for r in projects.checkpoint_cases(spark.createDataFrame(windows, schema)).collect()}
+    assert len(out) == 12 and {k for k, r in out.items() if r.ok} == {"radioml:QAM16@10dB", "synthetic:WBFM", "radioml:WBFM (left out)", "radioml:BPSK (left out)", "radioml:QPSK (left out)"}
+    assert "no windows" in out["radioml:CPFSK@10dB"].note and out["radioml:GFSK@10dB"].predicted_family == "FSK" and out["radioml:GFSK@10dB"].note is None
+    only = projects.checkpoint_cases(spark.createDataFrame(windows[4:], schema)).collect()
+    assert [r.label for r in only] == ["synthetic:WBFM", "synthetic:BPSK", "synthetic:QPSK", "synthetic:NBFM_25"]
+
+
+def test_audio_bandwidth(spark):
+    from wavelake.operators import captures
+
+    tone = lambda *hz: [float(sum(math.sin(2 * math.pi * h * k / 8000) for h in hz)) for k in range(800)]
+    rows = [(0, tone(1000)), (1, tone(500, 2500)), (2, []), (3, None)]
+    got = {r.k: r.b for r in spark.createDataFrame(rows, "k int, x array<double>").select("k", captures.audio_bandwidth(8000.0)("x").alias("b")).collect()}
+    # Bins are counted at half their width, as rate / (2 n).
+    assert got == {0: 0.0, 1: 1000.0, 2: None, 3: None}
+
+
+def test_checksums_of_one_name_in_two_folders_and_of_no_file(spark, tmp_path):
+    from wavelake.operators import datasets
+
+    for folder, text in (("a", b"one"), ("b", b"two"), ("c", b"one")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.onnx").write_bytes(text)
+    (tmp_path / "c" / "y.onnx").write_bytes(b"y")
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = spark.createDataFrame([("x.onnx", sha(b"one")), ("y.onnx", sha(b"y")), ("z.onnx", sha(b"z"))], "name string, sha string")
+    got = lambda at: {r.name: r.status for r in datasets.verify_checksums(projects.listing(spark, at), want).collect()}
+    assert got(str(tmp_path)) == {"x.onnx": "mismatch", "y.onnx": "ok", "z.onnx": "missing"}
+    assert got(str(tmp_path / "c")) == {"x.onnx": "ok", "y.onnx": "ok", "z.onnx": "missing"}
+    with pytest.warns(UserWarning, match="nothing is verified"):
+        assert datasets.read_checksums(spark, f"{tmp_path}/none", on_missing="warn").count() == 0
+    with pytest.raises(Exception, match="exist"):
+        datasets.read_checksums(spark, f"{tmp_path}/none")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavelake.operators.ordered import numbered
+from wavelake.shared import stored
 
 
 def list_issues(issues: DataFrame, projects: DataFrame, blocks: DataFrame | None = None, project: str | None = None, severity: str | None = None, since: str | None = None, open_only: bool = False) -> DataFrame:
@@ -40,7 +41,8 @@ def latest(rows: DataFrame, key: str, at: str, tie: str) -> DataFrame:
 
 def newest(rows: DataFrame, key: str, at: str) -> DataFrame:
     """All rows that are as new as the newest of their key."""
-    last = rows.groupBy(key).agg(F.max(at).alias("_last"))
+    # Written, so that the join deals out its sides anew and Spark can split a key with many rows.
+    last = stored(rows.groupBy(key).agg(F.max(at).alias("_last")), "newest")
     return rows.join(last, key).filter(F.col(at) == F.col("_last")).drop("_last")
 
 

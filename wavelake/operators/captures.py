@@ -200,3 +200,22 @@ def percentile_of(values: Column, q: float) -> Column:
     low = F.floor(place).cast("int")
     a, b = F.get(ordered, low), F.get(ordered, F.least(low + 1, F.size(values) - 1))
     return a + (b - a) * (place - low)
+
+
+def audio_bandwidth(rate: float, down_db: float = 40.0):
+    """A function of an array column of real samples: Hz between the first and the last bin of its spectrum's power at `down_db` below the peak or above; null for none."""
+
+    @F.pandas_udf(T.DoubleType())
+    def run(x: pd.Series) -> pd.Series:
+        out = np.full(len(x), np.nan)
+        for at, (v,) in by_length([x]):
+            n = v.shape[1]
+            if not n:
+                continue
+            db = 10 * np.log10(np.abs(np.fft.rfft(v)) ** 2 + 1e-12)
+            loud = db >= db.max(axis=1, keepdims=True) - down_db
+            last = loud.shape[1] - 1 - np.argmax(loud[:, ::-1], axis=1)
+            out[at] = (last - np.argmax(loud, axis=1)) * rate / (2 * n)
+        return pd.Series(out).astype(object).where(~np.isnan(out), None).astype("Float64")
+
+    return run

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tomllib
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +62,12 @@ def checksum_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return rows.select(F.regexp_extract(F.element_at(parts, -1), "([^/]*)$", 1).alias("name"), F.lower(parts[0]).alias("sha"))
 
 
-def read_checksums(spark: SparkSession, path: str) -> DataFrame:
+def read_checksums(spark: SparkSession, path: str, on_missing: str = "error") -> DataFrame:
+    """(name, sha) of a checksum file. A file that is not there is an error, or with on_missing "warn" a warning and no rows."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if on_missing == "warn" and not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        warnings.warn(f"no checksum file {path}: nothing is verified", stacklevel=2)
+        return spark.createDataFrame([], "name string, sha string")
     return checksum_lines(spark.read.text(path))
 
 
@@ -89,9 +95,10 @@ def update_checksums(files: DataFrame, path: str, suffix: str = ".onnx") -> int:
 
 
 def verify_checksums(files: DataFrame, checksums: DataFrame) -> DataFrame:
-    """(name, status) of each registered file: ok, missing or mismatch."""
+    """(name, status) of each registered file: ok, missing or mismatch. Of files of one name in several folders all must match."""
     both = checksums.join(file_digests(files), "name", "left")
-    return both.select("name", F.when(F.col("actual_sha").isNull(), "missing").when(F.col("actual_sha") == F.col("sha"), "ok").otherwise("mismatch").alias("status"))
+    g = both.groupBy("name").agg(F.count("actual_sha").alias("n"), F.every(F.col("actual_sha") == F.col("sha")).alias("same"))
+    return g.select("name", F.when(F.col("n") == 0, "missing").when(F.col("same"), "ok").otherwise("mismatch").alias("status"))
 
 
 def verified_names(files: DataFrame, checksums: DataFrame) -> list[str]:

@@ -123,9 +123,33 @@ def dataset_status(files: DataFrame) -> DataFrame:
     return g.select("dataset", state.alias("status"))
 
 
-def checkpoint_cases(results: DataFrame, floor: float = 0.60) -> DataFrame:
-    """Adds whether the case holds: the first window's family is as expected with enough confidence."""
-    return results.withColumn("ok", (F.col("predicted_family") == F.col("expected_family")) & (F.col("family_confidence") >= floor))
+#: What a family model is asked before it is exported: source, class, SNR and the family expected.
+CASES = [
+    ("radioml", "QAM16", 10, "QAM"), ("radioml", "AM-DSB", 10, "AM"), ("radioml", "CPFSK", 10, "FSK"), ("radioml", "GFSK", 10, "FSK"), ("radioml", "PAM4", 10, "PAM"),
+    ("synthetic", "WBFM", 10, "FM"), ("synthetic", "BPSK", 10, "PSK"), ("synthetic", "QPSK", 10, "PSK"), ("synthetic", "NBFM_25", 10, "FM"),
+]
+
+
+def checkpoint_cases(scored: DataFrame, floor: float = 0.60) -> DataFrame:
+    """(label, expected_family, predicted_family, family_confidence, ok, note) of each case, and of the classes that RadioML is not asked for.
+
+    scored are windows (source, class, snr_db, number, predicted_family,
+    family_confidence); the first one of a case decides. A case holds if the
+    family is as expected with enough confidence; one without windows does
+    not. Without any window of RadioML its cases are left out.
+    """
+    spark = scored.sparkSession
+    cases = vocab.frame(spark, [(i, *c) for i, c in enumerate(CASES)], "ord int, source string, class string, snr int, expected_family string")
+    # A fixed list of a few rows.
+    mine = scored.join(F.broadcast(cases), (F.col("snr_db") == F.col("snr")) & (scored["source"] == cases["source"]) & (scored["class"] == cases["class"])).drop(scored["source"], scored["class"])
+    first = mine.groupBy("ord").agg(F.min_by(F.struct("predicted_family", "family_confidence"), "number").alias("p"))
+    label = F.concat_ws("", "source", F.lit(":"), "class", F.when(F.col("source") == "radioml", F.concat(F.lit("@"), F.col("snr"), F.lit("dB"))))
+    ok = F.coalesce((F.col("p.predicted_family") == F.col("expected_family")) & (F.col("p.family_confidence") >= floor), F.lit(False))
+    asked = cases.join(F.broadcast(first), "ord", "left").select("ord", "source", label.alias("label"), "expected_family", "p.*", ok.alias("ok"), F.when(F.col("p").isNull(), F.concat(F.lit("no windows of "), "class", F.lit(" at "), F.col("snr"), F.lit(" dB"))).alias("note"))
+    skipped = vocab.frame(spark, [(100 + i, "radioml", f"radioml:{m} (left out)", "n/a", "skipped", 0.0, True, "asked of synthetic windows") for i, m in enumerate(sorted(vocab.SKIP_FOR_FAMILY))], "ord int, source string, label string, expected_family string, predicted_family string, family_confidence double, ok boolean, note string")
+    there = scored.filter("source = 'radioml'").limit(1).agg((F.count("*") > 0).alias("there"))
+    rows = asked.unionByName(skipped).crossJoin(F.broadcast(there)).filter((F.col("source") != "radioml") | F.col("there"))
+    return rows.orderBy("ord").drop("ord", "source", "there")
 
 
 def keep_quantised(agreement: Column, tolerance: float = 3.0) -> Column:

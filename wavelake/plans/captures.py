@@ -171,3 +171,11 @@ def shard_cache(spark, sf_dir):
     rows = held.load(keys, lambda todo: todo.select("source", "key", F.raise_error(F.lit("built twice")).alias("vec_id"), F.array().cast("array<float>").alias("iq")))
     total = F.aggregate("iq", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return rows.groupBy("key").agg(F.count("*").alias("windows"), F.round(F.avg(total), 4).alias("mean"))
+
+
+@query(f"""WITH {SAMPLES}, f AS (SELECT vec_id, k, 10 * log10(pow(sum(re * cos(2 * pi() * k * n / 32)), 2) + pow(sum(re * sin(2 * pi() * k * n / 32)), 2) + 1e-12) AS db FROM s, range(17) r(k) GROUP BY 1, 2),
+    p AS (SELECT vec_id, max(db) AS top FROM f GROUP BY 1) SELECT vec_id, (max(k) - min(k)) * 32000.0::DOUBLE / 64 AS bandwidth FROM f JOIN p USING (vec_id) WHERE db >= top - 6 GROUP BY 1""")
+def audio_bandwidth(spark, sf_dir):
+    """The bandwidth of each window's I as audio, at 6 dB below the peak."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", spectral.deinterleave(F.col("embedding"))[0].alias("x"))
+    return e.select("vec_id", captures.audio_bandwidth(RATE, 6.0)("x").alias("bandwidth"))
