@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wavelake import vocab
+from wavelake import cli, vocab
 from wavelake.facade import Engine
 from wavelake.functions import dsp, waveforms
 from wavelake.operators import audit, judging, plugins, projects, scoring, textmine, training
@@ -189,6 +189,16 @@ def test_ml_scorer_learns_synthetic_classes(spark):
     assert np.mean([r["class"] == r.pred for r in rows]) > 0.9
 
 
+def test_train_command_keeps_a_model(spark, tmp_path, capsys):
+    x = waveforms.generate(spark, ["AM_AIR_25K", "BPSK", "NBFM_50"], 12, [20, 24])
+    x.withColumn("source", F.lit("synthetic")).write.parquet(f"{tmp_path}/w")
+    assert cli.main(["train", f"{tmp_path}/w", f"{tmp_path}/m"]) == 0
+    parts = {r["part"]: r for r in map(json.loads, capsys.readouterr().out.splitlines())}
+    assert set(parts) == {"train", "val", "test"} and parts["train"]["accuracy"] > 0.9 and sum(r["windows"] for r in parts.values()) == 72
+    again = scoring.load_ml(f"{tmp_path}/m")
+    assert again.names == ["AM", "FM", "PSK"] and again(x, "pred", "conf").filter("pred in ('AM', 'FM', 'PSK') and conf > 0.3").count() == 72
+
+
 def test_plugin_registry():
     assert plugins.registered() == ["sleipnir_8qpsk"] and plugins.get("x") is None
 

@@ -18,7 +18,7 @@ from wavelake.sources.manifest import PRIMARY, UNVERIFIED, Manifest
 from wavelake.store import AuditStore
 
 #: What needs a network, a radio toolkit, a vendor's compiler or h5py, none of which this engine has.
-OUTSIDE = ["train", "export", "export-quantised", "export-npu", "dataset-download", "dataset-convert-hisarmod"]
+OUTSIDE = ["export", "export-quantised", "export-npu", "dataset-download", "dataset-convert-hisarmod"]
 
 
 def parser() -> argparse.ArgumentParser:
@@ -39,6 +39,7 @@ def parser() -> argparse.ArgumentParser:
     add("validate", "path", repo=None, threshold=share, **written)
     add("classify", "path", threshold=share, **written)
     add("report", "path", repo=None, threshold=share, **written)
+    add("train", "windows", "out")
     add("verify-family", "path")
     add("cache-clean", "path", version=cache.VERSION, dry_run=flag)
     add("checksum-verify", "folder", "file")
@@ -148,6 +149,7 @@ def main(argv: list[str] | None = None) -> int:
 
     commands = {
         "validate": validate, "classify": lambda: show(engine.classify(a.path), a.output, a.format), "report": lambda: show(engine.report(engine.validate(a.path, a.repo)), a.output, a.format),
+        "train": lambda: show(engine.train(spark.read.parquet(a.windows), a.out)),
         "verify-family": lambda: show(projects.checkpoint_cases(spark.read.parquet(a.path))), "cache-clean": clean, "checksum-verify": checksums,
         "checksum-update": lambda: print(datasets.update_checksums(files(a.folder), a.file)) or 0, "dataset-status": presence, "dataset-verify": verify,
         "dataset-info": lambda: show(datasets.info(spark.read.parquet(a.path))), "dataset-checksum-update": digests,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wavelake import vocab
 from wavelake.functions import waveforms
 from wavelake.operators import audit, datasets, judging, naming, plugins, projects, scoring, textmine, training
+from wavelake.shared import stored
 from wavelake.sources import iq
 from wavelake.store import AuditStore
 
@@ -82,6 +83,16 @@ class Engine:
         key = F.pmod(F.xxhash64("source", "class", "snr_db", "number"), F.lit(1 << 40))
         return training.stratified_split(rows.withColumn("_key", key), ["class", "snr_bin"], "_key", block=1 << 30).drop("_key")
 
+    def train(self, windows: DataFrame, path: str) -> DataFrame:
+        """Fit a family model on the training part of windows (source, class, snr_db, number, i, q), keep it under path, and give (part, windows, accuracy) of each part."""
+        windows = windows.drop("family")  # it is told from the class
+        sources = [r.source for r in windows.select("source").distinct().collect()]
+        rows = stored(self.prepare_training({s: windows.filter(F.col("source").eqNullSafe(s)).drop("source") for s in sources}).filter("family is not null"), "training")
+        fitted = scoring.fit_ml(rows.filter("part = 'train'"), "family", sorted(r.family for r in rows.select("family").distinct().collect()))
+        scoring.save_ml(fitted, path)
+        right = (F.col("predicted") == F.col("family")).cast("double")
+        return fitted(rows, "predicted", "confidence").groupBy("part").agg(F.count("*").alias("windows"), F.avg(right).alias("accuracy"))
+
     def scan(self, root: str, includes: list[str] | None = vocab.INCLUDES, excludes: list[str] = ()) -> DataFrame:
         return projects.plan(projects.discover(projects.listing(self.spark, root), root, includes, excludes))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,15 +89,36 @@ def fit_ml(chunks: DataFrame, label: str, names: list[str]):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     index = F.array_position(vocab.literal_list(names), F.col(label)) - 1
     data = features(chunks).withColumn("_x", array_to_vector("features")).withColumn("_y", index.cast("double")).filter("_y >= 0")
     model = Pipeline(stages=[StandardScaler(inputCol="_x", outputCol="_z", withMean=True), LogisticRegression(featuresCol="_z", labelCol="_y", maxIter=60, regParam=1e-3, family="multinomial")]).fit(data)
 
+    return _applied(model, names)
+
+
+def _applied(model, names: list[str]):
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
     def run(rows: DataFrame, out: str, confidence: str) -> DataFrame:
         scored = model.transform(features(rows).withColumn("_x", array_to_vector("features")))
         p = vector_to_array("probability")
         return scored.withColumn(out, F.element_at(vocab.literal_list(names), F.col("prediction").cast("int") + 1)).withColumn(confidence, F.array_max(p)).drop("_x", "_z", "rawPrediction", "probability", "prediction", "features")
 
+    run.model, run.names = model, names
     return run
+
+
+def save_ml(fitted, path: str) -> None:
+    """Keep what fit_ml gave: the model, and the names of its classes in order."""
+    fitted.model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    vocab.frame(spark, list(enumerate(fitted.names)), "number int, name string").coalesce(1).write.mode("overwrite").json(f"{path}/classes")
+
+
+def load_ml(path: str):
+    from pyspark.ml import PipelineModel
+
+    names = SparkSession.active().read.schema("number int, name string").json(f"{path}/classes").orderBy("number").collect()
+    return _applied(PipelineModel.load(f"{path}/model"), [r["name"] for r in names])
