@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavelake.llm.language_id import letter_table
-from wavelake.llm.textkit import U64, arrow_limits, gathered, mix, stored
+from wavelake.llm.textkit import U64, arrow_limits, discard, gathered, mix, stored, trim
 
 #: Labelled rows that the model is fitted on, at most, and the characters of their texts.
 SAMPLE = 16_000
@@ -112,12 +112,16 @@ def fit_logistic(parts: list[tuple[np.ndarray, np.ndarray]], ratio: np.ndarray,
     """L2 logistic regression by Newton steps, each solved by conjugate gradients as far as it pays.
 
     parts: the places of the present features and how many of them each row has, a group of rows each.
-    The groups are held both by row and by feature, so either product sums runs of neighbours.
     """
+    return fit_groups([(len(many), *_by_feature(at, many)) for at, many in parts], ratio, y, penalty, steps)
+
+
+def fit_groups(parts: list[tuple], ratio: np.ndarray, y: np.ndarray, penalty: float = PENALTY, steps: int = 30) -> tuple[np.ndarray, float]:
+    """fit_logistic of groups of rows held by feature: (rows, *_by_feature). The n-grams are held once, at two bytes each where a group has no more rows."""
     d, n = len(ratio), len(y)
-    bounds = np.cumsum([0, *(len(many) for _, many in parts)])
+    bounds = np.cumsum([0, *(m for m, *_ in parts)])
     ridge = np.append(np.full(d, penalty), 1e-6)
-    groups = [(a, at, many, *_by_feature(at, many)) for (at, many), a in zip(parts, bounds, strict=False) if len(at)]
+    groups = [(a, *part) for part, a in zip(parts, bounds, strict=False) if len(part[-1])]
 
     # Sums in place of `@`, whose threads would wait busily between short products.
     def dot(a: np.ndarray, b: np.ndarray) -> float:
@@ -127,9 +131,8 @@ def fit_logistic(parts: list[tuple[np.ndarray, np.ndarray]], ratio: np.ndarray,
         scaled, out = ratio * v[:d], np.full(n, v[d])
 
         def rows(group) -> None:
-            a, at, many = group[:3]
-            some = np.flatnonzero(many)
-            out[a + some] += np.add.reduceat(scaled.take(at), (np.cumsum(many, dtype=np.int64) - many)[some])
+            a, m, f, first, row = group
+            out[a : a + m] += np.bincount(row, np.repeat(scaled.take(f), np.diff(first, append=len(row))), m)
 
         list(pool.map(rows, groups))
         return out
@@ -138,8 +141,8 @@ def fit_logistic(parts: list[tuple[np.ndarray, np.ndarray]], ratio: np.ndarray,
         out = np.zeros(d)
 
         def columns(group) -> tuple[np.ndarray, np.ndarray]:
-            a, _, many, f, first, row = group
-            return f, np.add.reduceat(u[a : a + len(many)].take(row), first)
+            a, m, f, first, row = group
+            return f, np.add.reduceat(u[a : a + m].take(row), first)
 
         for f, total in pool.map(columns, groups):
             out[f] += total
@@ -225,10 +228,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int =
         return *nothing, float(np.log(share / (1 - share)))
     a = n[:, seen].astype(float)
     ratio = np.log((a[1] + SMOOTH) / (total[1] + 2 * SMOOTH)) - np.log((a[0] + SMOOTH) / (total[0] + 2 * SMOOTH))
-    # 4 bytes for each n-gram of a text: the bound on characters bounds them.
-    got = texts.mapInArrow(_present(seen), "at binary, many binary, toxic binary").toArrow()
-    at, many, label = ([np.frombuffer(x.as_buffer(), dtype=t) for x in got[c]] for c, t in (("at", np.uint32), ("many", np.uint32), ("toxic", np.uint8)))
-    w, bias = fit_logistic(list(zip(at, many, strict=True)), ratio, np.concatenate(label).astype(float))
+    # 4 bytes for each n-gram of a text: the bound on characters bounds them. One file of them at a time passes the driver's JVM.
+    present = stored(texts.mapInArrow(_present(seen), "at binary, many binary, toxic binary"), "toxic-present")
+    groups, label = [], []
+    for r in present.toLocalIterator():
+        at, many = (np.frombuffer(r[c], dtype=np.uint32) for c in ("at", "many"))
+        groups.append((len(many), *_by_feature(at, many)))
+        label.append(np.frombuffer(r["toxic"], dtype=np.uint8))
+    discard(present)
+    trim()
+    w, bias = fit_groups(groups, ratio, np.concatenate(label).astype(float))
+    del groups, label
+    trim()
     return seen, w * ratio, bias
 
 
@@ -276,7 +287,10 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = SA
 
     The model is trained on labels of rows that are not held out. Null and
     empty texts have no features and score the bias alone. Rows that repeat a
-    text score alike.
+    text score alike. A null id has a null held_out where that is told from the
+    id, and is not learned from; rows that repeat an id score each by its own text.
+    Texts of any length are scored whole; other columns are not read; an empty
+    table gives no rows.
     """
     arrow_limits(docs.sparkSession)
     model = train(docs, labels.filter(~held_out), sample)
