@@ -75,6 +75,30 @@ def test_modes_in_text(spark):
     assert spark.createDataFrame([(text,)], "t string").select(textmine.modes(F.col("t"))).first()[0] == ["AM", "D-Star", "FX.25", "NBFM", "sleipnir_8qpsk"]
 
 
+def test_halves_of_a_size_go_to_the_even_digit(spark, tmp_path):
+    import duckdb
+
+    from wavelake.plans import texts  # noqa: F401
+    from wavelake.plans.base import ORACLES, QUERIES
+
+    rows = [(955, 3328), (3876, 1280), (8755, 8448), (6, 1792), (12, 1023), (18, None), (None, 5), (24, 2**52 + 3), (30, round(4100.35 * 2**40)), (36, 2**62 + 12345), (42, 0)]
+    spark.createDataFrame(rows, "doc_id long, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r["size"]) for r in QUERIES["size_format"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == set(con.execute(ORACLES["size_format"]).fetchall()) and {(955, "120.2 KB"), (3876, "1.2 KB"), (6, "1.8 KB")} < got
+
+
+def test_digits_by_the_exact_value(spark):
+    r = np.random.default_rng(7)
+    xs = [k / 1000 for k in range(1000)] + (r.integers(0, 10**6, 500) / 1000).tolist() + (r.normal(size=200) * 1e9).tolist() + [0.125, 0.375, -0.125]
+    for digits in (1, 2):
+        got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", F.format_string(f"%.{digits}f", textmine.to_digits(F.col("x"), digits)).alias("s")).collect()
+        assert [(r.x, r.s) for r in got] == [(x, f"{x:.{digits}f}") for x in xs]
+    verdict = spark.createDataFrame([("AM", "AM-DSB", "AM", "AM-DSB", 0.285), ("AM", "AM-DSB", "AM", "AM-DSB", 0.125)], "expected_family string, expected_order string, predicted_family string, predicted_order string, family_confidence double")
+    assert {r.reason for r in judging.verdicts(verdict).collect()} == {f"Family confidence {x:.2f} below hard-fail threshold 0.4" for x in (0.285, 0.125)}
+
+
 def test_exact_key_class_differs_from_substring(spark):
     d = spark.createDataFrame([("32FSK",)], "k string")
     assert d.select(textmine.key_class(F.col("k"))).first()[0] == "2FSK" and d.select(textmine.key_class(F.col("k"), True)).first()[0] == "32FSK"

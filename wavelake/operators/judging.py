@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wavelake import vocab
 from wavelake.operators.spectral import bound
+from wavelake.operators.textmine import to_digits
 
 
 def majority_vote(chunks: DataFrame, keys: list[str], label: str, confidence: str, order: str) -> DataFrame:
@@ -60,7 +61,7 @@ def verdicts(rows: DataFrame) -> DataFrame:
     return out.withColumn("hard_fail", ~F.col("family_pass") | low).withColumn(
         "reason",
         F.when(~F.col("family_pass"), F.format_string("Wrong family: expected %s, got %s", "expected_family", "predicted_family"))
-        .when(low, F.format_string("Family confidence %.2f below hard-fail threshold 0.4", "family_confidence")),
+        .when(low, F.format_string("Family confidence %.2f below hard-fail threshold 0.4", to_digits(F.col("family_confidence"), 2))),
     )
 
 
@@ -71,7 +72,7 @@ def custom_verdicts(rows: DataFrame, threshold: float = vocab.THRESHOLD) -> Data
     other = F.col("mode_id") != F.col("expected_order")
     return rows.withColumns({
         "family_pass": ok, "order_pass": ok, "hard_fail": failed | other,
-        "reason": F.when(failed, F.format_string("Custom mode %s failed with confidence %.2f below 0.4", "mode_id", "confidence")).when(other, F.format_string("Plugin mode_id %s != expected_order %s", "mode_id", "expected_order")),
+        "reason": F.when(failed, F.format_string("Custom mode %s failed with confidence %.2f below 0.4", "mode_id", to_digits(F.col("confidence"), 2))).when(other, F.format_string("Plugin mode_id %s != expected_order %s", "mode_id", "expected_order")),
     })
 
 
@@ -118,7 +119,7 @@ def issues(results: DataFrame, threshold: float = vocab.THRESHOLD) -> DataFrame:
 def markdown_rows(results: DataFrame) -> DataFrame:
     """One line of a markdown table for each result."""
     tick = lambda c: F.when(F.col(c), "✓").otherwise("✗")
-    return results.select("block", F.concat(F.lit("| "), F.concat_ws(" | ", "block", "expected_order", "predicted_order", F.format_string("%.2f", "family_confidence"), tick("family_pass"), tick("order_pass"), tick("hard_fail")), F.lit(" |")).alias("line"))
+    return results.select("block", F.concat(F.lit("| "), F.concat_ws(" | ", "block", "expected_order", "predicted_order", F.format_string("%.2f", to_digits(F.col("family_confidence"), 2)), tick("family_pass"), tick("order_pass"), tick("hard_fail")), F.lit(" |")).alias("line"))
 
 
 def project_reports(results: DataFrame, raised: DataFrame) -> DataFrame:
@@ -131,7 +132,7 @@ def project_reports(results: DataFrame, raised: DataFrame) -> DataFrame:
     ok = ~skipped & F.col("family_pass") & F.col("order_pass") & ~F.col("hard_fail")
     hard = ~skipped & F.col("hard_fail")
     mark = F.when(hard, "FAIL").when(ok, "PASS").otherwise("WARN")
-    line = F.concat_ws(" | ", "block", F.concat_ws("/", "expected_family", "expected_order"), F.concat_ws("/", "predicted_family", "predicted_order"), F.format_string("%.2f", "family_confidence"), mark)
+    line = F.concat_ws(" | ", "block", F.concat_ws("/", "expected_family", "expected_order"), F.concat_ws("/", "predicted_family", "predicted_order"), F.format_string("%.2f", to_digits(F.col("family_confidence"), 2)), mark)
     listed = lambda when, text: F.array_join(F.array_sort(F.collect_list(F.when(when, text))), "\n")
     each = results.groupBy("project").agg(
         F.first("version").alias("version"), F.first("notice").alias("notice"), F.max("run_at").alias("run_at"), F.count_if(ok).alias("passed"), F.count_if(hard).alias("hard"),

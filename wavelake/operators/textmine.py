@@ -152,12 +152,25 @@ def archive_variant(name: Column) -> Column:
     return F.when(low == "", "empty").when(r2, "r2").when(old, "original").otherwise("unknown")
 
 
+def to_digits(x: Column, digits: int) -> Column:
+    """x to so many digits by its exact value, halves to the even digit, as C, Python and SQL's printf have it; format_string alone takes halves of the shortest decimal up."""
+    scale, x = F.lit(10.0**digits), x.cast("double")
+    # Two parts short enough to be scaled without an error, and what their sum leaves out.
+    high = x.cast("float").cast("double")
+    a, b = high * scale, (x - high) * scale
+    total = a + b
+    left, near = b - (total - a), F.rint(total)
+    near = F.when((F.abs(total - near) == 0.5) & (left != 0), total + F.signum(left) / 2).otherwise(near)
+    return F.when(F.abs(x) < 2.0**52, near / scale).otherwise(x)
+
+
 def human_size(n: Column) -> Column:
-    """A size over 1024 until it is below, with its unit."""
-    out = F.format_string("%.1f TB", n / F.lit(1024.0**4))
+    """A size over 1024 until it is below, with its unit; null for null."""
+    size = lambda i, unit: F.format_string(f"%.1f {unit}", to_digits(n / F.lit(1024.0**i), 1))
+    out = size(4, "TB")
     for i, unit in reversed(list(enumerate(("B", "KB", "MB", "GB")))):
-        out = F.when(n < 1024.0 ** (i + 1), F.format_string(f"%.1f {unit}", n / F.lit(1024.0**i))).otherwise(out)
-    return out
+        out = F.when(n < 1024.0 ** (i + 1), size(i, unit)).otherwise(out)
+    return F.when(n.isNotNull(), out)
 
 
 def checksum_status(actual: DataFrame, expected: DataFrame, key: str) -> DataFrame:
