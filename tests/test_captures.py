@@ -2,8 +2,10 @@
 
 import datetime as dt
 import time
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +72,53 @@ def test_running_phase_passes_windows(spark):
         np.testing.assert_allclose(got[name], want, atol=1e-9)
 
 
+def test_sums_need_no_python_and_windows_are_computed_once(spark, monkeypatch):
+    """A task of the queries that explode a window has one Python worker; an explode's filter made it two."""
+    from wavelake.plans import captures as plans
+
+    plan = lambda f: f._jdf.queryExecution().executedPlan().toString()
+    for name in ("fm_phase_capture", "iir_capture", "fir_capture", "fir_capture_long"):
+        assert plan(getattr(plans, name)(spark, "/root/testdata/sf0.001")).count("ArrowEvalPython") == 1, name
+    written, keep = [], ordered.stored
+    monkeypatch.setattr(ordered, "stored", lambda f, name: written.append(plan(f)) or keep(f, name))
+    rows = spark.createDataFrame([("a", k, [1.0, 2.0]) for k in range(50)], WINDOWS)
+    assert {(r.at, tuple(r.s)) for r in ordered.states(rows, ["capture"], ["at"], "x", 2, "s").collect()} == {(k, (1.0 * k, 2.0 * k)) for k in range(50)}
+    assert written and not any("Arrow" in p or "Python" in p for p in written)
+
+
+def test_a_null_value_adds_nothing_to_the_phase(spark):
+    rows = [("a", 0, [1.0, None, 2.0, 5.0]), ("a", 1, [None, 1.0]), ("a", 2, None), ("a", 3, [4.0, 2.0])]
+    got = captures.running_phase(spark.createDataFrame(rows, WINDOWS), ["capture"], ["at"], "x", "p")
+    assert joined(got, "p") == {"a": [1.0, 0.0, 3.0, 5.0, 3.0, 6.0, 7.0, 8.0]}
+
+
+def test_a_batch_is_held_flat(spark):
+    """Of a batch there are some flat copies, and no object for each row."""
+    rng, width, n = np.random.default_rng(8), 64, 10_000
+    x = rng.normal(size=(n, width)).astype(np.float32)
+    held = lambda a: pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * a.shape[1], pa.int32()), pa.array(a.ravel()))
+    iq, before = held(x), held(np.ones((n, 2)))
+    tracemalloc.start()
+    got = captures.interleaved_running.func(iq, before)
+    made, peak = tracemalloc.take_snapshot(), tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(s.count for s in made.statistics("filename")) < 1000 and peak < 6 * 8 * n * width
+    want = np.empty((n, width))
+    for k in (0, 1):
+        want[:, k::2] = 1 + np.cumsum(x[:, k::2].astype(float), axis=1)
+    np.testing.assert_allclose(got.flatten().to_numpy().reshape(n, width), want)
+
+
+@pytest.mark.parametrize("kept", [0, 1, 2, 3])
+def test_rows_of_a_batch_by_length(kept):
+    """Nulls, empty rows, null elements and slices of a batch."""
+    rows = [[1.0, None], None, [], [3.0], [4.0, 5.0]]
+    batch = pa.array(rows, pa.list_(pa.float32()))[kept:]
+    got = captures.put(len(batch), ((at, v * 2) for at, (v,) in captures.by_length([batch]))).to_pylist()
+    assert [[None if x != x else x for x in r] for r in got] == [[x and 2 * x for x in r or []] for r in rows[kept:]]
+    assert captures.put(0, ((at, v) for at, (v,) in captures.by_length([batch[:0]]))).to_pylist() == []
+
+
 SECTIONS = [[0.2, 0.4, 0.2, 1.0, -0.5, 0.3], [0.5, 0.25, 0.1, 1.0, 0.2, -0.15]]
 
 

@@ -5,43 +5,51 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wavelake.operators.ordered import numbered, states
+from wavelake.operators.spectral import deinterleave
 from wavelake.shared import stored
 
 DOUBLES = T.ArrayType(T.DoubleType())
 
 
-def by_length(columns: list[pd.Series]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """Places of the rows of one shape, with each column's values stacked; a null is an empty array."""
-    held = [c.map(lambda v: np.zeros(0) if v is None else np.asarray(v, dtype=np.float64)) for c in columns]
-    shapes = pd.Series(list(zip(*(c.map(len) for c in held), strict=True)), dtype=object)
-    for shape in sorted(set(shapes)):
-        at = np.flatnonzero(shapes.map(lambda s, shape=shape: s == shape).to_numpy())
-        yield at, [np.stack(list(c.iloc[at])) for c in held]
+def by_length(columns: list[pa.Array], null: float = np.nan) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """Places of the rows of one shape, with each column's values stacked; a null is an empty array, a null value is `null`. No row is an object of its own."""
+    filled = lambda v: pc.fill_null(v.cast(pa.float64(), safe=False), null) if v.null_count else v
+    values = [filled(c.flatten()).to_numpy(zero_copy_only=False).astype(np.float64, copy=False) for c in columns]
+    lengths = [pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]
+    starts = [np.cumsum(n) - n for n in lengths]
+    shapes, of = np.unique(np.stack(lengths, axis=1), axis=0, return_inverse=True)
+    for k, shape in enumerate(shapes.tolist()):
+        at = np.flatnonzero(of.ravel() == k)
+        yield at, [v[s[at][:, None] + np.arange(n)] for v, s, n in zip(values, starts, shape, strict=True)]
 
 
-def put(n: int, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> pd.Series:
+def put(n: int, parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> pa.Array:
     """Rows of stacked results at their places."""
-    out = [None] * n
-    for at, rows in parts:
-        for i, row in zip(at.tolist(), rows, strict=True):
-            out[i] = row
-    return pd.Series(out, dtype=object)
+    held, lengths = list(parts), np.zeros(n, dtype=np.int64)
+    for at, rows in held:
+        lengths[at] = rows.shape[1]
+    ends = np.cumsum(lengths)
+    out = np.empty(int(lengths.sum()))
+    for at, rows in held:
+        out[(ends - lengths)[at][:, None] + np.arange(rows.shape[1])] = rows
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(out))
 
 
-@F.pandas_udf(DOUBLES)
-def interleaved_sums(iq: pd.Series) -> pd.Series:
-    """The sums of I and of Q in a row."""
-    return put(len(iq), ((at, np.stack([x[:, 0::2].sum(axis=1), x[:, 1::2].sum(axis=1)], axis=1)) for at, (x,) in by_length([iq])))
+def once(function):
+    """A function of columns that Spark computes once for a row: else a filter on its result, as an explode implies one, computes it again, in a second Python worker of the task."""
+    return function.asNondeterministic()
 
 
-@F.pandas_udf(DOUBLES)
-def interleaved_running(iq: pd.Series, before: pd.Series) -> pd.Series:
+@once
+@F.arrow_udf(DOUBLES)
+def interleaved_running(iq: pa.Array, before: pa.Array) -> pa.Array:
     """Running sums of I and of Q along a row, from the sums before it on."""
 
     def run(x: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -50,16 +58,17 @@ def interleaved_running(iq: pd.Series, before: pd.Series) -> pd.Series:
             out[:, k::2] = np.cumsum(x[:, k::2], axis=1) + b[:, k : k + 1]
         return out
 
-    return put(len(iq), ((at, run(*v)) for at, v in by_length([iq, before])))
+    return put(len(iq), ((at, run(*v)) for at, v in by_length([iq, before], 0.0)))
 
 
 def running_phase(windows: DataFrame, keys: list[str], order: list[str], iq: str, out: str) -> DataFrame:
     """windows with `out`: running sums of I and Q, interleaved, over all windows of a capture in order.
 
     One row of two sums goes from window to window, in two levels; the order
-    must tell windows apart. A null or empty window adds nothing.
+    must tell windows apart. A null or empty window adds nothing, nor does a null value.
     """
-    summed = windows.withColumn("_sums", interleaved_sums(iq))
+    total = lambda parts: F.coalesce(F.aggregate(parts, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))), F.lit(0.0))
+    summed = windows.withColumn("_sums", F.array(*map(total, deinterleave(F.col(iq)))))
     return states(summed, keys, order, "_sums", 2, "_sums_before").withColumn(out, interleaved_running(iq, "_sums_before")).drop("_sums", "_sums_before")
 
 
@@ -87,18 +96,19 @@ def recursive_filter(windows: DataFrame, keys: list[str], order: list[str], x: s
     rows = np.asarray(sections, dtype=np.float64)
     size = 2 * len(rows)
 
-    @F.pandas_udf(DOUBLES)
-    def end(col: pd.Series) -> pd.Series:
+    @F.arrow_udf(DOUBLES)
+    def end(col: pa.Array) -> pa.Array:
         return put(len(col), ((at, through(v, np.zeros((len(v), size)), rows)[1]) for at, (v,) in by_length([col])))
 
-    @F.pandas_udf(DOUBLES)
-    def matrix(col: pd.Series) -> pd.Series:
+    @F.arrow_udf(DOUBLES)
+    def matrix(col: pa.Array) -> pa.Array:
         # The states that a silent window of a length makes of unit states.
         made = lambda v: through(np.zeros((size, v.shape[1])), np.eye(size), rows)[1].T.ravel()
         return put(len(col), ((at, np.tile(made(v), (len(at), 1))) for at, (v,) in by_length([col])))
 
-    @F.pandas_udf(DOUBLES)
-    def filtered(col: pd.Series, state: pd.Series) -> pd.Series:
+    @once
+    @F.arrow_udf(DOUBLES)
+    def filtered(col: pa.Array, state: pa.Array) -> pa.Array:
         return put(len(col), ((at, through(*v, rows)[0]) for at, v in by_length([col, state])))
 
     mapped = windows.withColumns({"_end": end(x), "_matrix": matrix(x)})
@@ -115,8 +125,9 @@ def convolved(windows: DataFrame, keys: list[str], order: list[str], x: str, tap
     h = np.asarray(taps, dtype=np.float64)
     reach = len(h) - 1
 
-    @F.pandas_udf(DOUBLES)
-    def filtered(col: pd.Series, tail: pd.Series) -> pd.Series:
+    @once
+    @F.arrow_udf(DOUBLES)
+    def filtered(col: pa.Array, tail: pa.Array) -> pa.Array:
         def run(v: np.ndarray, before: np.ndarray) -> np.ndarray:
             held = np.zeros((len(v), reach + v.shape[1]))
             held[:, reach - before.shape[1] : reach] = before
@@ -147,9 +158,9 @@ def convolved(windows: DataFrame, keys: list[str], order: list[str], x: str, tap
 def envelope_peak(lo: int, hi: int):
     """A function of an array column: the lag from lo to hi at which its autocorrelation, freed of the mean and divided by that at lag 0, is greatest, and its value there; null for fewer than hi + 1 values."""
 
-    @F.pandas_udf("lag int, peak double")
-    def run(x: pd.Series) -> pd.DataFrame:
-        lag, peak = np.full(len(x), np.nan), np.full(len(x), np.nan)
+    @F.arrow_udf("lag int, peak double")
+    def run(x: pa.Array) -> pa.Array:
+        lag, peak, short = np.zeros(len(x), dtype=np.int32), np.full(len(x), np.nan), np.ones(len(x), dtype=bool)
         for at, (v,) in by_length([x]):
             n = v.shape[1]
             if n <= hi:
@@ -159,8 +170,8 @@ def envelope_peak(lo: int, hi: int):
             r = np.fft.irfft(np.abs(spectrum) ** 2)[:, :n]
             r = r / (r[:, :1] + 1e-12)
             best = lo + np.argmax(r[:, lo : hi + 1], axis=1)
-            lag[at], peak[at] = best, r[np.arange(len(at)), best]
-        return pd.DataFrame({"lag": pd.array(np.where(np.isnan(lag), -1, lag).astype(int), dtype="Int32").astype(object), "peak": peak}).assign(lag=lambda f: f["lag"].where(~np.isnan(lag), None)).astype({"lag": "Int32"})
+            lag[at], peak[at], short[at] = best, r[np.arange(len(at)), best], False
+        return pa.StructArray.from_arrays([pa.array(lag, mask=short), pa.array(peak, mask=short)], ["lag", "peak"])
 
     return run
 
@@ -205,8 +216,8 @@ def percentile_of(values: Column, q: float) -> Column:
 def audio_bandwidth(rate: float, down_db: float = 40.0):
     """A function of an array column of real samples: Hz between the first and the last bin of its spectrum's power at `down_db` below the peak or above; null for none."""
 
-    @F.pandas_udf(T.DoubleType())
-    def run(x: pd.Series) -> pd.Series:
+    @F.arrow_udf(T.DoubleType())
+    def run(x: pa.Array) -> pa.Array:
         out = np.full(len(x), np.nan)
         for at, (v,) in by_length([x]):
             n = v.shape[1]
@@ -216,6 +227,6 @@ def audio_bandwidth(rate: float, down_db: float = 40.0):
             loud = db >= db.max(axis=1, keepdims=True) - down_db
             last = loud.shape[1] - 1 - np.argmax(loud[:, ::-1], axis=1)
             out[at] = (last - np.argmax(loud, axis=1)) * rate / (2 * n)
-        return pd.Series(out).astype(object).where(~np.isnan(out), None).astype("Float64")
+        return pa.array(out, mask=np.isnan(out))
 
     return run

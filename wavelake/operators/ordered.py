@@ -47,28 +47,29 @@ def _same(keys: list[str]) -> Column:
     return out
 
 
-def _stretches(keys: list[str], matrix: str | None, vector: str, size: int, schema: pa.Schema):
+def _stretches(keys: list[str], matrix: str, vector: str, size: int, schema: pa.Schema):
+    def stacked(column: pa.Array, width: int) -> np.ndarray:
+        return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+
+    def lists(rows: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * rows.shape[1], pa.int32()), pa.array(rows.ravel()))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, key, m, v, number = TaskContext.get().partitionId(), None, None, None, 0
         for batch in batches:
-            vs = np.stack([np.asarray(x, dtype=float) for x in batch[vector].to_pylist()]) if batch.num_rows else np.zeros((0, size))
-            ms = [np.asarray(x, dtype=float).reshape(size, size) for x in batch[matrix].to_pylist()] if matrix else None
-            names = list(zip(*(batch[k].to_pylist() for k in keys), strict=True)) if keys else [()] * batch.num_rows
-            before_m, before_v, after_m, after_v = ([] for _ in range(4))
+            n = batch.num_rows
+            vs, ms = stacked(batch[vector], size), stacked(batch[matrix], size * size).reshape(-1, size, size)
+            names = list(zip(*(batch[k].to_pylist() for k in keys), strict=True)) if keys else [()] * n
+            before_m, after_m, before_v, after_v = (np.empty((n, w)) for w in (size * size, size * size, size, size))
             for i, k in enumerate(names):
                 if k != key or m is None:
                     key, m, v = k, np.eye(size), np.zeros(size)
-                before_m.append(m.ravel())
-                before_v.append(v)
-                if ms is not None:
-                    m, v = ms[i] @ m, ms[i] @ v + vs[i]
-                else:
-                    v = v + vs[i]
-                after_m.append(m.ravel())
-                after_v.append(v)
-            more = {"_task": [task] * len(names), "_number": range(number, number + len(names)), "_m": before_m, "_v": before_v, "_after_m": after_m, "_after_v": after_v}
-            number += len(names)
-            yield pa.RecordBatch.from_arrays([batch[f.name] if f.name not in more else pa.array(more[f.name], f.type) for f in schema], schema=schema)
+                before_m[i], before_v[i] = m.ravel(), v
+                m, v = ms[i] @ m, ms[i] @ v + vs[i]
+                after_m[i], after_v[i] = m.ravel(), v
+            more = {"_task": pa.array(np.full(n, task, dtype=np.int32)), "_number": pa.array(np.arange(number, number + n)), "_m": lists(before_m), "_v": lists(before_v), "_after_m": lists(after_m), "_after_v": lists(after_v)}
+            number += n
+            yield pa.RecordBatch.from_arrays([more[f.name].cast(f.type) if f.name in more else batch[f.name] for f in schema], schema=schema)
 
     return run
 
@@ -86,6 +87,20 @@ def _arriving(keys: list[str], size: int, schema: pa.Schema):
     return run
 
 
+def _sums_before(frame: DataFrame, keys: list[str], order: list[str], vector: str, size: int, out: str) -> DataFrame:
+    """Rows with `out`, the sum of vector over the rows of their key before them."""
+    ranged = stored(frame.repartitionByRange(*keys, *order).withColumn("_task", F.spark_partition_id()), "ranged")
+    part = lambda i: F.get(vector, F.lit(i))
+    tasks = ranged.groupBy(*keys, "_task").agg(*[F.sum(part(i)).alias(f"_sum_{i}") for i in range(size)])
+    earlier = F.count("*").over(Window.partitionBy(*keys).orderBy("_task").rowsBetween(Window.unboundedPreceding, -1))
+    before = tasks.select(*keys, "_task", earlier.alias("_earlier"), F.array(*[_before(f"_sum_{i}", keys) for i in range(size)]).alias("_before")).filter("_earlier > 0").drop("_earlier")
+    # A task's first key alone can lie in earlier tasks, so there is a row for each task at most.
+    rows = ranged.join(F.broadcast(_null_safe(before, [*keys, "_task"])), _same([*keys, "_task"]), "left")
+    along = Window.partitionBy(*keys, "_task").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    begin = lambda i: F.coalesce(F.get("_before", F.lit(i)), F.lit(0.0))
+    return rows.withColumn(out, F.array(*[begin(i) + F.coalesce(F.sum(part(i)).over(along), F.lit(0.0)) for i in range(size)])).select(*frame.columns, out)
+
+
 def states(frame: DataFrame, keys: list[str], order: list[str], vector: str, size: int, out: str, matrix: str | None = None) -> DataFrame:
     """Rows with `out`, the state of their key before them: zeros first, and matrix * state + vector after each row.
 
@@ -93,8 +108,11 @@ def states(frame: DataFrame, keys: list[str], order: list[str], vector: str, siz
     rows of the matrix one after another; without a matrix, out is the sum of
     the vectors before. The maps of a stretch are one map, so each stretch is
     gone through once, from zeros, and its first state is put in afterwards:
-    neither a key nor the rows between two states need be in one task.
+    neither a key nor the rows between two states need be in one task. Sums
+    need no Python.
     """
+    if matrix is None:
+        return _sums_before(frame, keys, order, vector, size, out)
     from pyspark.sql.pandas.types import to_arrow_schema
 
     many, one = "array<double>", pa.list_(pa.float64())
