@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 
 import brute
 import numpy as np
@@ -314,6 +315,39 @@ def test_logistic_fit_reaches_the_optimum():
     assert np.abs(x.T @ (p - y) + toxicity.PENALTY * w).max() < 0.01 and abs((p - y).sum()) < 0.01
 
 
+def test_toxicity_fit_in_tasks_is_the_fit_at_hand(spark):
+    draw = np.random.default_rng(3)
+    texts = [" ".join(f"word{k}" for k in draw.integers(0, 60, n)) for n in draw.integers(0, 40, 300)]
+    docs = spark.createDataFrame([*enumerate(texts), (300, None)], "doc_id long, text string")
+    toxic = [int("word7 " in t or draw.random() < 0.1) for t in texts] + [0]
+    seen, weights, bias = toxicity.train(docs, spark.createDataFrame(list(enumerate(toxic)), "doc_id long, toxic int"))
+    row, feature = toxicity.features([*texts, None])
+    want, y = np.unique(feature), np.array(toxic, dtype=float)
+    assert seen.tolist() == want.tolist()
+    ratio = [np.log((np.bincount(feature[y[row] == k], minlength=toxicity.SPACE)[want] + 1) / ((y == k).sum() + 2)) for k in (1, 0)]
+    ratio = ratio[0] - ratio[1]
+    w, b = toxicity.fit_logistic([(np.searchsorted(want, feature).astype(np.uint32), np.bincount(row, minlength=301).astype(np.uint32))], ratio, y)
+    assert np.abs(weights - w * ratio).max() < 1e-9 and abs(bias - b) < 1e-9
+
+
+def test_toxicity_fit_leaves_the_n_grams_with_the_tasks(spark):
+    words = ["".join(x) for x in np.random.default_rng(4).choice(list("abcdefghijklm"), (2000, 6))]
+
+    def peak(n: int) -> int:
+        draw = np.random.default_rng(n)
+        rows = [(i, " ".join(words[k] for k in draw.integers(0, 2000, 3000))) for i in range(n)]
+        docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i in range(n)], "doc_id long, toxic int")
+        docs = docs.repartition(4).localCheckpoint()
+        tracemalloc.start()
+        toxicity.train(docs, labels)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    # Of texts six times as many, over the same words; the driver's arrays go by words and rows alone.
+    assert peak(300) < 1.2 * peak(50)
+
+
 def test_toxic_column_passes_the_others(spark):
     d, labels = spark.read.parquet(f"{SF}/documents.parquet").withColumn("score", F.lit("mine")), spark.read.parquet(f"{SF}/labels.parquet")
     out = toxicity.with_score(d, labels, queries.held_out(5, 0))
