@@ -207,6 +207,7 @@ def _swept(shared, d: int):
             _add_columns(total, group, u)
         if total is not None:
             yield None, total.tobytes()
+            trim()
 
     return run
 
@@ -221,8 +222,8 @@ def fit_stored(groups: DataFrame, ratio: np.ndarray, penalty: float = PENALTY, s
     label = {r["id"]: np.frombuffer(r["toxic"], dtype=np.uint8) for r in groups.select("id", "toxic").collect()}
     order = sorted(label)
     bounds = np.cumsum([len(label[k]) for k in order])[:-1]
-    # Files may be read in many splits, of which one a file has rows. Kept, as some eighty sweeps read them.
-    held = groups.select("id", "f", "first", "row").coalesce(TASKS).rdd.map(tuple).persist(StorageLevel.MEMORY_AND_DISK)
+    # Files may be read in many splits, of which one a file has rows. Kept, as some eighty sweeps read them, on disk to spare the executors' heap.
+    held = groups.select("id", "f", "first", "row").coalesce(TASKS).rdd.map(tuple).persist(StorageLevel.DISK_ONLY)
 
     def sweep(v: np.ndarray | None, u: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
         by_id = dict(zip(order, np.split(u, bounds), strict=True))
